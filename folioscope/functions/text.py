@@ -75,8 +75,8 @@ STEM_PATTERN = "^(.{%d,}?)(%s)$" % (fixed.MIN_STEM, "|".join(fixed.SUFFIXES))
 def stem(word) -> Column:
     """Light suffix stripper: the first suffix of the list that leaves at least three letters goes."""
     w = _c(word)
-    base = F.regexp_extract(w, STEM_PATTERN, 1)
     suffix = F.regexp_extract(w, STEM_PATTERN, 2)
+    base = F.left(w, F.length(w) - F.length(suffix))
     doubled = (
         suffix.isin("ing", "ings", "ed")
         & (F.length(base) > fixed.MIN_STEM)
