@@ -100,12 +100,9 @@ def diversify(
     todo = stage(firsts, "todo")
     kept_all = None
     while True:
-        w_sig = todo.groupBy("l", "s").agg(F.min("r").alias("r_s"))
-        w_own = todo.groupBy("l", "g").agg(F.min("r").alias("r_g"))
-        keep = (
-            w_own.join(w_sig, (w_own.l == w_sig.l) & (w_own.r_g == w_sig.r_s))
-            .select(w_own.l, w_own.g, w_sig.s, w_own.r_g.alias("r"))
-        )
+        first_of_sig = todo.groupBy("l", "s").agg(F.min("r").alias("r"))
+        first_of_owner = todo.groupBy("l", "g").agg(F.min("r").alias("r"))
+        keep = first_of_owner.join(first_of_sig, ["l", "r"]).select("l", "g", "s", "r")
         keep = stage(keep, "kept")
         if keep.isEmpty():
             break

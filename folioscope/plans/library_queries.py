@@ -44,7 +44,7 @@ def declared_tree(spark, d):
     """Every (language, source) pair that could exist, so that some declared subtopics are empty."""
     docs = b.table(spark, d, "documents")
     return docs.select(F.concat(F.lit("planned-"), "source").alias("subtopic"), F.col("lang").alias("topic")).union(
-        docs.filter(F.col("doc_id") % 2 == 0).select(F.col("source"), F.col("lang"))).distinct()
+        docs.select(F.col("source"), F.col("lang"))).distinct()
 
 
 @query("library_counts", A + f"""
@@ -109,11 +109,11 @@ def _(spark, d):
     return lib.access_todo(b.articles(spark, d), b.AS_OF, max_age_days=7).select("id", "added", "locked_checked")
 
 
-DISMISSED = """dismissed AS (SELECT DISTINCT a.url FROM engagement e JOIN articles a USING (doc_id) WHERE e.kind = 'error' AND e.reader % 10 = 0)"""
+DISMISSED = """dismissed AS (SELECT DISTINCT a.url FROM engagement e JOIN articles a USING (doc_id) WHERE e.kind = 'error')"""
 
 
 def dismissed(spark, d):
-    e = b.engagement(spark, d).filter((F.col("kind") == "error") & (F.col("reader") % 10 == 0))
+    e = b.engagement(spark, d).filter(F.col("kind") == "error")
     return e.join(b.articles(spark, d).select("doc_id", "url"), "doc_id").select("url").distinct()
 
 
@@ -150,20 +150,20 @@ def _(spark, d):
 @query("enrich_hits", q.with_(q.ARTICLES, q.DOC_POSTS) + """SELECT p.post_id, p.url,
 coalesce(m.title, left(p.title, 20)) AS title, CASE WHEN m.url IS NOT NULL THEN m.snippet END AS snippet,
 coalesce(nullif(m.author, ''), p.author, '') AS author, coalesce(m.published, p.day) AS published, m.claps, m.locked
-FROM posts p LEFT JOIN (SELECT * FROM articles WHERE title <> '' AND doc_id % 3 <> 1) m ON m.url = p.url""")
+FROM posts p LEFT JOIN (SELECT * FROM articles WHERE title <> '' AND source IS DISTINCT FROM 'bulk') m ON m.url = p.url""")
 def _(spark, d):
-    meta = b.articles(spark, d).filter("doc_id % 3 <> 1")
+    meta = b.articles(spark, d).filter("source is distinct from 'bulk'")
     hits = b.document_posts(spark, d).select(
         "post_id", "url", F.substring("title", 1, 20).alias("title"), "author", F.col("day").alias("published"))
     return lib.enrich(hits, meta)
 
 
-@query("available_files", A + """SELECT id, CASE WHEN doc_id % 8 = 0 THEN '/files/' || pdf END AS pdf_url,
-CASE WHEN doc_id % 10 = 0 THEN '/files/doc/' || id || '.html' END AS doc_url FROM articles""")
+@query("available_files", A + """SELECT id, CASE WHEN locked IS NOT NULL THEN '/files/' || pdf END AS pdf_url,
+CASE WHEN fetched AND locked = true THEN '/files/doc/' || id || '.html' END AS doc_url FROM articles""")
 def _(spark, d):
     a = b.articles(spark, d).withColumn("doc", F.when(F.col("fetched"), F.concat(F.lit("doc/"), "id", F.lit(".html"))))
-    files = a.filter("doc_id % 8 = 0").select(F.col("pdf").alias("path")).union(
-        a.filter("doc_id % 10 = 0").select("doc"))
+    files = a.filter("locked is not null").select(F.col("pdf").alias("path")).union(
+        a.filter("locked").select("doc"))
     return lib.available_files(a, files).select("id", "pdf_url", "doc_url")
 
 
@@ -202,14 +202,14 @@ n AS (SELECT page_id, s || '://' || lower(h) || path AS url FROM p WHERE contain
 v AS (SELECT page_id, 'https://' || regexp_extract(url, '//(.*)$', 1) AS url FROM n
       UNION ALL SELECT page_id + 1000000, 'https://' || regexp_extract(url, '//(.*)$', 1) FROM n),
 f AS (SELECT url, min(page_id) AS page_id FROM v GROUP BY url),
-held AS (SELECT url FROM v WHERE page_id % 5 = 0 AND page_id < 1000000)
+held AS (SELECT url FROM v WHERE page_id < 1000000 AND contains(url, '/en/'))
 SELECT page_id, url, left(sha1(url), 12) AS id FROM f WHERE url NOT IN (SELECT url FROM held)""")
 def _(spark, d):
     p = b.table(spark, d, "pages")
     host = F.regexp_extract("url", "//(.*)$", 1)
     incoming = p.select("page_id", F.concat(F.lit("HTTPS://me@"), host, F.lit("#x")).alias("url")).union(
         p.select((F.col("page_id") + 1_000_000).alias("page_id"), host.alias("url")))
-    held = incoming.filter("page_id % 5 = 0 and page_id < 1000000").select(urls.normalize_url("url").alias("url"))
+    held = incoming.filter("page_id < 1000000 and contains(url, '/en/')").select(urls.normalize_url("url").alias("url"))
     return lib.insert_new(held, incoming, [F.asc("page_id")]).select("page_id", "url", "id")
 
 
@@ -220,12 +220,12 @@ def _(spark, d):
 
 
 @query("tree_merge", A + f"""
-, stored AS (SELECT DISTINCT topic, subtopic, 'kept' AS name FROM articles WHERE doc_id % 5 = 0),
+, stored AS (SELECT DISTINCT topic, subtopic, 'kept' AS name FROM articles WHERE fetched),
 defaults AS (SELECT DISTINCT topic, subtopic, 'default' AS name FROM articles)
 SELECT * FROM stored UNION ALL SELECT d.* FROM defaults d ANTI JOIN stored s USING (topic, subtopic)""")
 def _(spark, d):
     a = b.articles(spark, d)
-    stored_tree = a.filter("doc_id % 5 = 0").select("topic", "subtopic", F.lit("kept").alias("name")).distinct()
+    stored_tree = a.filter("fetched").select("topic", "subtopic", F.lit("kept").alias("name")).distinct()
     return lib.merge_tree(stored_tree, a.select("topic", "subtopic", F.lit("default").alias("name")).distinct())
 
 

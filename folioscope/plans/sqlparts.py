@@ -63,7 +63,7 @@ def title_of(x: str) -> str:
 
 def fresh(day: str, half_life: float) -> str:
     return (
-        f"coalesce(pow(0.5, greatest(0.0, date_diff('second', CAST({day} AS TIMESTAMP), {AS_OF}) / 86400.0) "
+        f"coalesce(pow(0.5, greatest(0.0, (epoch_us({AS_OF}) - epoch_us(CAST({day} AS TIMESTAMP))) / 86400e6) "
         f"/ {half_life}), 0.0)"
     )
 
