@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 
@@ -55,7 +56,7 @@ def words(c) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(WORD_PATTERN), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def words_udf(texts: pd.Series) -> pd.Series:
     """``words`` with the whole of Unicode decomposition, for scripts outside the Latin tables."""
     import re
@@ -181,7 +182,7 @@ def unescape(c) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_udf(texts: pd.Series) -> pd.Series:
     """Decode every HTML entity until stable (at most three rounds) and squeeze white space."""
     import html

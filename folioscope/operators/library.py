@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, urls
+from ..functions import urls
+from ..session import stage
 
 
 def access_filter(df: DataFrame, access: str = "all", col: str = "locked") -> DataFrame:
@@ -333,6 +334,7 @@ def library_search(queries: DataFrame, articles: DataFrame, *, limit: int = 20)
         hits.join(q, "query_id")
         .filter(~F.arrays_overlap("any", "minus") & F.exists("words", lambda w: F.array_contains("any", w)))
     )
+    rows = stage(rows, "library-hits")
     narrow = low.select("id", "title", "added", "fetched")
     with_phrases = (
         rows.filter(F.size("phrases") > 0)

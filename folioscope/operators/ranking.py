@@ -10,14 +10,14 @@ from ..functions import fixed
 from ..session import stage
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
-    """First ``n`` rows of each key with their rank.
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int | Column, rank: str = "rank") -> DataFrame:
+    """First ``n`` rows of each key with their rank; ``n`` may be a column of the key.
 
     Each input partition keeps its own first ``n`` before anything gathers by key, so a key that holds a large share
     of the rows never passes whole through one task. Small limits get this from the optimizer's rank limit; for
     larger ones the first step is written out.
     """
-    if n >= 1000:
+    if not isinstance(n, int) or n >= 1000:
         part = Window.partitionBy(*keys, "_part").orderBy(*order)
         df = df.withColumn("_part", F.spark_partition_id())
         df = df.withColumn(rank, F.row_number().over(part)).filter(F.col(rank) <= n).drop(rank, "_part")
@@ -46,10 +46,10 @@ def full_rank(df: DataFrame, keys: list[str], order: list[str], rank: str = "ran
     before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return (
-        ranged.withColumn("_r", F.row_number().over(local))
+        ranged.withColumn("_local", F.row_number().over(local))
         .join(offsets, [*keys, "_piece"])
-        .withColumn(rank, F.col("_r") + F.col("_before"))
-        .drop("_r", "_before", "_piece")
+        .withColumn(rank, F.col("_local") + F.col("_before"))
+        .drop("_local", "_before", "_piece")
     )
 
 
@@ -124,6 +124,19 @@ def diversify(
 # ---------------------------------------------------------------- shares and mixes
 
 
+def rotation_pairs(candidates: DataFrame, residents: DataFrame, keys: list[str], *, factor: float = fixed.ROTATE_FACTOR) -> DataFrame:
+    """The k-th best candidate against the k-th weakest resident of each key; swaps go on while every one pays off.
+
+    Both sides carry ``rank`` and ``trend``. A swap needs the candidate to beat ``factor`` times the resident, and
+    all earlier swaps of the key to have been made.
+    """
+    r = residents.select(*keys, "rank", F.col("trend").alias("weak_trend"), F.col("id").alias("drop_id"))
+    pairs = candidates.join(r, [*keys, "rank"])
+    w = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    good = (F.col("trend") > factor * F.col("weak_trend")).cast("int")
+    return pairs.withColumn("swap", F.min(good).over(w) == 1)
+
+
 def fair_share(df: DataFrame, key: str, order: list[str], count: int, *, strict: bool = True) -> DataFrame:
     """``count`` rows: each key's first ``count // keys``, the rest by global order. ``order`` as in ``full_rank``."""
     ranked = stage(full_rank(df, [key], order, "_r"), "shares")

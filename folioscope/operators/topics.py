@@ -39,8 +39,8 @@ def ngrams(tokens: Column, longest: int) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def assign_home(posts: DataFrame, phrased_tree: DataFrame, broad: DataFrame, *, longest: int = 6) -> DataFrame:
-    """First subtopic in tree order that a post fits: (post key ``url``, topic, subtopic).
+def fitting_subtopics(posts: DataFrame, phrased_tree: DataFrame, broad: DataFrame, *, longest: int = 6) -> DataFrame:
+    """Every subtopic a post fits: (url, topic, subtopic, ord).
 
     A post fits when it shares a tag with the subtopic's tags or phrase slugs, or when it carries a broad tag of the
     topic and its title holds one of the phrases as whole words. Both tests are equality joins, on tags and on the
@@ -64,6 +64,12 @@ def assign_home(posts: DataFrame, phrased_tree: DataFrame, broad: DataFrame, *,
     )
     cols = ["url", "topic", "subtopic", "ord"]
     fits = by_tag.select(*cols).unionByName(by_title.select(*cols))
+    return fits.distinct()
+
+
+def assign_home(posts: DataFrame, phrased_tree: DataFrame, broad: DataFrame, *, longest: int = 6) -> DataFrame:
+    """First subtopic in tree order that a post fits: (url, topic, subtopic)."""
+    fits = fitting_subtopics(posts, phrased_tree, broad, longest=longest)
     home = fits.groupBy("url").agg(F.min(F.struct("ord", "topic", "subtopic")).alias("h"))
     return home.select("url", "h.topic", "h.subtopic")
 
