@@ -157,9 +157,14 @@ def same_text(a, b) -> Column:
     return (squash(a) != "") & (squash(a) == squash(b))
 
 
+def whole_word(pattern: str) -> str:
+    """The pattern between word boundaries, for letters of any script."""
+    return r"(?<![\p{L}\p{N}_])" + pattern + r"(?![\p{L}\p{N}_])"
+
+
 def is_english_slug(text) -> Column:
     """True when a lowercase text holds one of the English function words as a whole word."""
-    return F.lower(_c(text)).rlike(r"\b(" + "|".join(fixed.ENGLISH_WORDS) + r")\b")
+    return F.lower(_c(text)).rlike(whole_word("(?:" + "|".join(fixed.ENGLISH_WORDS) + ")"))
 
 
 def strip_tags(c, by: str = " ") -> Column:

@@ -60,7 +60,8 @@ def fitting_subtopics(posts: DataFrame, phrased_tree: DataFrame, broad: DataFram
     by_title = (
         topical.withColumn("gram", F.explode(ngrams(tokens, longest)))
         .join(phrase_keys, ["topic", "gram"])
-        .filter(F.regexp_like("title", F.concat(F.lit(r"\b\Q"), "phrase", F.lit(r"\E\b"))))
+        .filter(F.regexp_like("title", F.concat(
+            F.lit(r"(?<![\p{L}\p{N}_])\Q"), "phrase", F.lit(r"\E(?![\p{L}\p{N}_])"))))
     )
     cols = ["url", "topic", "subtopic", "ord"]
     fits = by_tag.select(*cols).unionByName(by_title.select(*cols))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import ranking, search
+from ..session import stage
 from . import bindings as b
 from . import sqlparts as q
 from .registry import query
@@ -219,14 +220,48 @@ def _(spark, d):
         "query_id", F.col("rank").cast("bigint").alias("rank"), "post_id", "url", "score")
 
 
-@query("search")
+DIVERSE = f""",
+ls AS (SELECT query_id AS list, rank, r.url, p.author AS grp, {q.signature('p.title')} AS sig FROM ranked r JOIN posts p USING (post_id)),
+{q.walk(2)},
+placed AS (SELECT r.*, p.author, row_number() OVER (PARTITION BY r.query_id ORDER BY k.kept DESC, r.rank) AS position FROM ranked r JOIN kept k ON k.list = r.query_id AND k.rank = r.rank JOIN posts p USING (post_id))"""
+SEARCH = (TOK + MATCH + LADDER + HITS + RANK + DIVERSE).replace("WITH ", "WITH RECURSIVE ", 1)
+PAGED = """SELECT placed.query_id, position, post_id, placed.url, author, placed.mode, score, scanned > {last} AS more FROM placed JOIN (SELECT DISTINCT query_id, scanned FROM cand) USING (query_id)
+WHERE position > {first} AND position <= {last}"""
+SHOWN = ["query_id", "position", "post_id", "url", "author", "mode", "score", "more"]
+
+
+@query("search", SEARCH + PAGED.format(first=0, last=20))
+def _(spark, d):
+    return search.search(b.queries(spark, d), staged_index(spark, d), b.AS_OF).select(*SHOWN)
+
+
+@query("search_page", SEARCH.replace("WHEN ca > 20", "WHEN ca > 40").replace("cp > 20", "cp > 40") + PAGED.format(first=20, last=40))
 def _(spark, d):
-    return search.search(b.queries(spark, d), staged_index(spark, d), b.AS_OF)
+    return search.search(b.queries(spark, d), staged_index(spark, d), b.AS_OF, offset=20).select(*SHOWN)
+
+
+@query("search_with_prior")
+def _(spark, d):
+    """Each query nudged by the words of the reader with the same number."""
+    from ..operators.taste import word_profile
+    from .taste_queries import profile
+
+    prior = word_profile(profile(spark, d, staged=True).weights).select(
+        F.col("reader").alias("query_id"), F.col("key").alias("word"), "weight")
+    qs = b.queries(spark, d)
+    return search.search(qs, staged_index(spark, d), b.AS_OF, prior=prior.join(qs.select("query_id"), "query_id")).select(*SHOWN, "yours")
 
 
-@query("search_page")
+@query("diversify", q.with_(q.ARTICLES).replace("WITH", "WITH RECURSIVE", 1) + f""",
+ls AS (SELECT topic AS list, row_number() OVER (PARTITION BY topic ORDER BY claps DESC, doc_id) AS rank, author AS grp, {q.signature('title')} AS sig, doc_id FROM articles),
+{q.walk(2)}
+SELECT list, rank, doc_id, kept FROM ls JOIN kept USING (list, rank)""")
 def _(spark, d):
-    return search.search(b.queries(spark, d), staged_index(spark, d), b.AS_OF, offset=20)
+    a = b.articles(spark, d).select(F.col("topic").alias("list"), "claps", "doc_id", F.col("author").alias("grp"),
+                                    text.headline_signature("title").alias("sig"))
+    ranked = ranking.full_rank(a, ["list"], ["-claps", "doc_id"])
+    return ranking.diversify(stage(ranked), "list", "rank", "grp", "sig", 2).select(
+        "list", F.col("rank").cast("bigint").alias("rank"), "doc_id", "kept")
 
 
 @query("missing_words_notice", TOK + MATCH + LADDER + HITS + RANK + """

@@ -174,3 +174,20 @@ libq AS (
     CASE WHEN item_id % 4 = 0 THEN [array_to_string(w[1:2], ' ')] ELSE [] END AS phrases,
     CASE WHEN item_id % 3 = 0 THEN w[9:9] ELSE [] END AS minus
   FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark))"""
+
+
+def walk(cap: int) -> str:
+    """Diversify as a walk down the list: reads ``ls(list, rank, sig, grp)``, gives ``kept(list, rank, kept)``."""
+    return f"""
+walk AS (SELECT list, CAST(0 AS BIGINT) AS rank, CAST([] AS UBIGINT[]) AS sigs, CAST([] AS UBIGINT[]) AS grps, false AS kept FROM (SELECT DISTINCT list FROM ls)
+  UNION ALL
+  SELECT list, rank, CASE WHEN ok THEN list_append(sigs, s) ELSE sigs END, CASE WHEN ok AND g IS NOT NULL THEN list_append(grps, g) ELSE grps END, ok FROM (
+    SELECT w.list, l.rank, w.sigs, w.grps, hash(l.sig) AS s, CASE WHEN l.grp <> '' THEN hash(l.grp) END AS g,
+      NOT list_contains(w.sigs, hash(l.sig)) AND (coalesce(l.grp, '') = '' OR len([x for x in w.grps if x = hash(l.grp)]) < {cap}) AS ok
+    FROM walk w JOIN ls l ON l.list = w.list AND l.rank = w.rank + 1)),
+kept AS (SELECT list, rank, kept FROM walk WHERE rank > 0)"""
+
+
+def signature(title: str) -> str:
+    key = f"array_to_string(list_sort(list_distinct([{stem('w')} for w in {words(title)} if w NOT IN {STOP}])), ' ')"
+    return f"CASE WHEN {key} <> '' THEN {key} ELSE lower(trim({title})) END"
