@@ -305,11 +305,24 @@ def library_search(queries: DataFrame, articles: DataFrame, *, limit: int = 20)
     def runs(c):
         return F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)))
 
-    in_title = low.select("id", F.explode(runs("title")).alias("run"), F.lit(True).alias("t"))
-    in_rest = low.select("id", F.explode(runs("rest")).alias("run"), F.lit(False).alias("t"))
+    in_title = low.select("id", F.explode(runs("title")).alias("run"), "title")
+    in_rest = low.select("id", F.explode(runs("rest")).alias("run"), F.lit(None).cast("string").alias("title"))
     found = in_title.unionByName(in_rest)
 
-    needles = q.select(F.explode(F.array_distinct(F.concat("words", "minus"))).alias("needle")).distinct()
+    # one row per query and distinct word: how often it counts, and in which role
+    flat = q.select(
+        "query_id", "plain", "words", "minus", F.flatten(F.transform("phrases", lambda p: F.split(p, " "))).alias("pw"),
+        F.explode(F.array_distinct(F.concat("words", "minus"))).alias("needle"),
+    )
+
+    def times(c):
+        return F.size(F.filter(c, lambda w: w == F.col("needle")))
+
+    by_query = flat.select(
+        "query_id", "needle", times("words").alias("w"), times("plain").alias("p"),
+        F.array_contains("minus", F.col("needle")).alias("banned"), F.array_contains("pw", F.col("needle")).cast("int").alias("ph"),
+    )
+    needles = by_query.select("needle").distinct()
     vocabulary = found.select("run").distinct()
 
     def grams(c, n):
@@ -321,50 +334,41 @@ def library_search(queries: DataFrame, articles: DataFrame, *, limit: int = 20)
     )
     pairs = run_grams.join(probe, "gram").filter(F.contains("run", F.col("needle"))).select("run", "needle").distinct()
 
-    by_query = q.select("query_id", F.explode(F.array_distinct(F.concat("words", "minus"))).alias("needle"))
+    # an article's runs collapse to the needles it holds, and where in the title, before they meet the queries
+    held = found.join(pairs, "run").groupBy("id", "needle").agg(F.min(F.instr(F.col("title"), F.col("needle"))).alias("at"))
+    there, asked = F.col("at").isNotNull(), F.col("p") > 0
     hits = (
-        found.join(pairs.join(by_query, "needle"), "run")
+        held.join(by_query, "needle")
         .groupBy("query_id", "id")
         .agg(
-            F.collect_set("needle").alias("any"),
-            F.collect_set(F.when(F.col("t"), F.col("needle"))).alias("title_words"),
+            F.sum("w").alias("n_any"), F.sum(F.when(there, F.col("w")).otherwise(0)).alias("n_title"),
+            F.sum(F.when(there, F.col("p")).otherwise(0)).alias("n_order"),
+            F.min(F.when(asked, F.col("at"))).alias("lo"), F.max(F.when(asked, F.col("at"))).alias("hi"),
+            F.max("banned").alias("banned"), F.sum("ph").alias("n_ph"),
         )
+        .filter((F.col("n_any") > 0) & ~F.col("banned"))
     )
-    rows = (
-        hits.join(q, "query_id")
-        .filter(~F.arrays_overlap("any", "minus") & F.exists("words", lambda w: F.array_contains("any", w)))
+    shape = q.select(
+        "query_id", F.size("words").alias("n"), "phrases",
+        F.size(F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))).alias("need_ph"),
     )
-    rows = stage(rows, "library-hits")
-    narrow = low.select("id", "title", "added", "fetched")
+    rows = hits.join(shape, "query_id").filter(F.col("n_ph") >= F.col("need_ph"))
+    narrow = low.select("id", "added", "fetched")
+    zero = F.lit(0).alias("title_phrases")
+    plain_rows = rows.filter(F.size("phrases") == 0).join(narrow, "id").withColumn("title_phrases", zero)
     with_phrases = (
-        rows.filter(F.size("phrases") > 0)
-        .filter(F.forall(F.flatten(F.transform("phrases", lambda p: F.split(p, " "))),
-                         lambda w: F.array_contains("any", w)))
-        .join(low, "id")
+        rows.filter(F.size("phrases") > 0).join(low, "id")
         .filter(F.forall("phrases", lambda p: F.contains("title", p) | F.contains("rest", p)))
-        .drop("rest")
-    )
-    rows = rows.filter(F.size("phrases") == 0).join(narrow, "id").unionByName(with_phrases)
-
-    def n_in(words, found_words):
-        return F.size(F.filter(words, lambda w: F.array_contains(found_words, w)))
-
-    n = F.size("words")
-    offsets = F.transform(
-        F.filter("plain", lambda w: F.array_contains("title_words", w)), lambda w: F.instr(F.col("title"), w)
+        .withColumn("title_phrases", F.size(F.filter("phrases", lambda p: F.contains("title", p))))
+        .drop("title", "rest")
     )
-    rows = rows.withColumn("_o", offsets)
-    ordered = F.when(
-        F.size("_o") > 1, F.size("_o") / (F.array_max("_o") - F.array_min("_o") + 1)
-    ).otherwise(F.lit(0.0))
+    ordered = F.when(F.col("n_order") > 1, F.col("n_order") / (F.col("hi") - F.col("lo") + 1)).otherwise(F.lit(0.0))
     score = (
-        2.5 * n_in(F.col("words"), F.col("any")) / n
-        + 1.2 * n_in(F.col("words"), F.col("title_words")) / n
-        + 0.6 * ordered
-        + 0.5 * F.size(F.filter("phrases", lambda p: F.contains("title", p)))
-        + 0.3 * F.coalesce(F.col("fetched"), F.lit(False)).cast("int")
+        2.5 * F.col("n_any") / F.col("n") + 1.2 * F.col("n_title") / F.col("n") + 0.6 * ordered
+        + 0.5 * F.col("title_phrases") + 0.3 * F.coalesce(F.col("fetched"), F.lit(False)).cast("int")
     )
-    scored = rows.select("query_id", "id", "added", F.round(score, 4).alias("score"))
+    scored = plain_rows.unionByName(with_phrases).select("query_id", "id", "added", F.round(score, 4).alias("score"))
+    scored = stage(scored, "library-hits")
     totals = scored.groupBy("query_id").agg(F.count("*").alias("total"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("added"), F.asc("id"))
     top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

@@ -424,18 +424,23 @@ def rank(index: Index, queries: DataFrame, candidates: DataFrame, as_of, prior:
     return top_per_key(rows, ["query_id"], rank_order(), fixed.MAX_CANDIDATES)
 
 
+def headline_signatures(index: Index, posts: DataFrame) -> DataFrame:
+    """(post_id, sig) of the given posts, from the stems the index already holds."""
+    own = index.postings.filter((F.col("tf_title") > 0) & ~F.col("token").isin(fixed.STOPWORDS)).join(posts, "post_id")
+    key = own.groupBy("post_id").agg(F.md5(F.array_join(F.array_sort(F.collect_set("stem")), " ").cast("binary")).alias("key"))
+    bare = index.docs.select("post_id", "title").join(posts, "post_id").join(key, "post_id", "left_anti").select(
+        "post_id", F.md5(F.lower(F.trim("title")).cast("binary")).alias("sig"))
+    return key.withColumnRenamed("key", "sig").unionByName(bare)
+
+
 def search(
     queries: DataFrame, index: Index, as_of, *, page_size: int = 20, offset: int = 0, mode: str | None = None,
     prior: DataFrame | None = None, author_cap: int = fixed.AUTHOR_CAP,
 ) -> DataFrame:
     """One page of results for every query: retrieval, ranking, variety, slice."""
     found = retrieve(index, queries, offset=offset, page_size=page_size, mode=mode)
-    ranked = rank(index, queries, found, as_of, prior)
-    # signatures only for the rows of the bands; posts shared by several bands are signed once
-    signed = (
-        index.docs.select("post_id", "title").join(ranked.select("post_id").distinct(), "post_id")
-        .select("post_id", F.md5(text.headline_signature("title").cast("binary")).alias("sig"))
-    )
+    ranked = stage(rank(index, queries, found, as_of, prior), "band")
+    signed = headline_signatures(index, ranked.select("post_id").distinct())
     varied = diversify_bounded(
         ranked.drop("bm").join(signed, "post_id"), "query_id", "rank", "author", "sig", author_cap,
     )

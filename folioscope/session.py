@@ -13,6 +13,7 @@ def local_session(cpus: int | str = "*", **conf) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("folioscope")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
