@@ -24,14 +24,14 @@ def age_days(when, as_of) -> Column:
 
 def freshness(when, as_of, half_life: float = fixed.SEARCH_HALF_LIFE) -> Column:
     """1.0 now or in the future, halving every ``half_life`` days; 0 for no date."""
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_days(when, as_of)) / half_life), F.lit(0.0))
+    age = age_days(when, as_of)  # `greatest` skips nulls, so an unknown age must be kept out of it
+    return F.when(age.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age) / half_life))
 
 
 def trend_score(claps, published, as_of) -> Column:
     """Claps weighted down by whole days of age; an unknown date counts as thirty days."""
-    days = F.coalesce(
-        F.greatest(F.lit(0), F.floor(age_days(published, as_of))), F.lit(fixed.TREND_DEFAULT_AGE)
-    )
+    age = age_days(published, as_of)
+    days = F.when(age.isNull(), F.lit(fixed.TREND_DEFAULT_AGE)).otherwise(F.greatest(F.lit(0), F.floor(age)))
     return F.coalesce(_c(claps), F.lit(0)) / F.pow(days + fixed.TREND_OFFSET, F.lit(fixed.TREND_POWER))
 
 

@@ -63,14 +63,15 @@ def title_of(x: str) -> str:
 
 def fresh(day: str, half_life: float) -> str:
     return (
-        f"coalesce(pow(0.5, greatest(0.0, (epoch_us({AS_OF}) - epoch_us(CAST({day} AS TIMESTAMP))) / 86400e6) "
-        f"/ {half_life}), 0.0)"
+        f"(CASE WHEN {day} IS NULL THEN 0.0 ELSE pow(0.5, greatest(0.0, (epoch_us({AS_OF}) "
+        f"- epoch_us(CAST({day} AS TIMESTAMP))) / 86400e6) / {half_life}) END)"
     )
 
 
 def trend(claps: str, day: str) -> str:
     return (
-        f"(coalesce({claps}, 0) / pow(coalesce(greatest(0, date_diff('day', CAST({day} AS DATE), {DAY})), 30) + 3, 0.8))"
+        f"(coalesce({claps}, 0) / pow(CASE WHEN {day} IS NULL THEN 30 "
+        f"ELSE greatest(0, date_diff('day', CAST({day} AS DATE), {DAY})) END + 3, 0.8))"
     )
 
 
