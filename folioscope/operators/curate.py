@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text, urls
@@ -111,12 +111,12 @@ def curate_plan(good: DataFrame, articles: DataFrame, caps: DataFrame, as_of) ->
 
     The best candidates fill the free places; after that the k-th next one may replace the k-th weakest automatic
     article that was never downloaded, while each swap pays off. Outside filling, a subtopic changes six times at
-    most. Neither side needs more rows than the candidates of a subtopic, and those are bounded by the pool.
+    most. No more candidates can matter than there are free places and residents.
     """
-    places = caps.select(*KEYS, "filling", F.greatest(F.lit(0), F.col("cap") - F.col("n")).alias("room"))
-    w = Window.partitionBy(*KEYS).orderBy(F.desc("trend"), F.asc("url"))
-    ranked = good.withColumn("step", F.row_number().over(w)).join(places, KEYS)
-    ranked = ranked.filter(F.col("filling") | (F.col("step") <= fixed.CHANGES_PER_RUN))
+    room = F.greatest(F.lit(0), F.col("cap") - F.col("n"))
+    most = F.when(F.col("filling"), room + F.col("n")).otherwise(F.lit(fixed.CHANGES_PER_RUN))
+    places = caps.select(*KEYS, "filling", room.alias("room"), most.alias("most"))
+    ranked = top_per_key(good.join(places, KEYS), KEYS, [F.desc("trend"), F.asc("url")], F.col("most"), "step")
     ranked = stage(ranked.select(*KEYS, "url", "trend", "step", "room"), "ranked")
     added = ranked.filter(F.col("step") <= F.col("room"))
     waiting = ranked.filter(F.col("step") > F.col("room")).withColumn("rank", (F.col("step") - F.col("room")).cast("int"))

@@ -172,11 +172,3 @@ def max_scaled(df: DataFrame, keys: list[str], value: str, out: str, *, log: boo
     top = df.groupBy(*keys).agg(F.max(v).alias("_max"))
     scaled = F.when(F.col("_max") > 0, v / F.col("_max")).otherwise(F.lit(0.0))
     return df.join(top, keys).withColumn(out, scaled).drop("_max")
-
-
-def page_slots(n_known: Column, n_fresh: Column, n_edge: Column, limit: int) -> dict[str, Column]:
-    """Slot rules of a mixed page, as expressions over the three list lengths of a reader."""
-    reserved = F.least(n_fresh, F.lit(int(limit * fixed.INDEX_SHARE)))
-    known = F.least(n_known, F.lit(limit) - reserved)
-    step = F.greatest(F.lit(1), F.floor(F.lit(limit) / (reserved + 1)))
-    return {"reserved": reserved, "known": known, "step": step, "edge": n_edge}
