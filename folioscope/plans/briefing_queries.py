@@ -150,7 +150,7 @@ PICK = CLUSTER + picks("cl", "short", 10, "st")
 
 @query("diverse_pick", PICK + "SELECT edition, item_id, rank, pick FROM short")
 def _(spark, d):
-    return briefing.diverse_pick(clustered(spark, d)).select("edition", "item_id", "rank", F.col("pick").cast("bigint").alias("pick"))
+    return briefing.diverse_pick(clustered(spark, d)).select("edition", "item_id", "rank", F.col("pick").cast("int").alias("pick"))
 
 
 @query("select_briefing", PICK + picks("short", "best", 5, "st2") + """
@@ -160,8 +160,8 @@ SELECT s.edition, s.item_id, s.pick AS place, b.pick AS reading_pick, round(s.sc
 FROM short s LEFT JOIN best b USING (edition, rank)""".replace("best b USING (edition, rank)", "best b ON b.edition = s.edition AND b.rank = s.rank"))
 def _(spark, d):
     rows = briefing.select_briefing(items(spark, d), vocabulary(spark, d))
-    return rows.select("edition", "item_id", F.col("place").cast("bigint").alias("place"),
-                       F.col("reading_pick").cast("bigint").alias("reading_pick"), "score", "reason")
+    return rows.select("edition", "item_id", F.col("place").cast("int").alias("place"),
+                       F.col("reading_pick").cast("int").alias("reading_pick"), "score", "reason")
 
 
 @query("feed_scan_report", """

@@ -240,9 +240,9 @@ def _(spark, d):
     return docs.select("doc_id", span.alias("span")).withColumn("day", scoring.relative_day("span", b.AS_OF))
 
 
-@query("headline_words", q.with_(q.NEWS) + f"SELECT item_id, list_sort({q.headline_words('title')}) AS found FROM news")
+@query("headline_words", q.with_(q.NEWS) + f"SELECT item_id, array_to_string(list_sort({q.headline_words('title')}), ' ') AS found FROM news")
 def _(spark, d):
-    return b.news_items(spark, d).select("item_id", F.array_sort(text.headline_words("title")).alias("found"))
+    return b.news_items(spark, d).select("item_id", F.array_join(F.array_sort(text.headline_words("title")), " ").alias("found"))
 
 
 @query("jaccard", f"""

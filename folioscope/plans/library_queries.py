@@ -288,7 +288,8 @@ SELECT query_id, rank, id, score, total FROM (
 
 @query("library_search", LIB_SEARCH)
 def _(spark, d):
-    return lib.library_search(b.library_queries(spark, d), b.articles(spark, d), limit=20)
+    rows = lib.library_search(b.library_queries(spark, d), b.articles(spark, d), limit=20)
+    return rows.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("substring_library_join", q.with_(q.ARTICLES, q.LIBQ) + """

@@ -141,12 +141,13 @@ SELECT post_id, token, stem, count(*) FILTER (f = 't') AS tf_title, count(*) FIL
   min(pos) FILTER (f = 't') AS first_at, max(doc_len) AS doc_len FROM tk GROUP BY post_id, token, stem""")
 def _(spark, d):
     return index(spark, d).postings.select(
-        "post_id", "token", "stem", "tf_title", "tf_author", F.get("title_pos", F.lit(0)).alias("first_at"), "doc_len")
+        "post_id", "token", "stem", "tf_title", "tf_author", F.get("title_pos", F.lit(0)).cast("bigint").alias("first_at"),
+        F.col("doc_len").cast("bigint").alias("doc_len"))
 
 
 @query("doc_stats", TOK + """SELECT post_id, len(tw) AS title_len, len(tw) + len(aw) AS doc_len FROM pt""")
 def _(spark, d):
-    return index(spark, d).docs.select("post_id", "title_len", "doc_len")
+    return index(spark, d).docs.select("post_id", *[F.col(c).cast("bigint").alias(c) for c in ("title_len", "doc_len")])
 
 
 @query("term_stats", TOK + "SELECT stem, count(DISTINCT post_id) AS df FROM tk GROUP BY stem")
@@ -192,7 +193,8 @@ def _(spark, d):
 @query("term_hits", TOK + MATCH + LADDER + HITS + "SELECT query_id, post_id, term, title_level, title_at, author_level FROM hits")
 def _(spark, d):
     ix, qs = staged_index(spark, d), b.queries(spark, d)
-    return search.term_hits(ix, qs, search.retrieve(ix, qs))
+    hits = search.term_hits(ix, qs, search.retrieve(ix, qs))
+    return hits.withColumn("title_at", F.col("title_at").cast("bigint"))
 
 
 @query("rank_results", TOK + MATCH + LADDER + HITS + RANK + """SELECT query_id, post_id, mode, rank, score, round(cover, 3) AS cover FROM ranked""")

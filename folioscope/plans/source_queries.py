@@ -178,7 +178,7 @@ def state_pages(spark, d):
 @query("page_metadata", q.with_(q.ARTICLES) + """
 SELECT 'https://x.example.org/p/a-title-' || left(id, 10) AS url, g AS readable, CASE WHEN g THEN title END AS title, CASE WHEN g THEN trim(snippet) END AS subtitle,
   CASE WHEN g THEN author END AS author, CASE WHEN g AND doc_id % 5 NOT IN (2, 3) THEN CAST(published AS TIMESTAMP) END AS published,
-  CASE WHEN g THEN CASE WHEN doc_id % 5 IN (0, 1) THEN 0 ELSE claps END END AS claps, CASE WHEN g THEN 7 END AS reading_time, CASE WHEN g THEN lang END AS lang,
+  CASE WHEN g THEN CASE WHEN doc_id % 5 IN (0, 1) THEN 0 ELSE claps END END AS claps, CASE WHEN g THEN CAST(7 AS BIGINT) END AS reading_time, CASE WHEN g THEN lang END AS lang,
   CASE WHEN g THEN coalesce(locked, false) END AS locked, CASE WHEN g THEN array_to_string(list_sort(tags), ' ') END AS tags,
   CASE WHEN g THEN 'https://miro.medium.com/v2/resize:fill:320:214/' || id END AS image
 FROM (SELECT *, doc_id % 13 <> 0 AS g FROM articles)""")
