@@ -1,3 +1,132 @@
-"""SQL statements (DuckDB) for the operators that SQL can express."""
+"""SQL statements (DuckDB) for the operators that SQL can express whole."""
 
-ORACLES = {}
+from __future__ import annotations
+
+from .op10_licenses import NOTICES, PHRASES, template_rows, words
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANK_WORD = r"[^\x20\x09-\x0D]+"
+ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def lowered(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+
+
+QUALITY = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{BLANK_WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+win AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3),
+dup AS (
+  SELECT doc_id, i FROM (
+    SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM dup, (VALUES (0), (1), (2)) AS s(k) GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, text, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN rep ON t.doc_id = rep.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * word_chars < 20 * n_words OR word_chars > 15 * n_words OR 100 * n_symbols > 20 * n_words
+    OR (n_lines > 3 AND 100 * n_dup_lines > 30 * n_lines)
+    OR 100 * len(regexp_extract_all(text, '\p{{Lu}}')) > 60 * len(regexp_extract_all(text, '\p{{L}}'))
+    OR 100 * len(regexp_extract_all(text, '[!?]{{2,}}')) > 20 * n_words
+    OR 100 * len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{{L}}'))) > 40 * n_words) AS kept
+FROM b"""
+
+JACCARD = f"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all({lowered('text')}, '{BLANK_WORD}') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM t UNION SELECT r.a, links.b FROM r JOIN links ON r.b = links.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM t LEFT JOIN n ON t.doc_id = n.doc_id JOIN c ON t.doc_id = c.a"""
+
+INDEX = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({lowered('text')}, '{ALNUM_WORD}') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({lowered('text')}, '{ALNUM_WORD}') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g FROM (
+    SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM bw),
+dw AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
+    SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+h AS (SELECT doc_id, dw.k, i, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
+
+ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
+CHAT = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS s(k, r)),
+x AS (
+  SELECT *, coalesce(lag(role) OVER o <> role, true) AS opens, coalesce(lead(role) OVER o <> role, true) AS closes
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length({ESCAPED.format('text')})
+    + CASE WHEN opens THEN length('<|im_start|>') + 1 + length(replace({ESCAPED.format('role')}, chr(10), '\n')) ELSE length('<|im_next|>') END
+    + CASE WHEN closes THEN length('<|im_end|>') + 1 ELSE 0 END)::BIGINT AS formatted_chars
+FROM x GROUP BY conv_id"""
+
+
+def _templates() -> str:
+    """(label, template, size, k, exact, place, gram) of every template, as VALUES."""
+    out = []
+    for group, exact in ((PHRASES, True), (NOTICES, False)):
+        for text, label, size, k, _, place, _ in template_rows(group, exact):
+            gram = " ".join(w.decode() for w in words(text.encode())[place : place + k])
+            out.append(f"('{label}', '{text}', {size}, {k}, {str(exact).lower()}, {place}, '{gram}')")
+    return ", ".join(out)
+
+
+LICENSES = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({lowered('text')}, '{ALNUM_WORD}') AS w FROM documents),
+t(label, template, size, k, exact, place, gram) AS (VALUES {_templates()}),
+g AS (
+  SELECT doc_id, k, i - 1 AS spot, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (
+    SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)),
+v AS (
+  SELECT doc_id, label, template, size, t.k, exact, spot - place AS diagonal, count(DISTINCT place) AS n
+  FROM g JOIN t ON g.k = t.k AND g.gram = t.gram GROUP BY ALL),
+bands AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template, label ORDER BY diagonal) AS band FROM (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template, label ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS apart
+    FROM v WHERE NOT exact)),
+s AS (
+  SELECT doc_id, label, exact, diagonal AS start, 1.0::DOUBLE AS score FROM v WHERE exact AND n = size - k + 1
+  UNION ALL
+  SELECT doc_id, label, false, NULL, least(1.0, sum(n)::DOUBLE / (any_value(size) - any_value(k) + 1)) AS score
+  FROM bands GROUP BY doc_id, label, template, band
+  HAVING least(1.0, sum(n)::DOUBLE / (any_value(size) - any_value(k) + 1)) >= 0.7),
+p AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) AS first_word, max(start) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN p ON d.doc_id = p.doc_id"""
+
+ORACLES = {
+    "op3_quality_cascade": QUALITY,
+    "op5_ngram_jaccard": JACCARD,
+    "op6_positional_index": INDEX,
+    "op8_chat_format": CHAT,
+    "op10_license_diagonals": LICENSES,
+}
