@@ -104,3 +104,15 @@ SKIP_TAGS = [
     "figure", "figcaption", "button", "svg", "iframe", "template", "select", "label",
 ]
 MAX_IMAGES, MIN_ARTICLE_CHARS = 12, 400
+
+# Fixed patterns of a page's head: a property's content, before or after its name; %s is the property.
+META_NAME_FIRST = r"""(?i)<meta[^>]+property=["']%s["'][^>]+content=["']([^"']+)["']"""
+META_CONTENT_FIRST = r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+property=["']%s["']"""
+# Address of a post's thumbnail; the image id follows.
+THUMBNAIL = "https://miro.medium.com/v2/resize:fill:320:214/"
+
+# Named zones of mail dates (RFC 2822, section 4.3).
+MAIL_ZONES = {
+    "UT": "+0000", "GMT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}

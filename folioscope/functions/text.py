@@ -171,17 +171,35 @@ def strip_tags(c, by: str = " ") -> Column:
     return F.regexp_replace(_c(c), "<[^>]+>", by)
 
 
-# Entities that occur in practice; the pandas UDF below knows the full table.
+# Named entities that occur in practice; the pandas UDF below knows the full table.
 ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&nbsp;", " "), ("&copy;", "©"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
     ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
 ]
 
 
 def unescape(c) -> Column:
-    """One round of decoding for the common named entities (``&amp;`` last, so nothing decodes twice)."""
-    out = _c(c)
+    """One round of decoding: every numeric entity, and the named ones above (``&amp;`` last, so nothing decodes twice).
+
+    Numbers that are no character (0, surrogates, above U+10FFFF) become U+FFFD.
+    """
+    text = _c(c)
+    found = r"&#(?:[xX][0-9A-Fa-f]{1,8}|[0-9]{1,10});"
+
+    def decoded(e):
+        body = F.regexp_extract(e, "&#(.*);", 1)
+        number = F.when(body.rlike("^[xX]"), F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).cast("bigint")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        points = F.unhex(F.lpad(F.hex(F.when(valid, number).when(e.isNotNull(), F.lit(0xFFFD))), 8, "0"))
+        return F.decode(points, "UTF-32")
+
+    def numbers(t):
+        marks = F.regexp_extract_all(t, F.lit(found), F.lit(0))
+        joined = F.array_join(F.transform(F.split(t, found, -1), lambda p, i: F.concat(p, F.coalesce(decoded(F.get(marks, i)), F.lit("")))), "")
+        return F.when(t.contains("&#"), joined).otherwise(t)
+
+    out = F.transform(F.array(text), numbers)[0]  # the text is named once: rounds of decoding nest
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, urls
 from .library import first_per_key
 from .ranking import fair_share, full_rank
-from .topics import ngrams
+from .topics import ngrams, phrase_lengths
 
 EXACT, RELATED, EXPANDED = 0, 1, 2
 UNSORTED = ("general-reading", "unsorted")
@@ -44,13 +44,14 @@ def build_rules(tree: DataFrame, related: DataFrame | None = None, expanded: Dat
     return first_per_key(ranked, ["tier", "phrase"], [F.asc("rank")])
 
 
-def match_titles(posts: DataFrame, rules: DataFrame, *, longest: int = 6) -> DataFrame:
+def match_titles(posts: DataFrame, rules: DataFrame) -> DataFrame:
     """(post_id, tier, topic, subtopic) of titles with at least four words: best tier, then longest phrase, then rank.
 
     Titles become word runs and meet the rules by equality; only matches are grouped, by post.
     """
+    lengths = phrase_lengths(rules, F.split("phrase", " "))
     titled = posts.filter(F.size(F.split(F.trim("title"), r"\s+")) >= 4)
-    grams = titled.select("post_id", F.explode(ngrams(_tokens(F.col("title")), longest)).alias("phrase"))
+    grams = titled.select("post_id", F.explode(ngrams(_tokens(F.col("title")), lengths)).alias("phrase"))
     hits = grams.join(rules, "phrase")
     best = F.min(F.struct("tier", (-F.col("n")).alias("n"), "rank", "topic", "subtopic"))
     return hits.groupBy("post_id").agg(best.alias("m")).select("post_id", "m.tier", "m.topic", "m.subtopic")
@@ -63,9 +64,9 @@ def new_links(posts: DataFrame, articles: DataFrame) -> DataFrame:
     return rows.join(articles.select("url").distinct(), "url", "left_anti").join(articles.select("id").distinct(), "id", "left_anti")
 
 
-def classified_links(posts: DataFrame, rules: DataFrame, *, longest: int = 6) -> DataFrame:
+def classified_links(posts: DataFrame, rules: DataFrame) -> DataFrame:
     """Every link with its subtopic; links without a match have null topic. ``level``: 2 exact, 1 related, 0 other."""
-    m = match_titles(posts, rules, longest=longest)
+    m = match_titles(posts, rules)
     return posts.join(m, "post_id", "left").withColumn(
         "level", F.when(F.col("tier") == EXACT, 2).when(F.col("tier") == RELATED, 1).otherwise(0))
 

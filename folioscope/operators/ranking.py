@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,28 +55,28 @@ def full_rank(df: DataFrame, keys: list[str], order: list[str], rank: str = "ran
 # ---------------------------------------------------------------- diversify
 
 
-def _walk(pdf: pd.DataFrame, rank: str, group: str, sig: str, cap: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(rank, kind="stable")
-    seen, held, kept = set(), {}, []
-    for owner, key in zip(pdf[group], pdf[sig]):
-        owner = None if owner is None or owner != owner or owner == "" else owner
-        good = key not in seen and (owner is None or held.get(owner, 0) < cap)
-        if good:
-            seen.add(key)
-            if owner is not None:
-                held[owner] = held.get(owner, 0) + 1
-        kept.append(good)
-    pdf = pdf.assign(kept=kept)
-    order = pd.concat([pdf[pdf.kept], pdf[~pdf.kept]])
-    return order.assign(position=range(1, len(order) + 1))
-
-
 def diversify_bounded(df: DataFrame, list_col: str, rank: str, group: str, sig: str, cap: int) -> DataFrame:
-    """``diversify`` for lists whose length is bounded beforehand (a search band holds at most 1,200 rows)."""
-    from pyspark.sql import types as T
+    """``diversify`` for lists whose length is bounded beforehand: one aggregation over the ranked array of each list.
 
-    schema = T.StructType(df.schema.fields + [T.StructField("kept", T.BooleanType()), T.StructField("position", T.LongType())])
-    return df.groupBy(list_col).applyInPandas(lambda pdf: _walk(pdf, rank, group, sig, cap), schema)
+    Adds ``kept`` and ``position`` (kept rows first, both in rank order).
+    """
+    owner = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    row = F.struct(F.col(rank).alias("r"), owner.alias("g"), F.col(sig).alias("s"), F.struct(*df.columns).alias("row"))
+    lists = df.groupBy(list_col).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    picked = F.array(F.struct(F.col("_all")[0]["r"].alias("r"), F.col("_all")[0]["g"].alias("g"), F.col("_all")[0]["s"].alias("s")))
+
+    def free(held, x):
+        mine = F.size(F.filter(held, lambda h: (h["g"] == x["g"]) & (x["g"] != "")))
+        return ~F.exists(held, lambda h: h["s"].eqNullSafe(x["s"])) & (mine < cap)
+
+    def more(held, x):
+        return F.when(free(held, x), F.array_append(held, F.struct(x["r"].alias("r"), x["g"].alias("g"), x["s"].alias("s")))).otherwise(held)
+
+    none = F.slice(picked, 1, 0)
+    kept = F.transform(F.aggregate("_all", none, more), lambda h: h["r"])
+    flat = lists.select(F.explode("_all").alias("x"), kept.alias("_kept")).select("x.row.*", F.array_contains("_kept", F.col("x.r")).alias("kept"))
+    order = Window.partitionBy(list_col).orderBy(F.desc("kept"), rank)
+    return flat.withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def diversify(

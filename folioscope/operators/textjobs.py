@@ -86,7 +86,7 @@ def quote_candidates(quotes: DataFrame, documents: DataFrame) -> DataFrame:
     found = hits.join(rarest, "run").select("quote_id", "doc_id")
     short = keyed.filter(F.size("keys") == 0).select("quote_id", "quote")
     # quotes without an inner run are one or two cut words: find runs of the vocabulary that contain their longest piece
-    piece = F.element_at(F.array_sort(F.transform(runs("quote"), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))), -1)["r"]
+    piece = F.try_element_at(F.array_sort(F.transform(runs("quote"), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))), F.lit(-1))["r"]
     probes = short.filter(F.size(runs("quote")) > 0).select("quote_id", piece.alias("piece")).withColumn("gram", F.substring("piece", 1, 3))
     words = vocabulary.select("run").distinct()
 
@@ -95,7 +95,11 @@ def quote_candidates(quotes: DataFrame, documents: DataFrame) -> DataFrame:
 
     by_gram = words.select("run", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
     holds = by_gram.join(probes, "gram").filter(F.contains("run", F.col("piece"))).select("quote_id", "run").distinct()
-    return found.unionByName(vocabulary.join(holds, "run").select("quote_id", "doc_id").distinct())
+    held = vocabulary.join(holds, "run").select("quote_id", "doc_id").distinct()
+    # quotes of other characters only: their first character is the key
+    other = short.filter((F.size(runs("quote")) == 0) & (F.col("quote") != "")).select("quote_id", F.substring("quote", 1, 1).alias("mark"))
+    marks = documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[^\p{L}\p{N}]"), F.lit(0)))).alias("mark"))
+    return found.unionByName(held).unionByName(marks.join(other, "mark").select("quote_id", "doc_id"))
 
 
 def contained_quotes(quotes: DataFrame, documents: DataFrame) -> DataFrame:

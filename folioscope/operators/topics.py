@@ -27,19 +27,28 @@ def subtopic_phrases(tree: DataFrame, overrides: DataFrame | None = None) -> Dat
     return out.drop("_given") if overrides is not None else out
 
 
-def ngrams(tokens: Column, longest: int) -> Column:
-    """Every run of 1..longest consecutive tokens, joined by blanks."""
-    grams = F.transform(
-        tokens,
-        lambda _, i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i)),
-            lambda n: F.array_join(F.slice(tokens, i + 1, n), " "),
-        ),
-    )
-    return F.array_distinct(F.flatten(grams))
+def _run(tokens: Column, n: int):
+    return lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")
+
+
+def ngrams(tokens: Column, lengths: list[int]) -> Column:
+    """Every run of consecutive tokens whose length is one of ``lengths``, joined by blanks."""
+    none = F.array().cast("array<string>")
+    runs = [
+        F.when(F.size(tokens) >= n, F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), _run(tokens, n))
+        ).otherwise(none)
+        for n in lengths
+    ]
+    return F.array_distinct(F.concat(none, *runs))
+
+
+def phrase_lengths(phrases: DataFrame, words: Column) -> list[int]:
+    """The word counts that occur among a dimension table's phrases: the only run lengths worth making."""
+    return sorted(r[0] for r in phrases.select(F.size(words).alias("n")).distinct().collect() if r[0] and r[0] > 0)
 
 
-def fitting_subtopics(posts: DataFrame, phrased_tree: DataFrame, broad: DataFrame, *, longest: int = 6) -> DataFrame:
+def fitting_subtopics(posts: DataFrame, phrased_tree: DataFrame, broad: DataFrame) -> DataFrame:
     """Every subtopic a post fits: (url, topic, subtopic, ord).
 
     A post fits when it shares a tag with the subtopic's tags or phrase slugs, or when it carries a broad tag of the
@@ -53,12 +62,14 @@ def fitting_subtopics(posts: DataFrame, phrased_tree: DataFrame, broad: DataFram
     by_tag = posts.select("url", F.explode(F.array_distinct("tags")).alias("tag")).join(keys, "tag")
 
     phrases = subs.select("topic", "subtopic", "ord", F.explode("phrases").alias("phrase"))
-    phrase_keys = phrases.withColumn("gram", F.array_join(F.regexp_extract_all("phrase", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " "))
+    phrase_words = F.regexp_extract_all("phrase", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    phrase_keys = phrases.withColumn("gram", F.array_join(phrase_words, " "))
+    lengths = phrase_lengths(phrases, phrase_words)
     topical = posts.select("url", F.lower("title").alias("title"), F.explode("tags").alias("tag")).join(broad, "tag").select(
         "url", "title", "topic").distinct()
     tokens = F.regexp_extract_all("title", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     by_title = (
-        topical.withColumn("gram", F.explode(ngrams(tokens, longest)))
+        topical.withColumn("gram", F.explode(ngrams(tokens, lengths)))
         .join(phrase_keys, ["topic", "gram"])
         .filter(F.regexp_like("title", F.concat(
             F.lit(r"(?<![\p{L}\p{N}_])\Q"), "phrase", F.lit(r"\E(?![\p{L}\p{N}_])"))))
@@ -68,9 +79,9 @@ def fitting_subtopics(posts: DataFrame, phrased_tree: DataFrame, broad: DataFram
     return fits.distinct()
 
 
-def assign_home(posts: DataFrame, phrased_tree: DataFrame, broad: DataFrame, *, longest: int = 6) -> DataFrame:
+def assign_home(posts: DataFrame, phrased_tree: DataFrame, broad: DataFrame) -> DataFrame:
     """First subtopic in tree order that a post fits: (url, topic, subtopic)."""
-    fits = fitting_subtopics(posts, phrased_tree, broad, longest=longest)
+    fits = fitting_subtopics(posts, phrased_tree, broad)
     home = fits.groupBy("url").agg(F.min(F.struct("ord", "topic", "subtopic")).alias("h"))
     return home.select("url", "h.topic", "h.subtopic")
 

@@ -86,10 +86,11 @@ def classified(spark, d):
 
 @query("phrase_rule_match", RULES + POSTS + """SELECT l.post_id, r.tier, r.phrase, r.rank FROM
  (SELECT DISTINCT post_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT post_id, w, n, unnest(range(1, len(w) + 2 - n)) AS i FROM
-    (SELECT post_id, regexp_extract_all(lower(title), '[a-z0-9]+') AS w, unnest([1, 2]) AS n FROM lk))) l JOIN rules r USING (phrase)""")
+    (SELECT post_id, regexp_extract_all(lower(title), '[a-z0-9]+') AS w, unnest((SELECT list(DISTINCT n) FROM rules)) AS n FROM lk))) l JOIN rules r USING (phrase)""")
 def _(spark, d):
+    lengths = classify.phrase_lengths(rules(spark, d), F.split("phrase", " "))
     grams = links(spark, d).select(
-        "post_id", F.explode(classify.ngrams(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)), 2)).alias("phrase"))
+        "post_id", F.explode(classify.ngrams(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)), lengths)).alias("phrase"))
     return grams.join(rules(spark, d), "phrase").select("post_id", "tier", "phrase", F.col("rank").cast("bigint").alias("rank"))
 
 

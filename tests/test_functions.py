@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.functions import scoring, text, urls
+from folioscope.operators import classify, textjobs
 
 NOW = "2024-01-31 00:00:00"
 
@@ -74,3 +75,22 @@ def test_cleaning(spark):
     assert values(spark, rows, text.strip_jats("c0"))[0][0] == "A & B c"
     assert values(spark, rows, text.strip_jats("c0", full=True))[1][0] == "été <x>"
     assert [r[0] for r in values(spark, [("a",), ("b",)], text.display_count(F.when(F.col("c0") == "a", 12_345).otherwise(1_250)))] == ["12k", "1,250"]
+
+
+def test_numeric_entities(spark):
+    rows = [("It&#8217;s", "It’s"), ("&#x1F600;&#233;", "😀é"), ("&#0;&#xD800;&#99999999;", "���"), ("&amp;#8217;", "&#8217;"), ("&#8217", "&#8217"), (None, None)]
+    got = spark.createDataFrame(rows, "c string, want string").select(text.unescape("c").alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_quotes_without_letters(spark):
+    docs = spark.createDataFrame([(1, "wait --- what?"), (2, "plain words"), (3, "a -- b")], "doc_id int, text string")
+    quotes = spark.createDataFrame([("q", "---"), ("r", "--"), ("s", ""), ("t", "lain w")], "quote_id string, quote string")
+    got = {(r.quote_id, r.doc_id) for r in textjobs.contained_quotes(quotes, docs).collect()}
+    assert got == {("q", 1), ("r", 1), ("r", 3), ("t", 2)}
+
+
+def test_rules_of_any_length(spark):
+    tree = spark.createDataFrame([("x", "s", ["one-two-three-four-five-six-seven"])], "topic string, subtopic string, tags array<string>")
+    posts = spark.createDataFrame([(1, "zero one two three four five six seven eight"), (2, "one two three four five six")], "post_id int, title string")
+    assert [r.post_id for r in classify.match_titles(posts, classify.build_rules(tree)).collect()] == [1]

@@ -76,7 +76,10 @@ def brute(posts, me):
 
 def shaped(scored, limit):
     def vary(rows, group):
-        keep = models.diversify([(i, group(p), " ".join(sorted(set(p["title"].split())))) for i, p in enumerate(rows)], 2)
+        marks = [(i, group(p), " ".join(sorted(set(p["title"].split())))) for i, p in enumerate(rows)]
+        keep = set()
+        for n in range(len(marks)):  # the only set of the first n + 1 rows that is diverse, with or without the last
+            keep = next(k for k in ({*keep, n}, keep) if models.is_diverse(marks[: n + 1], k, 2))
         return [p for i, p in enumerate(rows) if i in keep] + [p for i, p in enumerate(rows) if i not in keep]
 
     edge = [p for p in scored if p["cached"] and p["home"] and not p["tags"]][: limit // 7]

@@ -141,3 +141,23 @@ def test_quotes_move_with_the_text(spark):
     q = spark.createDataFrame(rows, "quote_id string, doc_id bigint, quote string, start int, prefix string, suffix string")
     got = {r.quote_id: (r.start, r.orphan) for r in textjobs.anchor_quotes(q, docs).collect()}
     assert got == {"same": (3, False), "moved": (6, False), "gone": (None, True), "overlap": (1, False)}
+
+
+def test_mail_dates(spark):
+    rows = [("Mon, 05 Feb 2024 10:00:00 EST", "2024-02-05 15:00:00"), ("5 Feb 2024 1:00:00 GMT", "2024-02-05 01:00:00"), ("5 Feb 2024 10:00 +0200", "2024-02-05 08:00:00"),
+            ("5 Feb 2024 10:00:00", "2024-02-05 10:00:00"), ("5 Feb 2024 10:00:00 pdt", "2024-02-05 17:00:00"), ("no date", None)]
+    got = spark.createDataFrame(rows, "c string, want string").select(feeds.mail_date(F.col("c")).cast("string").alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_values_that_are_no_numbers(spark):
+    html = '<script>window.__APOLLO_STATE__ = {"Post:ab12":{"title":"Guide to: NaN \\\\"x: Infinity\\\\" handling","clapCount":NaN,"readingTime":-Infinity}};</script>'
+    r = pages.page_metadata(spark.createDataFrame([("https://x.org/a-ab12", html.replace("\\\\", "\\"))], "url string, html string")).first()
+    assert r.title == 'Guide to: NaN "x: Infinity" handling' and r.claps == 0 and r.reading_time == 0
+
+
+def test_image_links_are_absolute(spark):
+    long = "word " * 100
+    html = f"<article><p>{long}</p><img src='/a.png'><img data-src='b.png'><img src='//c.org/d.png'><img src='data:x'></article>"
+    rows = pages.page_blocks(spark.createDataFrame([(1, "https://x.org/p/q", html)], "page_id bigint, url string, html string")).filter("tag = 'img'").orderBy("pos").collect()
+    assert [r.value for r in rows] == ["https://x.org/a.png", "https://x.org/p/b.png", "https://c.org/d.png"]
