@@ -58,7 +58,8 @@ def candidates(
         (F.lit(since) if since is not None else F.lit(None)).cast("date").alias("since"),
         F.lit(None).cast("date").alias("before"),
     )
-    rows = match_modes(index, queries).filter("any").select("query_id", "post_id", F.round("bm", 6).alias("bm"))
+    # equal priorities are ordered by plain bm25, in which every column weighs the same
+    rows = match_modes(index, queries, weights=(1.0, 1.0)).filter("any").select("query_id", "post_id", F.round("bm", 6).alias("bm"))
     scan = phrased_tree.select(F.concat_ws("/", *KEYS).alias("query_id"), *KEYS).join(counts, KEYS, "left").select(
         "query_id", *KEYS, (F.lit(fixed.SCAN_LIMIT) + 8 * F.coalesce("n", F.lit(0))).alias("scan"))
     docs = index.docs.select("post_id", "url", "prio", (slug_text if slug_text is not None else

@@ -57,8 +57,7 @@ def build_index(posts: DataFrame) -> Index:
     The only shuffle moves the texts, spread by post; the exploded words are then counted where they are, so no word
     is ever a hot key and the larger table of postings does not travel.
     """
-    n = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = posts.select("post_id", "day", "title", "author").repartition(n, "post_id")
+    spread = posts.select("post_id", "day", "title", "author").repartition("post_id")
     flat = spread.select(
         "post_id", "day", text.words("title").alias("tw"), text.words("author").alias("aw")
     ).select(
@@ -127,10 +126,13 @@ def open_stems(postings: DataFrame, units: DataFrame) -> DataFrame:
     return heads.join(last, "head").select("query_id", "stem")
 
 
-def unit_matches(index: Index, queries: DataFrame, *, with_open: bool = True) -> DataFrame:
+WEIGHTS = (fixed.TITLE_WEIGHT, fixed.AUTHOR_WEIGHT)
+
+
+def unit_matches(index: Index, queries: DataFrame, *, with_open: bool = True, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
     """(query_id, unit, post_id, day, doc_len, wf): weighted frequency of every unit in every post that has it."""
     units = query_units(queries)
-    weight = fixed.TITLE_WEIGHT * F.col("tf_title") + fixed.AUTHOR_WEIGHT * F.col("tf_author")
+    weight = weights[0] * F.col("tf_title") + weights[1] * F.col("tf_author")
     single = units.filter((F.col("n_idx") == 1) & (F.col("field") == "any")).select("query_id", "unit", "stem")
     if with_open:
         single = single.unionByName(
@@ -163,7 +165,7 @@ def unit_matches(index: Index, queries: DataFrame, *, with_open: bool = True) ->
 
     side = F.when(F.col("field") == "author", F.lit(0)).otherwise(together("t"))
     phrase = (
-        placed.withColumn("wf", fixed.TITLE_WEIGHT * side + fixed.AUTHOR_WEIGHT * together("a"))
+        placed.withColumn("wf", weights[0] * side + weights[1] * together("a"))
         .filter(F.col("wf") > 0)
         .select("query_id", "post_id", "unit", "day", "doc_len", "wf")
     )
@@ -183,12 +185,12 @@ def bm25_units(index: Index, matches: DataFrame) -> DataFrame:
     return matches.join(df, ["query_id", "unit"]).withColumn("part", part).drop("idf")
 
 
-def match_modes(index: Index, queries: DataFrame) -> DataFrame:
+def match_modes(index: Index, queries: DataFrame, *, weights: tuple[float, float] = WEIGHTS) -> DataFrame:
     """(query_id, post_id) with the modes it satisfies (all / prefix / any), its bm25 in each, and its filters applied.
 
-    bm25 is negated: lower is better.
+    bm25 is negated: lower is better. ``weights``: of a word in the title and in the author.
     """
-    parts = bm25_units(index, unit_matches(index, queries))
+    parts = bm25_units(index, unit_matches(index, queries, weights=weights))
     shape = queries.select(
         "query_id", "since", "before",
         (F.size("terms") + F.size("phrases")).alias("n_units"), F.size("terms").alias("n_terms"),

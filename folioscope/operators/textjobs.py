@@ -9,7 +9,7 @@ from ..functions import fixed
 
 
 def _spread(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(key)
 
 
 def sentences(text):

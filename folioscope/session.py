@@ -41,12 +41,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and go on from there (survives lost executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table that several later steps read to the shared folder, as Parquet, and read it back."""
     import uuid

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,44 +40,16 @@ def load_notes(spark, folder: str) -> DataFrame:
         F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("highlights", none).alias("highlights"), "edited")
 
 
-def latest_rows(current: DataFrame, incoming: DataFrame, key: str = "id", seq: str | None = None) -> DataFrame:
-    """Insert or replace by key; of several incoming rows with a key the last (by ``seq``) counts."""
-    order = F.col(seq) if seq else F.lit(0)
-    new = incoming.withColumn("_seq", order)
-    w = Window.partitionBy(key).orderBy(F.desc("_seq"))
-    new = new.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_seq")
-    if seq and seq not in current.columns:
-        new = new.drop(seq)
-    return current.join(new.select(key), key, "left_anti").unionByName(new)
-
+def latest_rows(current: DataFrame, incoming: DataFrame, key: str, seq: str) -> DataFrame:
+    """Insert or replace by key; of several incoming rows with a key the one with the largest ``seq`` counts.
 
-def upsert_table(spark, path: str, incoming: DataFrame, key: str = "id", seq: str | None = None) -> str:
-    """Write the merged table next to the old one and name it current: one durable change for the whole batch.
-
-    The table is a folder of versions and a one-line pointer; a failed write leaves the old version in place.
-    Returns the folder of the new version.
+    Write the result to a new folder, or with a table format's own merge: a folder must not be read and replaced at once.
     """
-    current = read_table(spark, path)
-    merged = incoming if current is None else latest_rows(current, incoming, key, seq)
-    if current is None:
-        merged = latest_rows(incoming.limit(0), incoming, key, seq)
-    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    merged.write.mode("error").parquet(version)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{path.rstrip('/')}/versions")
-    return version
-
-
-def read_table(spark, path: str) -> DataFrame | None:
-    """The current version of a table written by ``upsert_table``; None when there is none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        log = spark.read.schema("version string").json(f"{path.rstrip('/')}/versions").select(
-            "version", F.col("_metadata.file_modification_time").alias("t"))
-        newest = log.orderBy(F.desc("t"), F.desc("version")).limit(1).collect()
-    except AnalysisException:
-        return None
-    return spark.read.parquet(newest[0][0]) if newest else None
+    w = Window.partitionBy(key).orderBy(F.desc(seq))
+    new = incoming.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    if seq not in current.columns:
+        new = new.drop(seq)
+    return current.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def export_json(columns: list[str]) -> Column:
@@ -94,10 +65,3 @@ _TEXT = {"id", "url", "title", "author", "snippet", "image", "topic", "subtopic"
 def library_export(articles: DataFrame, path: str, columns: list[str]) -> None:
     """One JSON line per article, written in parallel."""
     articles.select(export_json(columns).alias("value")).write.mode("overwrite").text(path)
-
-
-def notebook_export(entries: DataFrame, path: str) -> None:
-    """One Markdown text per notebook entry."""
-    from ..operators.library import entry_markdown
-
-    entries.select(entry_markdown().alias("value")).write.mode("overwrite").option("lineSep", "\n---\n\n").text(path)

@@ -98,11 +98,12 @@ def test_papers(spark, tmp_path):
 
 
 def test_store_round_trip(spark, tmp_path):
-    table = str(tmp_path / "t")
     one = spark.createDataFrame([("a", "1", 1), ("b", "1", 1), ("a", "2", 2)], "id string, v string, seq int")
-    store.upsert_table(spark, table, one, "id", "seq")
-    store.upsert_table(spark, table, spark.createDataFrame([("b", "3", 3), ("c", "3", 3)], "id string, v string, seq int"), "id", "seq")
-    assert sorted((r.id, r.v) for r in store.read_table(spark, table).collect()) == [("a", "2"), ("b", "3"), ("c", "3")]
+    first = store.latest_rows(one.limit(0), one, "id", "seq")
+    first.write.parquet(str(tmp_path / "t1"))
+    more = spark.createDataFrame([("b", "3", 3), ("c", "3", 3)], "id string, v string, seq int")
+    both = store.latest_rows(spark.read.parquet(str(tmp_path / "t1")), more, "id", "seq")
+    assert sorted((r.id, r.v) for r in both.collect()) == [("a", "2"), ("b", "3"), ("c", "3")]
     (tmp_path / "notes").mkdir()
     (tmp_path / "notes" / "aa.json").write_text(json.dumps({"notes": "x", "highlights": [{"id": "h", "quote": "q"}]}))
     n = store.load_notes(spark, str(tmp_path / "notes"))
