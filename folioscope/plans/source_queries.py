@@ -298,10 +298,15 @@ def _(spark, d):
     return store.latest_rows(a.select("id", "title"), incoming, "id", "ts")
 
 
-@query("library_export")
+EXPORTED = ["id", "url", "title", "author", "topic", "subtopic", "claps", "locked", "source", "pdf"]
+
+
+@query("library_export", q.with_(q.ARTICLES) + f"""
+SELECT id, CASE WHEN source = 'bulk' THEN
+  '{{' || array_to_string([x FOR x IN [{", ".join(f"""CASE WHEN {c}::VARCHAR <> '' THEN '"{c}":' || to_json({c})::VARCHAR END""" for c in EXPORTED)}] IF x IS NOT NULL], ',') || '}}'
+  ELSE '{{' || array_to_string([{", ".join(f"""'"{c}":' || coalesce(to_json({c})::VARCHAR, 'null')""" for c in EXPORTED)}], ',') || '}}' END AS json FROM articles""")
 def _(spark, d):
-    cols = ["id", "url", "title", "author", "topic", "subtopic", "claps", "locked", "source", "pdf"]
-    return b.articles(spark, d).select("id", store.export_json(cols).alias("json"))
+    return b.articles(spark, d).select("id", store.export_json(EXPORTED).alias("json"))
 
 
 # ---------------------------------------------------------------- change data

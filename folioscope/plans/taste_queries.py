@@ -309,14 +309,19 @@ def _(spark, d):
         "reader", "url", F.array_join("because_words", " ").alias("because_words"))
 
 
-@query("explain_pick", PAIRS + WHY + """
+#: What is explained: the sixty best of each reader, the length of a page.
+PICKED = PAIRS + ", pick AS MATERIALIZED (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY reader ORDER BY score DESC, url) <= 60)"
+
+
+@query("explain_pick", PICKED + WHY.replace("FROM final", "FROM pick") + """
 , ex AS (SELECT reader, key, title FROM (SELECT reader, unnest(labels) AS key, title, weight, doc_id FROM wt)
          QUALIFY row_number() OVER (PARTITION BY reader, key ORDER BY round(weight, 9) DESC, doc_id) = 1),
-lk AS (SELECT reader, url, arg_min(ex.title, o) AS liked FROM (SELECT reader, url, unnest(shared) AS key, generate_subscripts(shared, 1) AS o FROM final) JOIN ex USING (reader, key) GROUP BY ALL)
+lk AS (SELECT reader, url, arg_min(ex.title, o) AS liked FROM (SELECT reader, url, unnest(shared) AS key, generate_subscripts(shared, 1) AS o FROM pick) JOIN ex USING (reader, key) GROUP BY ALL)
 SELECT f.reader, f.url, array_to_string(tags_shared[1:3], ' ') AS because, liked AS "like", coalesce(array_to_string(words, ' '), '') AS because_words,
-  author_share > 0 AS same_author FROM final f LEFT JOIN lk ON lk.reader = f.reader AND lk.url = f.url LEFT JOIN why ON why.reader = f.reader AND why.url = f.url""")
+  author_share > 0 AS same_author FROM pick f LEFT JOIN lk ON lk.reader = f.reader AND lk.url = f.url LEFT JOIN why ON why.reader = f.reader AND why.url = f.url""")
 def _(spark, d):
-    rows = recommend.explain(scored(spark, d), profile(spark, d, staged=True))
+    picks = ranking.top_per_key(scored(spark, d), ["reader"], [F.desc("score"), F.asc("url")], 60)
+    rows = recommend.explain(picks, profile(spark, d, staged=True))
     return rows.select("reader", "url", F.array_join("because", " ").alias("because"), "like",
                        F.array_join("because_words", " ").alias("because_words"), "same_author")
 
