@@ -21,9 +21,9 @@ def dtype_for(path: str) -> str:
 
 
 class Encoder:
-    """Texts (UTF-8 bytes) to ids; ``most`` bounds the number of remembered words."""
+    """Texts (UTF-8 bytes) to ids; at most ``most`` words are remembered, in two generations."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -31,12 +31,26 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             self.by_word = bool(json.load(f)["model"].get("end_of_word_suffix"))
         self.dtype = dtype_for(path)
-        self.most, self.known = most, {}
+        self.most, self.known, self.old = most, {}, {}
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _by_word(self, texts: list[list[bytes]]) -> list[bytes]:
+        if len(self.known) > self.most // 2:
+            self.old, self.known = self.known, {}
+        found = [list(map(self.known.get, ws)) for ws in texts]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        new = {ws[i] for ws, g in zip(texts, gaps) for i in g}
+        self.known.update((w, self.old[w]) for w in new if w in self.old)
+        new = [w for w in new if w not in self.old]
+        self.known.update(zip(new, self._encode(new)))
+        for ws, f, g in zip(texts, found, gaps):
+            for i in g:
+                f[i] = self.known[ws[i]]
+        return [b"".join(f) for f in found]
+
     def ids(self, texts: list[bytes | None], end_id: int):
         """For each text its ids and then ``end_id``; null is empty."""
         end = np.array([end_id], dtype=self.dtype).tobytes()
@@ -44,12 +58,7 @@ class Encoder:
         for i in range(0, len(texts), step):
             part = [t or b"" for t in texts[i : i + step]]
             if self.by_word:
-                words = [t.split() for t in part]
-                if len(self.known) > self.most:
-                    self.known.clear()
-                new = list({w for ws in words for w in ws if w not in self.known})
-                self.known.update(zip(new, self._encode(new)))
-                part = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+                part = self._by_word([t.split() for t in part])
             else:
                 part = self._encode(part)
             for p in part:
