@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +65,26 @@ def reuse_digests(listing: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def hash_files(spark, folder: str, listing: DataFrame) -> DataFrame:
-    """Digest of every listed file that has none, read in parallel from ``folder``."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(
-        F.col("path").alias("full"), F.sha2("content", 256).alias("_new"))
-    todo = listing.filter(F.col("sha256").isNull()).select("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path").alias("name"))
-    full = F.regexp_replace("full", "^file:(//)?", "")
-    hashed = content.withColumn("name", full).join(todo, "name").select("path", "_new")
+    """Digest of every listed file that has none; only those files are opened, in parallel, below ``folder``."""
+    def digests(batches):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs
+
+        at = folder if "://" in folder else "file://" + re.sub("^file:", "", folder)
+        system, root = fs.FileSystem.from_uri(at.rstrip("/"))
+        for pdf in batches:
+            found = []
+            for path in pdf["path"]:
+                made = hashlib.sha256()
+                with system.open_input_stream(f"{root}/{path}") as f:
+                    while part := f.read(1 << 20):
+                        made.update(part)
+                found.append(made.hexdigest())
+            yield pd.DataFrame({"path": pdf["path"], "_new": found})
+
+    hashed = listing.filter(F.col("sha256").isNull()).select("path").mapInPandas(digests, "path string, _new string")
     return listing.join(hashed, "path", "left").select("path", "size", "mtime", F.coalesce("sha256", "_new").alias("sha256"))
 
 
