@@ -2,7 +2,7 @@
 
 A first pass counts, over all documents, the terms that test items use. Each window of a test item (ten consecutive words;
 a shorter item is one window) is then looked up by its rarest term. A second pass stores positional postings (document,
-term, positions) of the test items' terms for every document that holds a rarest term. Spark joins postings and items on
+term, positions) of the test items' terms for every document that holds a rarest term next to its neighbour in the window. Spark joins postings and items on
 those terms; for each window the position lists, moved by their places in the window, are intersected from the rarest
 term on, which leaves the starts of exact matches. With ``slack`` the same lists are matched within a few words instead,
 which finds windows that were edited.
@@ -67,8 +67,17 @@ def _merge(held):
     return np.stack([values, np.bincount(at, weights=n, minlength=len(values)).astype(np.int64)])
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray) -> DataFrame:
-    """Positional postings: doc_id, row, n_words and, where the document holds a driver, (term, positions)."""
+def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray, anchors: np.ndarray | None = None) -> DataFrame:
+    """Positional postings: doc_id, row, n_words and, where the document holds a driver, (term, positions).
+
+    ``anchors``: bits of drivers with a neighbour ("a b"); then a driver counts only next to such a neighbour.
+    """
+    def anchored(ws, h) -> bool:
+        at = np.flatnonzero(common.has_bit(drivers, h)).tolist()
+        if anchors is None or not at:
+            return bool(at)
+        pairs = {b" ".join(ws[a : a + 2]) for p in at for a in (p - 1, p) if a >= 0} | {ws[p] for p in at}
+        return bool(common.has_bit(anchors, np.fromiter(map(zlib.crc32, pairs), np.int64, len(pairs))).any())
 
     def post(batches):
         known = common.Hashes(zlib.crc32)
@@ -79,7 +88,7 @@ def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray) -> DataF
                 ws = (texts[i].as_py() or b"").translate(common.ALNUM).split()
                 doc.append(i), n.append(len(ws)), term.append(None), places.append(None)
                 h = known.of(ws, np.int64)
-                if common.has_bit(drivers, h).any():
+                if anchored(ws, h):
                     own: dict[bytes, list[int]] = {}
                     for p in np.flatnonzero(common.has_bit(vocabulary, h)).tolist():
                         own.setdefault(ws[p], []).append(p)
@@ -98,31 +107,44 @@ def ordered_windows(items: DataFrame, counts: DataFrame, size: int = WINDOW) ->
     """item_id, at, terms array<struct<n, term, off>> rarest first; windows with a term that no document has are left out."""
     w = windows(items, size)
     w = w.withColumn("key", F.xxhash64("item_id", "terms"))
-    each = w.select("item_id", "key", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
+    each = w.select("item_id", "key", F.size("terms").alias("size"), F.col("terms").alias("words"), F.posexplode("terms").alias("off", "term"))
     each = each.withColumn("crc", F.crc32(F.col("term").cast("binary"))).join(counts, "crc", "left")
-    out = each.groupBy("item_id", "key", "size").agg(F.sort_array(F.collect_list(F.struct("n", "term", "off"))).alias("terms"))
+    out = each.groupBy("item_id", "key", "size", "words").agg(F.sort_array(F.collect_list(F.struct("n", "term", "off"))).alias("terms"))
     return out.filter(~F.exists("terms", lambda t: t["n"].isNull()))
 
 
-def matches(postings: DataFrame, ordered: DataFrame, slack: int | None = None) -> DataFrame:
+def item_words(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """item_id, words array<struct<n, term>>: each item's words in order with their counts (null: no document has it)."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).distinct()
+    each = rows.select("item_id", F.xxhash64("w").alias("key"), F.posexplode("w").alias("at", "term"))
+    each = each.withColumn("crc", F.crc32(F.col("term").cast("binary"))).join(counts, "crc", "left")
+    out = each.groupBy("item_id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "term"))).alias("w"))
+    return out.select("item_id", F.transform("w", lambda x: F.struct(x["n"].alias("n"), x["term"].alias("term"))).alias("words"))
+
+
+def matches(postings: DataFrame, ordered: DataFrame, words: DataFrame, size: int = WINDOW, slack: int | None = None) -> DataFrame:
     """doc_id, row, item_id, starts array<struct<start, size>> (exact) and near (windows found within ``slack`` words)."""
-    items = ordered.groupBy("item_id").agg(F.collect_list(F.struct("size", "terms")).alias("windows"))
     drivers = ordered.select("item_id", F.col("terms")[0]["term"].alias("term")).distinct()
     posted = postings.filter("term IS NOT NULL").select("doc_id", "row", "term", "positions")
     pairs = posted.select("doc_id", "row", "term").join(drivers, "term").select("doc_id", "row", "item_id").distinct()
+    pairs = pairs.join(words, "item_id").withColumnRenamed("doc_id", "_d").withColumnRenamed("row", "_r")
     lists = posted.distinct().groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("lists"))
-    pairs = pairs.withColumnRenamed("doc_id", "_d").withColumnRenamed("row", "_r")
-    both = pairs.join(lists, pairs["_d"].eqNullSafe(lists["doc_id"]) & (pairs["_r"] == lists["row"])).drop("_d", "_r").join(items, "item_id")
+    both = pairs.join(lists, pairs["_d"].eqNullSafe(lists["doc_id"]) & (pairs["_r"] == lists["row"])).drop("_d", "_r")
+    # each window as its terms, rarest first; a term that no document has sorts first and rules the window out
+    long = F.least(F.size("words"), F.lit(size))
+    term = lambda x, off: F.struct(x["n"].alias("n"), x["term"].alias("term"), off.alias("off"))
+    every = F.transform(F.sequence(F.lit(0), F.size("words") - long), lambda i: F.sort_array(F.transform(F.slice("words", i + 1, long), term)))
+    both = both.withColumn("windows", F.filter(every, lambda w: w[0]["n"].isNotNull()))
 
     def moved(t):
         return F.transform(F.coalesce(F.try_element_at("lists", t["term"]), F.array().cast("array<int>")), lambda x: x - t["off"])
 
-    rest = lambda w: F.slice(w["terms"], F.lit(2), F.greatest(F.size(w["terms"]) - 1, F.lit(0)))
-    exact = lambda w: F.aggregate(rest(w), moved(w["terms"][0]), lambda s, t: F.when(F.size(s) == 0, s).otherwise(F.array_intersect(s, moved(t))))
-    found = F.flatten(F.transform("windows", lambda w: F.transform(exact(w), lambda s: F.struct(s.alias("start"), w["size"].alias("size")))))
+    rest = lambda w: F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
+    exact = lambda w: F.aggregate(rest(w), moved(w[0]), lambda s, t: F.when(F.size(s) == 0, s).otherwise(F.array_intersect(s, moved(t))))
+    found = F.flatten(F.transform("windows", lambda w: F.transform(exact(w), lambda s: F.struct(s.alias("start"), F.size(w).alias("size")))))
     near = F.lit(None).cast("int")
     if slack is not None:
-        close = lambda w: F.aggregate(rest(w), moved(w["terms"][0]), lambda s, t: F.filter(s, lambda a: F.exists(moved(t), lambda b: F.abs(b - a) <= slack)))
+        close = lambda w: F.aggregate(rest(w), moved(w[0]), lambda s, t: F.filter(s, lambda a: F.exists(moved(t), lambda b: F.abs(b - a) <= slack)))
         near = F.size(F.filter("windows", lambda w: F.size(close(w)) > 0))
     return both.select("doc_id", "row", "item_id", found.alias("starts"), near.alias("near"))
 
@@ -140,8 +162,8 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int | None = None) -> DataFrame:
     """One row per document row: doc_id, row, n_words, n_hit, items (sorted), near_items, contaminated."""
-    ordered, postings = prepared(docs, items, size)
-    found = matches(postings, ordered, slack)
+    ordered, words, postings = prepared(docs, items, size, slack is None)
+    found = matches(postings, ordered, words, size, slack)
     per = found.groupBy("doc_id", "row").agg(
         covered(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts"))))).alias("n_hit"),
         F.array_sort(F.collect_set(F.when(F.size("starts") > 0, F.col("item_id")))).alias("items"),
@@ -154,10 +176,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
         F.coalesce("near_items", none).alias("near_items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
-def prepared(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(windows by rarity, postings), both written to the shared folder."""
+def prepared(docs: DataFrame, items: DataFrame, size: int = WINDOW, exact: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windows by rarity, words of the items, postings), all written to the shared folder."""
     terms = windows(items, size).select(F.explode("terms").alias("term")).distinct()
     vocabulary = common.crc_bits(terms, "term")
-    ordered = common.staged(ordered_windows(items, term_counts(docs, vocabulary), size), "windows")
-    drivers = common.crc_bits(ordered.select(F.col("terms")[0]["term"].alias("term")).distinct(), "term")
-    return ordered, common.staged(index(docs, vocabulary, drivers), "postings")
+    counts = common.staged(term_counts(docs, vocabulary), "counts")
+    ordered = common.staged(ordered_windows(items, counts, size), "windows")
+    words = common.staged(item_words(items, counts), "items")
+    first = F.col("terms")[0]
+    drivers = common.crc_bits(ordered.select(first["term"].alias("term")).distinct(), "term")
+    anchors = None
+    if exact:
+        pair = F.slice("words", F.greatest(F.least(first["off"], F.col("size") - 2), F.lit(0)) + 1, F.lit(2))
+        anchors = common.crc_bits(ordered.select(F.array_join(pair, " ").alias("pair")).distinct(), "pair")
+    return ordered, words, common.staged(index(docs, vocabulary, drivers, anchors), "postings")
