@@ -21,10 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Repeated rows of it become one."""
+    """One document of each group of near copies: the one with the smallest doc_id. Its repeated rows become one."""
     found = op5_ngram_join.join(docs)
     keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
