@@ -7,8 +7,9 @@ That mixture, frozen after training, gives each next bit the weighted average of
 
 Everything depends only on runs of ``depth + 1`` bytes, so the tree is built from their counts: Spark sums them over all
 training documents, builds the levels from the deepest up (logarithm of each node's mixture) and then from the root down
-(weight and probability of each path), one aggregation or join per level. No model is broadcast: documents are dealt into
-blocks of bounded bytes, and each block is joined with the runs and words that occur in it.
+(weight and probability of each path): the lowest levels in groups of whole subtrees, the others with one aggregation or
+join per level. No model is broadcast: documents are dealt into
+blocks of bounded bytes, and each block is joined with the runs and words that occur in it. Words are told apart by 64-bit hashes.
 
 Null and empty text: only the end. Null doc_id counts as training. Repeated rows: each is counted and scored. Empty table:
 no rows. Other columns are not read.
@@ -20,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ from . import common
 
 DEPTH = 5
 BLOCK_BYTES = 24 << 20
+GROUP_RUNS = 300_000
 
 
 def log_gamma(x: Column) -> Column:
@@ -66,120 +69,180 @@ def runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], sizes
 
 
+def word_keys(known: common.Hashes, words: list[list[bytes]]) -> np.ndarray:
+    """64-bit hashes of the words of some texts, one after another."""
+    return known.of([w for ws in words for w in ws]).view(np.int64)
+
+
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(keys)).astype(np.int64)
+
+
 def count_block(depth: int):
-    """One block's distinct runs and words, each with its count in training documents."""
+    """One block's distinct runs and words (by hash), each with its count in training documents."""
 
     def count(key, rows):
-        found, words = [], {}
-        for batch in rows.to_batches(max_chunksize=2048):
-            texts, held = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            both = [normal(t) for t in texts]
+        known = common.Hashes(xxhash.xxh3_64_intdigest, 200_000)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        found = {True: [none], False: [none]}
+        for batch in rows.to_batches(max_chunksize=512):
+            both = list(zip(map(normal, batch.column(2).to_pylist()), batch.column(3).to_pylist()))
             for learn in (True, False):
-                own = [b for b, h in zip(both, held) if h != learn]
+                own = [x for x, held in both if held != learn]
                 if own:
-                    g = np.unique(runs([t for _, t in own], depth)[0], return_counts=True)
-                    found.append((g[0], g[1] * learn))
-                    for ws, _ in own:
-                        if learn:
-                            for w in ws:
-                                words[w] = words.get(w, 0) + 1
-                        else:
-                            for w in ws:
-                                words.setdefault(w, 0)
-        g, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([x for _, x in found])).astype(np.int64)
-        block = int(key[0].as_py())
+                    for is_run, keys in ((True, runs([t for _, t in own], depth)[0]), (False, word_keys(known, [ws for ws, _ in own]))):
+                        keys, n = np.unique(keys, return_counts=True)
+                        found[is_run].append((keys, n * learn))
+            for k, v in found.items():
+                if len(v) > 8:
+                    found[k] = [_added(v)]
+        (run, n), (word, m) = _added(found[True]), _added(found[False])
         return pa.table({
-            "block": pa.array([block] * (len(g) + len(words)), pa.int64()),
-            "run": pa.array([*g.tolist(), *([None] * len(words))], pa.int64()),
-            "word": pa.array([*([None] * len(g)), *words], pa.binary()),
-            "n": pa.array([*n.tolist(), *words.values()], pa.int64()),
+            "block": pa.array(np.full(len(run) + len(word), key[0].as_py(), np.int64)), "is_run": pa.array(np.arange(len(run) + len(word)) < len(run)),
+            "key": pa.array(np.concatenate([run, word])), "n": pa.array(np.concatenate([n, m])),
         })
 
     return count
 
 
-def levels(counts: DataFrame, depth: int) -> list[DataFrame]:
-    """Levels 0 to ``depth`` of all trees: ctx (the last d bytes), node (1 to 255), c0, c1, logw (log of the mixture)."""
-    symbol = F.col("run").bitwiseAND(255).cast("int")
-    each = counts.select(F.shiftright("run", 8).alias("ctx"), symbol.alias("symbol"), "n")
-    node = lambda k: (F.shiftright(F.col("symbol") + 256, 8 - k)).alias("node")
-    steps = F.array(*[F.struct(node(k), F.shiftright("symbol", 7 - k).bitwiseAND(1).alias("bit")) for k in range(8)])
-    each = each.select("ctx", "n", F.explode(steps).alias("s")).select("ctx", "s.node", "s.bit", "n")
-    sums = lambda df, *more: df.groupBy("ctx", "node").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), *more)
-    deepest = sums(each.select("ctx", "node", F.when(F.col("bit") == 0, F.col("n")).otherwise(0).alias("c0"),
-                               F.when(F.col("bit") == 1, F.col("n")).otherwise(0).alias("c1")))
-    out = [common.staged(deepest.withColumn("logw", log_kt(F.col("c0"), F.col("c1"))), "level")]
-    for d in range(depth - 1, -1, -1):
-        up = out[0].withColumn("ctx", F.col("ctx").bitwiseAND((1 << 8 * d) - 1))
-        up = sums(up, F.sum("logw").alias("below"))
-        own, below = log_kt(F.col("c0"), F.col("c1")), F.col("below")
-        up = up.withColumn("own", own)
+def np_log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """``log_kt`` for arrays."""
+    def log_gamma(x):
+        y, steps = x + 7, np.ones_like(x)
+        for k in range(7):
+            steps = steps * (x + k)
+        inv = 1 / (y * y)
+        tail = (1 / 12 - inv * (1 / 360 - inv * (1 / 1260 - inv / 1680))) / y
+        return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + tail - np.log(steps)
+
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+
+
+def subtrees(run: np.ndarray, n: np.ndarray, depth: int, top: int):
+    """The levels ``depth`` to ``top`` of some trees: (key = ctx * 256 + node, c0, c1, logw, parent's place), and the runs' bits.
+
+    The bits are (place in the deepest level, whether the bit is one), eight for each run.
+    """
+    symbol = run & 255
+    key = np.concatenate([(run >> 8) << 8 | (symbol + 256) >> (8 - k) for k in range(8)])
+    one = np.concatenate([(symbol >> (7 - k) & 1) == 1 for k in range(8)])
+    key, at = np.unique(key, return_inverse=True)
+    many = np.tile(n, 8).astype(float)
+    c0, c1 = (np.bincount(at, weights=many * x, minlength=len(key)) for x in (~one, one))
+    out = [[key, c0, c1, np_log_kt(c0, c1), None]]
+    for d in range(depth - 1, top - 1, -1):
+        key, c0, c1, logw, _ = out[-1]
+        up, place = np.unique(((key >> 8) & ((1 << 8 * d) - 1)) << 8 | key & 255, return_inverse=True)
+        c0, c1, below = (np.bincount(place, weights=x, minlength=len(up)) for x in (c0, c1, logw))
+        out[-1][4] = place
+        out.append([up, c0, c1, np.logaddexp(np_log_kt(c0, c1), below) - math.log(2), None])
+    return out, at, one
+
+
+def up_block(depth: int, top: int):
+    """Level ``top`` of the subtrees of one group of runs."""
+
+    def up(key, rows):
+        found, _, _ = subtrees(rows.column("run").to_numpy(), rows.column("n").to_numpy(), depth, top)
+        key, c0, c1, logw, _ = found[-1]
+        return pa.table({"ctx": pa.array(key >> 8), "node": pa.array((key & 255).astype(np.int32)), "c0": pa.array(c0.astype(np.int64)),
+                         "c1": pa.array(c1.astype(np.int64)), "logw": pa.array(logw)})
+
+    return up
+
+
+def down_block(depth: int, top: int):
+    """run -> log10 probability of its last byte, from what the levels above give for each node of level ``top``."""
+
+    def down(key, rows, above):
+        run = rows.column("run").to_numpy()
+        found, at, one = subtrees(run, rows.column("n").to_numpy(), depth, top)
+        given = above.column("ctx").to_numpy() << 8 | above.column("node").to_numpy()
+        order = np.argsort(given)
+        place = order[np.searchsorted(given[order], found[-1][0])]
+        p1, rest = above.column("p1").to_numpy()[place], above.column("rest").to_numpy()[place]
+        for d, (_, c0, c1, logw, _) in zip(range(top, depth + 1), found[::-1]):
+            if d > top:
+                place = found[depth - d][4]
+                p1, rest = p1[place], rest[place]
+            w = 1.0 if d == depth else np.minimum(1.0, 0.5 * np.exp(np_log_kt(c0, c1) - logw))
+            p1 = p1 + rest * w * (c1 + 0.5) / (c0 + c1 + 1)
+            rest = rest * (1 - w)
+        p = np.where(one, p1[at], 1 - p1[at])
+        return pa.table({"run": pa.array(run), "value": pa.array(np.log10(p).reshape(8, -1).sum(axis=0))})
+
+    return down
+
+
+def levels(deepest: DataFrame, top: int) -> list[DataFrame]:
+    """Levels 0 to ``top`` of all trees from level ``top``: ctx (the last d bytes), node (1 to 255), c0, c1, logw."""
+    out = [deepest]
+    for d in range(top - 1, -1, -1):
+        up = out[0].withColumn("ctx", F.col("ctx").bitwiseAND((1 << 8 * d) - 1)).groupBy("ctx", "node").agg(
+            F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("logw").alias("below"))
+        up = up.withColumn("own", log_kt(F.col("c0"), F.col("c1")))
         most = F.greatest("own", "below")
-        mixed = most + F.ln(0.5 * F.exp(F.col("own") - most) + 0.5 * F.exp(below - most))
+        mixed = most + F.ln(0.5 * F.exp(F.col("own") - most) + 0.5 * F.exp(F.col("below") - most))
         out.insert(0, common.staged(up.select("ctx", "node", "c0", "c1", mixed.alias("logw")), "level"))
     return out
 
 
 def paths(tree: list[DataFrame]) -> DataFrame:
-    """For each deepest node the probability of a one: ctx, node, p1."""
+    """What the levels above the last one give to its nodes: ctx, node, p1 (of a one, so far), rest (weight left)."""
     kt1 = (F.col("c1") + 0.5) / (F.col("c0") + F.col("c1") + 1.0)
-    own = F.exp(log_kt(F.col("c0"), F.col("c1")) - F.col("logw")) * 0.5
-    above = None
-    for d, level in enumerate(tree):
-        last = d == len(tree) - 1
-        here = level.select("ctx", "node", kt1.alias("k1"), (F.lit(1.0) if last else F.least(F.lit(1.0), own)).alias("w"))
-        if above is None:
-            above = here.select("ctx", "node", (F.col("w") * F.col("k1")).alias("p1"), (1 - F.col("w")).alias("rest"))
-        else:
-            here = here.withColumn("up", F.col("ctx").bitwiseAND((1 << 8 * (d - 1)) - 1))
-            above = above.withColumnRenamed("ctx", "up").join(here, ["up", "node"]).select(
-                "ctx", "node", (F.col("p1") + F.col("rest") * F.col("w") * F.col("k1")).alias("p1"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
-    return above.select("ctx", "node", "p1")
+    own = F.least(F.lit(1.0), F.exp(log_kt(F.col("c0"), F.col("c1")) - F.col("logw")) * 0.5)
+    above = tree[0].select("ctx", "node", F.lit(0.0).alias("p1"), F.lit(1.0).alias("rest"))
+    for d, level in enumerate(tree[:-1]):
+        here = above.join(level.select("ctx", "node", kt1.alias("k1"), own.alias("w")), ["ctx", "node"]).select(
+            F.col("ctx").alias("up"), "node", (F.col("p1") + F.col("rest") * F.col("w") * F.col("k1")).alias("p1"), (F.col("rest") * (1 - F.col("w"))).alias("rest"))
+        below = tree[d + 1].select("ctx", "node", F.col("ctx").bitwiseAND((1 << 8 * d) - 1).alias("up"))
+        above = below.join(here, ["up", "node"]).select("ctx", "node", "p1", "rest")
+    return above
 
 
 def run_scores(counts: DataFrame, depth: int) -> DataFrame:
-    """run -> log10 probability of its last byte after the bytes before it."""
-    p = paths(levels(counts, depth))
-    node = lambda k: (F.shiftright(F.col("symbol") + 256, 8 - k)).alias("node")
-    each = counts.select("run", F.shiftright("run", 8).alias("ctx"), F.col("run").bitwiseAND(255).cast("int").alias("symbol"))
-    steps = F.array(*[F.struct(node(k), F.shiftright("symbol", 7 - k).bitwiseAND(1).alias("bit")) for k in range(8)])
-    each = each.select("run", "ctx", F.explode(steps).alias("s")).select("run", "ctx", "s.node", "s.bit")
-    each = each.join(p, ["ctx", "node"])
-    return each.groupBy("run").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1")))).alias("value"))
+    """run -> log10 probability of its last byte after the bytes before it.
 
+    The two deepest levels are handled in groups of whole subtrees: a subtree below ``depth - 2`` bytes has at most 256**3
+    runs, whatever the corpus. The levels above are aggregations and joins.
+    """
+    top = max(0, depth - 2)
+    groups = counts.count() // GROUP_RUNS + 1
+    under = lambda ctx: F.pmod(F.xxhash64(ctx.bitwiseAND((1 << 8 * top) - 1)), F.lit(groups)).alias("part")
+    dealt = counts.select(under(F.shiftright("run", 8)), "run", "n")
+    deepest = dealt.groupBy("part").applyInArrow(up_block(depth, top), "ctx long, node int, c0 long, c1 long, logw double")
+    above = paths(levels(common.staged(deepest, "level"), top))
+    above = above.select(under(F.col("ctx")), "ctx", "node", "p1", "rest")
+    return dealt.groupBy("part").cogroup(above.groupBy("part")).applyInArrow(down_block(depth, top), "run long, value double")
 
-def score_block(depth: int, base: float):
+
+def score_block(depth: int, per_token: float):
     """Scores of a block's documents from the values of its runs and the counts of its words."""
 
     def score(key, docs, model):
-        is_run = model.column("run").is_valid()
-        part = model.filter(is_run)
-        run, value = part.column("run").to_numpy(), part.column("value").to_numpy()
-        order = np.argsort(run)
-        run, value = run[order], value[order]
-        part = model.filter(model.column("word").is_valid())
-        words = dict(zip(part.column("word").to_pylist(), part.column("value").to_numpy().astype(np.int64).tolist()))
-        out = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "word_score", "score", "n_bytes")}
-        for batch in docs.to_batches(max_chunksize=1024):
-            both = [normal(t) for t in batch.column(2).to_pylist()]
+        known = common.Hashes(xxhash.xxh3_64_intdigest, 200_000)
+        is_run, keys, values = (model.column(c).to_numpy() for c in ("is_run", "key", "value"))
+        tables = []
+        for part in (is_run, ~is_run):
+            order = np.argsort(keys[part])
+            tables.append((keys[part][order], values[part][order]))
+        (run, value), (word, count) = tables
+        out = []
+        for batch in docs.to_batches(max_chunksize=512):
+            both = list(map(normal, batch.column(2).to_pylist()))
             g, sizes = runs([t for _, t in both], depth)
             points = np.add.reduceat(value[np.searchsorted(run, g)], np.cumsum(sizes) - sizes)
-            for ws, _ in both:
-                n = np.fromiter(map(words.__getitem__, ws), dtype=np.int64, count=len(ws))
-                out["n_tokens"].append(len(ws) + 1)
-                out["n_known"].append(int((n > 0).sum()))
-                out["word_score"].append(float(np.log10(n + 1.0).sum() - len(ws) * base))
-            out["score"] += points.tolist()
-            out["n_bytes"] += sizes.tolist()
-            out["doc_id"] += batch.column(1).to_pylist()
-            out["held_out"] += batch.column(3).to_pylist()
-        return pa.table({
-            "doc_id": pa.array(out["doc_id"], pa.int64()), "held_out": pa.array(out["held_out"], pa.bool_()),
-            "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
-            "word_score": pa.array(out["word_score"], pa.float64()), "score": pa.array(out["score"], pa.float64()),
-            "n_bytes": pa.array(out["n_bytes"], pa.int64()),
-        })
+            n_words = np.array([len(ws) for ws, _ in both], dtype=np.int64)
+            n = count[np.searchsorted(word, word_keys(known, [ws for ws, _ in both]))] if n_words.sum() else np.zeros(0)
+            doc = np.repeat(np.arange(len(both)), n_words)
+            out.append(pa.RecordBatch.from_arrays([
+                batch.column(1), batch.column(3), pa.array(n_words + 1), pa.array(np.bincount(doc, weights=n > 0, minlength=len(both)).astype(np.int64)),
+                pa.array(np.bincount(doc, weights=np.log10(n + 1.0), minlength=len(both)) - n_words * per_token), pa.array(points), pa.array(sizes),
+            ], names=["doc_id", "held_out", "n_tokens", "n_known", "word_score", "score", "n_bytes"]))
+        kinds = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("word_score", pa.float64()),
+                 ("score", pa.float64()), ("n_bytes", pa.int64())]
+        return pa.Table.from_batches(out, pa.schema(kinds))
 
     return score
 
@@ -195,19 +258,16 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, block_bytes: in
     total, train = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 100), F.count(F.when(~F.col("held_out"), 1))).first()
     blocks = max(1, -(-(total or 0) // block_bytes))
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text", "held_out")
-    needs = common.staged(dealt.groupBy("block").applyInArrow(count_block(depth), "block long, run long, word binary, n long"), "needs")
-    counts = common.staged(needs.filter("run IS NOT NULL").groupBy("run").agg(F.sum("n").alias("n")), "runs")
-    words = needs.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("value"))
-    words = common.staged(words.select("word", F.col("value").cast("double").alias("value")), "words")
+    needs = common.staged(dealt.groupBy("block").applyInArrow(count_block(depth), "block long, is_run boolean, key long, n long"), "needs")
+    counts = common.staged(needs.filter("is_run").groupBy(F.col("key").alias("run")).agg(F.sum("n").alias("n")), "runs")
+    words = common.staged(needs.filter("NOT is_run").groupBy("key").agg(F.sum("n").cast("double").alias("value")), "words")
     known, kinds = words.filter("value > 0").agg(F.sum("value"), F.count("*")).first()
     tokens = int(known or 0) + train  # one end for each training document
     size = kinds + (train > 0)
     per_token = math.log10(tokens + size + 1)
-    values = needs.filter("run IS NOT NULL").select("block", "run").join(run_scores(counts, depth), "run").select(
-        "block", "run", F.lit(None).cast("binary").alias("word"), "value")
-    own = needs.filter("word IS NOT NULL").select("block", "word").join(words, "word").select(
-        "block", F.lit(None).cast("long").alias("run"), "word", "value")
-    model = values.unionByName(own)
+    values = run_scores(counts, depth).select(F.lit(True).alias("is_run"), F.col("run").alias("key"), "value").unionByName(
+        words.select(F.lit(False).alias("is_run"), "key", "value"))
+    model = needs.select("block", "is_run", "key").join(values, ["is_run", "key"])
     out = dealt.groupBy("block").cogroup(model.groupBy("block")).applyInArrow(
         score_block(depth, per_token), "doc_id long, held_out boolean, n_tokens long, n_known long, word_score double, score double, n_bytes long")
     end = math.log10(train + 1) - per_token
