@@ -8,9 +8,9 @@ digest of the set); classes are the nodes of the join.
 2. Two sets with a Jaccard similarity of t share a shingle within their first n - ceil(t n) + 1. Only those are posted.
 3. Postings meet on the shingle. A pair passes if its sizes allow t (length filter) and the shingles left after the meeting
    point allow the needed overlap (positional filter).
-4. Large groups of near copies would give a pair for each two members. Members therefore first meet only the earliest
-   posting of their shingle, the one with the fewest rarer shingles before it. Verified links form components; then those
-   members that are in another component than their leader meet all others outside their component. No link between
+4. Large groups of near copies would give a pair for each two members. Members therefore first meet one leader: of
+   the earliest postings of their shingles (those with the fewest rarer shingles before) the one that allows most overlap. Verified links form components; then those
+   members that are in another component than the leader of a shingle meet all others outside their component. No link between
    components is lost, and members of one component never meet again.
 5. Each remaining pair is verified once: a suffix filter (shingles per hash range bound the overlap from above), then the
    exact intersection. Shingles of the classes that have pairs are made again from the text; they are found by bits of
@@ -241,7 +241,9 @@ def join(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     posted = posted.filter("prev IS NOT NULL OR next IS NOT NULL").filter("prev IS NULL OR prev <> node")
     posted = common.staged(posted.select("shingle", "n", "pos", "node", "lead"), "postings")
     star = posted.select(F.struct("n", "pos", "node").alias("x"), F.col("lead").alias("y")).filter(fits("x", "y", percent))
-    star = star.filter("x.node <> y.node").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) / F.greatest("x.n", "y.n")
+    star = star.filter("x.node <> y.node").groupBy("x.node").agg(F.max_by("y.node", F.struct(left, "y.node")).alias("lead"))
+    star = common.staged(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "star")
     links = verify(docs, star, reps, percent, size)
     comp = common.staged(components(links), "components")
     # members in another component than their leader meet all others of the shingle outside their component
@@ -252,7 +254,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     all_ = placed.select("shingle", F.struct("n", "pos", "node", "comp").alias("y"))
     rest = out.join(all_, "shingle").filter((F.col("x.comp") != F.col("y.comp")) & fits("x", "y", percent))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = rest.join(common.staged(star.distinct(), "star"), ["a", "b"], "left_anti")
+    rest = rest.join(star, ["a", "b"], "left_anti")
     links = links.unionByName(verify(docs, rest, reps, percent, size))
     comp = common.staged(components(links), "components")
     named = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
