@@ -2,7 +2,8 @@
 
 A first pass counts, over all documents, the terms that test items use. Each window of a test item (ten consecutive words;
 a shorter item is one window) is then looked up by its rarest term. A second pass stores positional postings (document,
-term, positions) of the test items' terms for every document that holds a rarest term next to its neighbour in the window. Spark joins postings and items on
+term, positions) of the test items' terms for every document that holds a rarest term next to its neighbour in the window
+(with ``slack``: as near to it as that allows). Spark joins postings and items on
 those terms; for each window the position lists, moved by their places in the window, are intersected from the rarest
 term on, which leaves the starts of exact matches. With ``slack`` the same lists are matched within a few words instead,
 which finds windows that were edited.
@@ -67,16 +68,19 @@ def _merge(held):
     return np.stack([values, np.bincount(at, weights=n, minlength=len(values)).astype(np.int64)])
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray, anchors: np.ndarray | None = None) -> DataFrame:
+def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray, anchors: np.ndarray | None = None, slack: int = 0) -> DataFrame:
     """Positional postings: doc_id, row, n_words and, where the document holds a driver, (term, positions).
 
-    ``anchors``: bits of drivers with a neighbour ("a b"); then a driver counts only next to such a neighbour.
+    ``anchors``: bits of drivers with a neighbour ("a b"); then a driver counts only where "b" stands one place after
+    "a", give or take ``slack`` places (a place at or before "a" included).
     """
     def anchored(ws, h) -> bool:
         at = np.flatnonzero(common.has_bit(drivers, h)).tolist()
         if anchors is None or not at:
             return bool(at)
-        pairs = {b" ".join(ws[a : a + 2]) for p in at for a in (p - 1, p) if a >= 0} | {ws[p] for p in at}
+        apart = range(1 - slack, 2 + slack)
+        n = len(ws)
+        pairs = {ws[a] + b" " + ws[a + d] for p in at for d in apart for a in (p, p - d) if 0 <= a < n and 0 <= a + d < n} | {ws[p] for p in at}
         return bool(common.has_bit(anchors, np.fromiter(map(zlib.crc32, pairs), np.int64, len(pairs))).any())
 
     def post(batches):
@@ -162,7 +166,7 @@ def covered(spans: Column) -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int | None = None) -> DataFrame:
     """One row per document row: doc_id, row, n_words, n_hit, items (sorted), near_items, contaminated."""
-    ordered, words, postings = prepared(docs, items, size, slack is None)
+    ordered, words, postings = prepared(docs, items, size, slack or 0)
     found = matches(postings, ordered, words, size, slack)
     per = found.groupBy("doc_id", "row").agg(
         covered(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts"))))).alias("n_hit"),
@@ -176,7 +180,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
         F.coalesce("near_items", none).alias("near_items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
-def prepared(docs: DataFrame, items: DataFrame, size: int = WINDOW, exact: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prepared(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(windows by rarity, words of the items, postings), all written to the shared folder."""
     terms = windows(items, size).select(F.explode("terms").alias("term")).distinct()
     vocabulary = common.crc_bits(terms, "term")
@@ -185,8 +189,6 @@ def prepared(docs: DataFrame, items: DataFrame, size: int = WINDOW, exact: bool
     words = common.staged(item_words(items, counts), "items")
     first = F.col("terms")[0]
     drivers = common.crc_bits(ordered.select(first["term"].alias("term")).distinct(), "term")
-    anchors = None
-    if exact:
-        pair = F.slice("words", F.greatest(F.least(first["off"], F.col("size") - 2), F.lit(0)) + 1, F.lit(2))
-        anchors = common.crc_bits(ordered.select(F.array_join(pair, " ").alias("pair")).distinct(), "pair")
-    return ordered, words, common.staged(index(docs, vocabulary, drivers, anchors), "postings")
+    pair = F.slice("words", F.greatest(F.least(first["off"], F.col("size") - 2), F.lit(0)) + 1, F.lit(2))
+    anchors = common.crc_bits(ordered.select(F.array_join(pair, " ").alias("pair")).distinct(), "pair")
+    return ordered, words, common.staged(index(docs, vocabulary, drivers, anchors, slack), "postings")

@@ -63,6 +63,15 @@ def op6_positional_index(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_positional_index_near(spark, sf_dir):
+    """Exact phrase and proximity matches; SQL states the exact ones alone (``op6_positional_index``)."""
+    out = op6_decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=2)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"), F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"))
+
+
 def op7_best_two_fit(spark, sf_dir):
     return op7_packing.pack(op7_packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path())).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -104,6 +113,7 @@ QUERIES = {
     "op4_language_bayes": op4_language_bayes,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_positional_index": op6_positional_index,
+    "op6_positional_index_near": op6_positional_index_near,
     "op7_best_two_fit": op7_best_two_fit,
     "op8_chat_format": op8_chat_format,
     "op9_token_files": op9_token_files_query,

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from folioscope.llm import op2_pii as pii
 from folioscope.llm import op3_quality as quality
 from folioscope.llm import op6_decontaminate as bench
@@ -208,6 +209,39 @@ def test_decontaminate_near(docs, spark):
     assert out[2]["near_items"] == ["1"] and out[3]["near_items"] == [] and out[4]["near_items"] == []
 
 
+def near_by_brute_force(text, item, slack, counts, k=10):
+    at = {}
+    for i, w in enumerate(words(text)):
+        at.setdefault(w, []).append(i)
+    w = words(item)
+    for a in range(max(len(w) - k, 0) + 1):
+        win = [(t, off) for off, t in enumerate(w[a : a + k])]
+        rare = min(win, key=lambda x: (counts[x[0]], x[0], x[1]))
+        for p in at.get(rare[0], []):
+            if all(any(abs((q - off) - (p - rare[1])) <= slack for q in at.get(t, [])) for t, off in win):
+                return True
+    return False
+
+
+def test_registered_query_finds_near_windows(spark, docs, tmp_path):
+    items = [("1", "one two three four five six seven eight nine ten"), ("2", "red red blue green"), ("3", "alone"), ("4", "ten nine alone")]
+    full = items[0][1].split()
+    rows = [" ".join(full), "red blue green", "green blue red red", "alone", "alone ten nine", "nothing"]
+    rows += [" ".join(full[:i] + ["odd"] * n + full[i:]) for i in range(1, 10) for n in (1, 2, 3)]  # inserted words
+    rows += [" ".join([w for w in full if w != full[i]][:j] + [full[i]] + [w for w in full if w != full[i]][j:]) for i in range(10) for j in range(10)]  # a moved word
+    rows = list(enumerate(rows))
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in entry.queries()["op6_positional_index_near"](spark, str(tmp_path)).collect()}
+    exact = {r["doc_id"]: r for r in entry.queries()["op6_positional_index"](spark, str(tmp_path)).collect()}
+    seen = Counter(w for _, t in rows for w in words(t))
+    near = {i: sorted(name for name, item in items if near_by_brute_force(t, item, 2, seen)) for i, t in rows}
+    for i, _ in rows:
+        assert got[i]["n_near_items"] == len(near[i]) and got[i]["near_items_sha256"] == hashlib.sha256(",".join(near[i]).encode()).hexdigest(), i
+        assert {k: got[i][k] for k in exact[i].asDict()} == exact[i].asDict()
+    assert sum(bool(near[i]) and not got[i]["contaminated"] for i, _ in rows) > 20
+
+
 def test_items_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
