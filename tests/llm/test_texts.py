@@ -116,6 +116,37 @@ def test_pii_adds_spans_and_redacts(docs):
     assert clean[5]["text"] == "please call [PHONE] today, ref 10000000005 v 2024-01-15 id5x" and clean[5]["row"] == "x"
 
 
+def test_pii_finds_numbers_beside_other_digits(docs):
+    rows = [(i, f"please call +1 ({200 + i}) 555-{1000 + i} today, ref {10_000_000_000 + i} v 2024-01-{10 + i % 20} id{i}x") for i in range(300)]
+    rows += [(i, f"card {4111111111111111 + i} at ip 10.0.{i}.1") for i in range(300, 600)]
+    own = ["call 555-123-4567 555-987-6543 now", "card 4111 1111 1111 1111 12/25 ok", "phone +1 513 555 8655 2024-01-12 ok"]
+    rows += list(enumerate(own, 1000))
+    out = {r["doc_id"]: [(own[r["doc_id"] - 1000][s["start"] : s["end"]], s["kind"]) for s in r["spans"]] for r in pii.find(docs(rows)).collect() if r["doc_id"] >= 1000}
+    assert out[1000] == [("555-123-4567", "phone"), ("555-987-6543", "phone")]
+    assert out[1001] == [("4111 1111 1111 1111", "card")]
+    assert out[1002] == [("+1 513 555 8655", "phone")]
+
+
+def test_pii_parts_equal_brute_force(docs):
+    texts = ["a 12-34 (56) 78.90/12 34 x", "(513) 555-8655", "+1 513 555 8655 2024-01-12", "12345678 1 22 333 4444", "no", "1 " * 60, "9" * 40 + " 1234567", "7. 8-9"]
+    got = {}
+    for r in pii.spans_of(pii.candidates(docs(list(enumerate(texts))))).filter("source = 'part'").collect():
+        t = texts[r["doc_id"]]
+        assert t[r["start"] : r["end"]] == r["match"] and r["label"] is None
+        assert t[: r["start"]].endswith(r["before"]) and t[r["end"] :].startswith(r["after"])
+        got.setdefault(r["doc_id"], set()).add((r["start"], r["end"]))
+    for i, t in enumerate(texts):
+        want = set()
+        for run in re.finditer(r"[+(]?[0-9](?:[ ()./-]{0,2}[0-9])+", t):
+            groups = [(m.start() + run.start(), m.end() + run.start()) for m in re.finditer("[0-9]+", run[0])]
+            for a, x in enumerate(groups):
+                for y in groups[a:]:
+                    start = run.start() if a == 0 else x[0] - (t[x[0] - 1] == "(")
+                    if 7 <= len(re.sub("[^0-9]", "", t[start : y[1]])) <= 19 and (start, y[1]) != run.span():
+                        want.add((start, y[1]))
+        assert got.get(i, set()) == want, t
+
+
 def test_pii_empty(docs):
     assert pii.find(docs([])).collect() == []
     assert pii.redact(docs([])).collect() == []
