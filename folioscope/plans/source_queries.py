@@ -264,9 +264,8 @@ def _(spark, d):
 
 @query("paper_search")
 def _(spark, d):
-    w = works(spark, d)
-    both = w.unionByName(w).withColumn("query_id", F.get("container-title", F.lit(0))).withColumn("place", F.col("doc_id"))
-    return papers.paper_search(both, rows=100).select("query_id", "place", "id", "doi", "title")
+    w = works(spark, d).withColumn("query_id", F.get("container-title", F.lit(0))).withColumn("place", F.col("doc_id"))
+    return papers.paper_search(w, rows=None).select("query_id", "place", "id", "doi", "title")
 
 
 @query("papers_order", q.with_(q.ARTICLES) + "SELECT id, coalesce(CAST(locked_checked AS VARCHAR), CAST(published AS VARCHAR), '') AS shown FROM articles")

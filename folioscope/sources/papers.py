@@ -57,12 +57,13 @@ def paper_records(works: DataFrame, *, full_entities: bool = False) -> DataFrame
     )
 
 
-def paper_search(works: DataFrame, *, rows: int = 50, place: str = "place", **options) -> DataFrame:
-    """Records of the first works of every query's answer (``query_id``, place), one per id; 1 to 100 works count."""
+def paper_search(works: DataFrame, *, rows: int | None = 50, place: str = "place", **options) -> DataFrame:
+    """Records of the first works of every query's answer (``query_id``, place), one per id; ``rows=None``: of all its works."""
     from ..operators.ranking import top_per_key
 
-    limit = max(1, min(int(rows), 100))
-    first = top_per_key(works, ["query_id"], [F.asc(place)], limit, "_r").drop("_r")
+    first = works
+    if rows is not None:
+        first = top_per_key(works, ["query_id"], [F.asc(place)], max(1, int(rows)), "_r").drop("_r")
     keyed = first.select("query_id", place, F.lower("DOI").alias("_doi")).filter(F.coalesce("_doi", F.lit("")) != "")
     best = first_per_key(keyed, ["query_id", "_doi"], [F.asc(place)])
     return best.join(first_per_key(paper_records(first, **options).withColumn("_doi", F.lower("doi")), ["_doi"], [F.asc("title")]), "_doi").drop("_doi")

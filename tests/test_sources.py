@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from folioscope.operators import briefing, library, reconcile, textjobs
 from folioscope.sources import feeds, pages, papers, sitemaps, store
 
@@ -162,3 +163,14 @@ def test_image_links_are_absolute(spark):
     html = f"<article><p>{long}</p><img src='/a.png'><img data-src='b.png'><img src='//c.org/d.png'><img src='data:x'></article>"
     rows = pages.page_blocks(spark.createDataFrame([(1, "https://x.org/p/q", html)], "page_id bigint, url string, html string")).filter("tag = 'img'").orderBy("pos").collect()
     assert [r.value for r in rows] == ["https://x.org/a.png", "https://x.org/p/b.png", "https://c.org/d.png"]
+
+
+def test_paper_search_without_limit(spark, tmp_path):
+    docs = [(i, f"Title {i}", "en", "src1", 9) for i in range(1, 151)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = entry.queries()["paper_search"](spark, str(tmp_path)).collect()
+    assert sorted(r.place for r in rows) == [i for i in range(1, 151) if i % 11]  # every work that has a DOI
+    works = spark.createDataFrame([("q", i, f"10.1/{i}") for i in range(130)], "query_id string, place long, DOI string")
+    works = works.select("*", F.from_json(F.lit("{}"), papers.WORK_SCHEMA.replace("DOI string, ", "")).alias("w")).select("query_id", "place", "DOI", "w.*")
+    assert [papers.paper_search(works, rows=n).count() for n in (1, 120, None)] == [1, 120, 130]
