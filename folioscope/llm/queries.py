@@ -15,6 +15,7 @@ from . import (
     op8_chat,
     op9_token_files,
     op10_licenses,
+    op11_repeats,
 )
 from .common import shared_folder, table
 from .oracles import ORACLES
@@ -100,6 +101,10 @@ def op10_license_diagonals(spark, sf_dir):
     return op10_licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_bwt_repeats(spark, sf_dir):
+    return op11_repeats.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -118,6 +123,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_files": op9_token_files_query,
     "op10_license_diagonals": op10_license_diagonals,
+    "op11_bwt_repeats": op11_bwt_repeats,
     "pipeline": pipeline,
 }
 
