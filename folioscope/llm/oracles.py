@@ -123,10 +123,47 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
   last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN p ON d.doc_id = p.doc_id"""
 
+TRIE = """
+WITH RECURSIVE bits AS (
+  SELECT n, 0 AS i, n AS c FROM range(256) t(n)
+  UNION ALL SELECT n, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE i < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM bits WHERE i = 8),
+o AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+h AS (
+  SELECT n.c, n.c - n.c % 5 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(n.c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1]))) % 9 AS h
+  FROM n, crc),
+k AS (SELECT h.*, least(h.h, coalesce(n.n, 0)) AS kept FROM h LEFT JOIN n ON n.c = h.base),
+r AS (
+  SELECT k.c, o.i, role, text FROM k JOIN o ON o.c = k.base AND o.i <= k.h
+  UNION ALL SELECT k.c, k.kept + o.i - k.h, role, text FROM k JOIN o ON o.c = k.c AND o.i > k.h),
+l AS (
+  SELECT k.c, coalesce(p.p, []) AS p
+  FROM k LEFT JOIN (SELECT c, list({'role': role, 'text': text} ORDER BY i) AS p FROM r GROUP BY c) p ON p.c = k.c),
+x AS (SELECT c, len(p) AS length, d, p[1:d] AS node, p[1:d - 1] AS above, p[d].text AS said FROM (SELECT c, p, unnest(range(len(p) + 1)) AS d FROM l)),
+g AS (
+  SELECT node, d, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(strlen(said)), 0) AS own,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE length = d), '')) AS ends_sha256
+  FROM x GROUP BY node, d),
+b AS (SELECT above AS node, d - 1 AS d, count(*) AS n FROM g WHERE d > 0 GROUP BY 1, 2),
+s AS (
+  SELECT x.node, x.d, sum((b.n IS NULL)::INT) AS n_leaves, sum(g.own) AS saved_tokens
+  FROM g LEFT JOIN b ON b.node = g.node AND b.d = g.d JOIN x ON x.c = g.conv_id AND x.d <= g.d GROUP BY 1, 2)
+SELECT g.conv_id, g.d AS depth, a.conv_id AS parent_conv_id, g.n_convs, coalesce(b.n, 0)::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, g.ends_sha256
+FROM g JOIN s ON s.node = g.node AND s.d = g.d LEFT JOIN b ON b.node = g.node AND b.d = g.d
+LEFT JOIN g a ON g.d > 0 AND a.node = g.above AND a.d = g.d - 1"""
+
 ORACLES = {
     "op3_quality_cascade": QUALITY,
     "op5_ngram_jaccard": JACCARD,
     "op6_positional_index": INDEX,
     "op8_chat_format": CHAT,
     "op10_license_diagonals": LICENSES,
+    "op12_prefix_trie": TRIE,
 }

@@ -16,6 +16,8 @@ from . import (
     op9_token_files,
     op10_licenses,
     op11_repeats,
+    op12_prefix_trie,
+    op13_whitening,
 )
 from .common import shared_folder, table
 from .oracles import ORACLES
@@ -105,6 +107,14 @@ def op11_bwt_repeats(spark, sf_dir):
     return op11_repeats.repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op12_prefix_trie_nodes(spark, sf_dir):
+    return op12_prefix_trie.branched_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_chebyshev_whitening(spark, sf_dir):
+    return op13_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -124,6 +134,8 @@ QUERIES = {
     "op9_token_files": op9_token_files_query,
     "op10_license_diagonals": op10_license_diagonals,
     "op11_bwt_repeats": op11_bwt_repeats,
+    "op12_prefix_trie": op12_prefix_trie_nodes,
+    "op13_chebyshev_whitening": op13_chebyshev_whitening,
     "pipeline": pipeline,
 }
 
