@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import op12_prefix_trie as op
 from folioscope.llm.queries import QUERIES
@@ -91,7 +92,7 @@ def test_odd_rows(spark, monkeypatch):
 
 def test_long_key_adds_up_over_ranges(spark):
     df = spark.range(5000).selectExpr("id % 2 + cast(id > 4000 as long) as k", "id", "id as a", "xxhash64(id) as x").repartition(7)
-    out = sorted(map(tuple, op.running(df, "k", [df["id"]], ["a"], ["x"]).select("k", "id", "a", "x").collect()))
+    out = sorted(map(tuple, op.running(df, "k", [F.col("id")], ["a"], ["x"]).select("k", "id", "a", "x").collect()))
     add, xor = defaultdict(int), defaultdict(int)
     hashes = {r["id"]: r["x"] for r in df.collect()}
     for k, i, a, x in out:
