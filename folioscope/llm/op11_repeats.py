@@ -439,7 +439,8 @@ def repeats(docs: DataFrame, size: int = 100, hot: int = HOT) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (bytes, end exclusive)."""
     rows = common.doc_rows(docs).withColumn("text", F.coalesce("text", F.lit(b"")))
     rows = rows.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 33).cast("int").alias("row"), "text")
-    marks = common.staged(judged(candidates(rows, size), hot), "repeats")
+    # dealt by anchor once, which serves both windows
+    marks = common.staged(judged(candidates(rows, size).repartition("anchor"), hot), "repeats")
     look = F.col("anchor").isNotNull()
     sums = marks.filter(look).agg(
         F.sum(F.when(~F.col("hot"), F.col("n") + size)), F.sum(F.col("hot").cast("long"))).first()
