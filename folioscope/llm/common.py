@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.session import checkpoint_dir
 from folioscope.session import stage as staged
 
-__all__ = ["staged", "table", "doc_rows", "lower_ascii", "shared_folder", "ALNUM", "LOWER", "Hashes", "crc_bits", "has_bit"]
+__all__ = ["staged", "table", "doc_rows", "lower_ascii", "shared_folder", "ALNUM", "LOWER", "Hashes", "Table", "crc_bits", "has_bit"]
 
 #: Byte tables. LOWER maps A-Z to a-z. ALNUM also turns every ASCII character but letters and digits into a space.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,14 +55,37 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=dtype, count=len(words))
 
 
+class Table:
+    """Values by 64-bit key in numpy; each key asked for must be there. Keys lie in buckets by hash, looked through in step."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = np.uint64(63 - max(1, len(keys)).bit_length())
+        at = self._bucket(keys)
+        order = np.argsort(at)
+        self.keys, self.values = keys[order], values[order]
+        self.first = np.searchsorted(at[order], np.arange((1 << (64 - int(self.shift))) + 1)).astype(np.int32)
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = self.first[self._bucket(keys)]
+        miss = np.flatnonzero(self.keys[at] != keys)
+        while len(miss):
+            at[miss] += 1
+            miss = miss[self.keys[at[miss]] != keys[miss]]
+        return self.values[at]
+
+
 def crc_bits(words: DataFrame, column: str, bits: int = 24) -> np.ndarray:
-    """A set of strings as 2**bits bits, by crc32: its size doesn't depend on the number of strings.
+    """A set of strings as 2**bits bits, by crc32: its size doesn't depend on the number of strings. Nulls have no bit.
 
     Only words of 64 bits that have a bit set come to the driver: at most 2**(bits - 6) rows.
     """
     at = F.pmod(F.crc32(F.col(column).cast("binary")), F.lit(1 << bits))
     rows = (
-        words.select(at.alias("at"))
+        words.filter(F.col(column).isNotNull()).select(at.alias("at"))
         .groupBy(F.shiftright("at", 6).cast("int").alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("bits"))
         .toPandas()

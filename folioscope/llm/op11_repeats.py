@@ -204,7 +204,8 @@ def judged(found: DataFrame, hot: int) -> DataFrame:
 def bodies(docs: DataFrame, wanted: DataFrame, size: int, buckets: int) -> DataFrame:
     """The bytes of the wanted strings. Hot ones: one row for each window, keyed by its digest, without bytes."""
     lists = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("own"))
-    both = docs.alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.row") == F.col("l.row")))
+    long = docs.filter(F.octet_length("text") >= size)  # shorter ones have no strings
+    both = long.alias("d").join(lists.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.row") == F.col("l.row")))
 
     def run(batches):
         last = None

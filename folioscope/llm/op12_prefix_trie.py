@@ -206,7 +206,8 @@ def trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     root = ends.select("conv_id", zero.alias("depth"), zero.alias("x1"), zero.alias("x2"), zero.alias("size"), zero.alias("bytes"), "length", "alone")
     known = rows.join(ends, "conv_id")
     maybe = known.filter("depth < alone").unionByName(root)
-    groups = maybe.groupBy(*NODE).agg(F.min("conv_id").alias("least"), F.max("length").alias("longest"))
+    # written first, so that a join with a node of many conversations can be split
+    groups = common.staged(maybe.groupBy(*NODE).agg(F.min("conv_id").alias("least"), F.max("length").alias("longest")), "groups")
     placed = maybe.join(groups, NODE)
     own, end = F.col("least") == F.col("conv_id"), F.col("depth") == F.col("length")
     # r: depth from which the conversation is the smallest member; above: the smallest member one turn before

@@ -223,18 +223,14 @@ def score_block(depth: int, per_token: float):
     def score(key, docs, model):
         known = common.Hashes(xxhash.xxh3_64_intdigest, 200_000)
         is_run, keys, values = (model.column(c).to_numpy() for c in ("is_run", "key", "value"))
-        tables = []
-        for part in (is_run, ~is_run):
-            order = np.argsort(keys[part])
-            tables.append((keys[part][order], values[part][order]))
-        (run, value), (word, count) = tables
+        run, word = (common.Table(keys[part], values[part]) for part in (is_run, ~is_run))
         out = []
         for batch in docs.to_batches(max_chunksize=512):
             both = list(map(normal, batch.column(2).to_pylist()))
             g, sizes = runs([t for _, t in both], depth)
-            points = np.add.reduceat(value[np.searchsorted(run, g)], np.cumsum(sizes) - sizes)
+            points = np.add.reduceat(run.of(g), np.cumsum(sizes) - sizes)
             n_words = np.array([len(ws) for ws, _ in both], dtype=np.int64)
-            n = count[np.searchsorted(word, word_keys(known, [ws for ws, _ in both]))] if n_words.sum() else np.zeros(0)
+            n = word.of(word_keys(known, [ws for ws, _ in both])) if n_words.sum() else np.zeros(0)
             doc = np.repeat(np.arange(len(both)), n_words)
             out.append(pa.RecordBatch.from_arrays([
                 batch.column(1), batch.column(3), pa.array(n_words + 1), pa.array(np.bincount(doc, weights=n > 0, minlength=len(both)).astype(np.int64)),

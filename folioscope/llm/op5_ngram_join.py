@@ -3,7 +3,7 @@
 A document's set is its distinct five-word shingles (64-bit hashes). Equal sets form one class (by size and a 64-bit
 digest of the set); classes are the nodes of the join.
 
-1. Counts of shingles are kept in a table of 2**21 cells (a fixed size). Every set is sorted by (count of its cell, hash),
+1. Counts of shingles are kept in a table of 2**24 cells (a fixed size). Every set is sorted by (count of its cell, hash),
    rarest first. Any common order gives right results; this one makes prefixes rare.
 2. Two sets with a Jaccard similarity of t share a shingle within their first n - ceil(t n) + 1. Only those are posted.
 3. Postings meet on the shingle. A pair passes if its sizes allow t (length filter) and the shingles left after the meeting
@@ -19,8 +19,8 @@ digest of the set); classes are the nodes of the join.
 Components come from alternating large-star and small-star steps, written to the shared folder at each step.
 
 Fewer than five words: the whole sequence is the one shingle. Null or empty text: no shingles, no links, a component of
-its own. Null doc_id: kept; it is never a component's name if others exist. Repeated rows: equal sets, one class. Empty
-table: no rows. Other columns are not read.
+its own. Null doc_id: kept; it is never a component's name if others exist, and links like any other. Repeated rows: equal
+sets, one class. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 from .op10_licenses import MIX, mix
 
 WORDS = 5
-CELLS = 1 << 21
-CHUNK = 1 << 15
+CELLS = 1 << 24
+CHUNK = 1 << 18
 FAN_IN = 32
 BANDS = 64
 
@@ -60,62 +60,90 @@ def node_of(own: np.ndarray) -> int:
 
 
 def describe(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, n, node) per row, and per task the counts of shingle cells: part, chunk, cells (null for documents)."""
+    """(doc_id, row, n, node) per row, and per task the counts of shingle cells: part, chunk, cells (null for documents).
+
+    A task's counts stop at 255: one byte for each cell.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
-        known, cells = common.Hashes(xxhash.xxh3_64_intdigest), np.zeros(CELLS, dtype=np.uint32)
+        tokens.release()
+        known, cells, held, many = common.Hashes(xxhash.xxh3_64_intdigest), np.zeros(CELLS, dtype=np.uint8), [], 0
+
+        def count():
+            at, n = np.unique((np.concatenate(held) & np.uint64(CELLS - 1)).astype(np.int64), return_counts=True)
+            cells[at] = np.minimum(255, cells[at] + n)
+
         for batch in batches:
-            texts, n, node = batch.column(1), [], []
+            texts, n, node = batch.column(2), [], []
             for i in range(batch.num_rows):
                 own = shingles(known, texts[i].as_py(), size)
                 n.append(len(own)), node.append(node_of(own) if len(own) else None)
-                np.add.at(cells, (own & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                held.append(own)
+                many += len(own)
+                if many > 500_000:
+                    count()
+                    held, many = [], 0
             rows = batch.num_rows
-            yield _described(batch.column(0), n, node, [None] * rows, [None] * rows, [None] * rows)
+            yield _described(batch.column(0), batch.column(1), n, node, [None] * rows, [None] * rows, [None] * rows)
+        if held:
+            count()
         part = TaskContext.get().partitionId()
         if cells.any():
             for c in range(CELLS // CHUNK):
-                yield _described(pa.nulls(1, pa.int64()), [None], [None], [part], [c], [cells[c * CHUNK : (c + 1) * CHUNK].tobytes()])
+                yield _described(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [None], [None], [part], [c], [cells[c * CHUNK : (c + 1) * CHUNK].tobytes()])
 
-    kinds = "doc_id long, n long, node long, part int, chunk int, cells binary"
-    return common.doc_rows(docs).mapInArrow(run, kinds)
+    rows = common.doc_rows(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, n long, node long, part int, chunk int, cells binary")
 
 
-def _described(doc_id, n, node, part, chunk, cells) -> pa.RecordBatch:
+def _described(doc_id, row, n, node, part, chunk, cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [doc_id, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(chunk, pa.int32()), pa.array(cells, pa.binary())],
-        names=["doc_id", "n", "node", "part", "chunk", "cells"])
+        [doc_id, row, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(chunk, pa.int32()), pa.array(cells, pa.binary())],
+        names=["doc_id", "row", "n", "node", "part", "chunk", "cells"])
 
 
 def add_cells(parts: DataFrame) -> np.ndarray:
-    """Sum the tasks' tables, at most FAN_IN of a chunk in one group at a time; the result has CELLS numbers."""
+    """Sum the tasks' tables, at most FAN_IN of a chunk in one group at a time; the result has CELLS numbers up to 65,535."""
     rows = parts.filter("chunk IS NOT NULL").select("part", "chunk", "cells")
     most = rows.agg(F.max("part")).first()[0]
+    out = np.zeros(CELLS, dtype=np.uint16)
     if most is None:
-        return np.zeros(CELLS, dtype=np.uint32)
+        return out
+
+    def read(cells):  # a task's bytes, or sums
+        return np.frombuffer(cells, dtype=np.uint8 if len(cells) == CHUNK else np.uint16)
 
     def add(key, rows):
-        total = sum(np.frombuffer(x.as_py(), dtype=np.uint32) for x in rows.column("cells"))
+        total = np.zeros(CHUNK, dtype=np.uint32)
+        for x in rows.column("cells"):
+            total += read(x.as_py())
+        total = np.minimum(total, 65_535).astype(np.uint16)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "cells": [total.tobytes()]})
 
     while most > 0:
         rows = rows.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("part", "chunk").applyInArrow(add, "part int, chunk int, cells binary")
         most //= FAN_IN
-    out = np.zeros(CELLS, dtype=np.uint32)
     for r in rows.toLocalIterator():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["cells"]), dtype=np.uint32)
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = read(bytes(r["cells"]))
     return out
 
 
-def postings(docs: DataFrame, cells: np.ndarray, percent: int, size: int = WORDS) -> DataFrame:
-    """(shingle, n, pos, node) of the rare-first prefix of each set; a set is posted at most once per task."""
-    # only the order of magnitude matters: 64 levels, so that 2 MB are sent to each worker
-    level = np.minimum(63, np.round(4 * np.log2(cells + 1.0))).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(level)
+def levels_of(cells: np.ndarray) -> np.ndarray:
+    """Only the order of magnitude matters: 64 levels in one byte for each cell, so that 16 MB are sent to each worker."""
+    table = np.minimum(63, np.round(4 * np.log2(np.arange(65_536) + 1.0))).astype(np.uint8)
+    return table[cells]
+
+
+def postings(docs: DataFrame, shared, percent: int, size: int = WORDS) -> DataFrame:
+    """(shingle, n, pos, node) of the rare-first prefix of each set; a set is posted at most once per task.
+
+    ``shared``: broadcast of ``levels_of``.
+    """
 
     def run(batches):
+        tokens.release()
         known, seen, levels = common.Hashes(xxhash.xxh3_64_intdigest), set(), shared.value
         for batch in batches:
             out = []
@@ -165,7 +193,7 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int, siz
             out = []
             crcs = np.array([zlib.crc32(b"" if x is None else str(x).encode()) for x in batch.column(0).to_pylist()], dtype=np.int64)
             texts = batch.column(1)
-            for i in np.flatnonzero(common.has_bit(bits, crcs)).tolist():
+            for i in np.flatnonzero(common.has_bit(bits, crcs) | np.asarray(batch.column(0).is_null())).tolist():
                 own = shingles(known, texts[i].as_py(), size)
                 if len(own):
                     out.append((batch.column(0)[i].as_py(), node_of(own), own.tobytes()))
@@ -230,16 +258,26 @@ def components(links: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    return grouped(docs, percent, size).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
+    """As ``join``, with ``row`` (hash of doc_id and text) and ``group``, a key of the component that needs no doc_id.
+
+    Rows without words have no links: their group is the hash of doc_id and text, so only equal rows share it.
+    """
     seen = common.staged(describe(docs, size), "shingled")
-    rows = seen.filter("chunk IS NULL").select("doc_id", "n", "node")
+    rows = seen.filter("chunk IS NULL").select("doc_id", "row", "n", "node")
     reps = common.staged(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-    posted = postings(docs, add_cells(seen), percent, size)
+    shared = docs.sparkSession.sparkContext.broadcast(levels_of(add_cells(seen)))
+    posted = postings(docs, shared, percent, size)
     # keep shingles that two classes post; the leader is the earliest posting of the shingle
     order = W.partitionBy("shingle").orderBy("pos", "n", "node")
     posted = posted.withColumn("prev", F.lag("node").over(order)).withColumn("next", F.lead("node").over(order))
     posted = posted.withColumn("lead", F.first(F.struct("n", "pos", "node")).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     posted = posted.filter("prev IS NOT NULL OR next IS NOT NULL").filter("prev IS NULL OR prev <> node")
     posted = common.staged(posted.select("shingle", "n", "pos", "node", "lead"), "postings")
+    shared.unpersist()
     star = posted.select(F.struct("n", "pos", "node").alias("x"), F.col("lead").alias("y")).filter(fits("x", "y", percent))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) / F.greatest("x.n", "y.n")
     star = star.filter("x.node <> y.node").groupBy("x.node").agg(F.max_by("y.node", F.struct(left, "y.node")).alias("lead"))
@@ -259,6 +297,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     comp = common.staged(components(links), "components")
     named = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.select("node", "comp").join(names, "comp").select("node", "component_id")
+    named = named.select("node", "comp").join(names, "comp").select("node", "comp", "component_id")
     return rows.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.struct(F.col("comp").isNull().alias("bare"), F.coalesce("comp", "row").alias("key")).alias("group"))

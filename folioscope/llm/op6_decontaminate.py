@@ -9,7 +9,8 @@ term on, which leaves the starts of exact matches. With ``slack`` the same lists
 which finds windows that were edited.
 
 The sets of terms that the passes look for are bits of fixed size (``common.crc_bits``), whatever the size of the test
-table; terms with equal bits only add postings that the join drops.
+table; terms with equal bits only add postings that the join drops. An item with a null item_id counts like any other but has
+no name in ``items`` and ``near_items``.
 
 Null or empty text has no words: never contaminated, and an item without words is never found. Repeated rows get equal
 results (rows are told apart by doc_id and text). Repeated items count once by item_id. Empty tables: no rows, or no
@@ -25,18 +26,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
+from .op3_quality import let
 
 WINDOW = 10
+UNNAMED = "\x00"
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(common.lower_ascii(F.coalesce(text.cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")
 
 
+def item_name() -> Column:
+    """The item's id as a string; an item without one is known by a mark and the hash of its text."""
+    mark = F.concat(F.lit(UNNAMED), F.xxhash64("text").cast("string"))
+    return F.coalesce(F.col("item_id").cast("string"), mark).alias("item_id")
+
+
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id string, at, terms array: the distinct windows of each item."""
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    rows = items.select(item_name(), words_of(F.col("text")).alias("w")).filter(F.size("w") > 0)
     last = F.greatest(F.size("w") - size, F.lit(0))
     rows = rows.select("item_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     return rows.select("item_id", F.slice("w", F.col("at") + 1, F.lit(size)).alias("terms")).distinct()
@@ -46,6 +55,7 @@ def term_counts(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(crc long, n long): how often the words whose crc32 is in ``bits`` occur in all documents."""
 
     def count(batches):
+        tokens.release()
         known, held = common.Hashes(zlib.crc32), []
         for batch in batches:
             texts = batch.column(0)
@@ -84,6 +94,7 @@ def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray, anchors:
         return bool(common.has_bit(anchors, np.fromiter(map(zlib.crc32, pairs), np.int64, len(pairs))).any())
 
     def post(batches):
+        tokens.release()
         known = common.Hashes(zlib.crc32)
         for batch in batches:
             doc, n, term, places = [], [], [], []
@@ -119,7 +130,7 @@ def ordered_windows(items: DataFrame, counts: DataFrame, size: int = WINDOW) ->
 
 def item_words(items: DataFrame, counts: DataFrame) -> DataFrame:
     """item_id, words array<struct<n, term>>: each item's words in order with their counts (null: no document has it)."""
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("w")).distinct()
+    rows = items.select(item_name(), words_of(F.col("text")).alias("w")).distinct()
     each = rows.select("item_id", F.xxhash64("w").alias("key"), F.posexplode("w").alias("at", "term"))
     each = each.withColumn("crc", F.crc32(F.col("term").cast("binary"))).join(counts, "crc", "left")
     out = each.groupBy("item_id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "term"))).alias("w"))
@@ -148,7 +159,8 @@ def matches(postings: DataFrame, ordered: DataFrame, words: DataFrame, size: int
     found = F.flatten(F.transform("windows", lambda w: F.transform(exact(w), lambda s: F.struct(s.alias("start"), F.size(w).alias("size")))))
     near = F.lit(None).cast("int")
     if slack is not None:
-        close = lambda w: F.aggregate(rest(w), moved(w[0]), lambda s, t: F.filter(s, lambda a: F.exists(moved(t), lambda b: F.abs(b - a) <= slack)))
+        close = lambda w: F.aggregate(rest(w), moved(w[0]), lambda s, t: F.when(F.size(s) == 0, s).otherwise(
+            let(moved(t), lambda m: F.filter(s, lambda a: F.exists(m, lambda b: F.abs(b - a) <= slack)))))
         near = F.size(F.filter("windows", lambda w: F.size(close(w)) > 0))
     return both.select("doc_id", "row", "item_id", found.alias("starts"), near.alias("near"))
 
@@ -168,10 +180,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack:
     """One row per document row: doc_id, row, n_words, n_hit, items (sorted), near_items, contaminated."""
     ordered, words, postings = prepared(docs, items, size, slack or 0)
     found = matches(postings, ordered, words, size, slack)
+    named = ~F.startswith("item_id", F.lit(UNNAMED))
     per = found.groupBy("doc_id", "row").agg(
         covered(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts"))))).alias("n_hit"),
-        F.array_sort(F.collect_set(F.when(F.size("starts") > 0, F.col("item_id")))).alias("items"),
-        F.array_sort(F.collect_set(F.when(F.col("near") > 0, F.col("item_id")))).alias("near_items"),
+        F.array_sort(F.collect_set(F.when((F.size("starts") > 0) & named, F.col("item_id")))).alias("items"),
+        F.array_sort(F.collect_set(F.when((F.col("near") > 0) & named, F.col("item_id")))).alias("near_items"),
     ).withColumnRenamed("doc_id", "_d").withColumnRenamed("row", "_r")
     rows = postings.filter("term IS NULL").select("doc_id", "row", "n_words")
     none = F.array().cast("array<string>")

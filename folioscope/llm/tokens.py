@@ -73,3 +73,9 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Give back the words that this worker remembers; tasks of other operators call it when they begin."""
+    for known in _ENCODERS.values():
+        known.known, known.old = {}, {}

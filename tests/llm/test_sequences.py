@@ -162,6 +162,32 @@ def test_files_round_trip(spark, docs, odd):
     assert files.read(files.write(docs([]), empty, tokenizer_path()), empty, tokenizer_path()).collect() == []
 
 
+def test_near_copies_without_ids(spark, docs):
+    """Null ids link like others; of a group that shares an id, or has none, one row stays."""
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    edit = lambda ws, k: " ".join(ws[:k] + ["x"] + ws[k + 1 :])
+    rows = [(None, " ".join(base)), (None, edit(base, 59)), (7, " ".join(other)), (7, edit(other, 0)), (3, edit(base, 0)), (9, None), (None, None), (9, None)]
+    d = docs(rows)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.join(d).collect()}
+    assert found == {(None, 56, 3), (3, 56, 3), (7, 56, 7), (9, 0, 9), (None, 0, None)}
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, d, SF).collect()), key=repr)
+    assert [k for k, _ in kept] == [3, 7, 9, None] and kept[1][1] in (rows[2][1], rows[3][1])
+    alone = corpus_pipeline.near_duplicates(spark, docs(rows[:2]), SF).collect()
+    assert len(alone) == 1 and alone[0]["doc_id"] is None
+
+
+def test_pipeline_keeps_columns_of_its_names(spark, docs):
+    d = docs([(1, "the quick fox jumps over a lazy dog. write to me@example.org " + " ".join(f"a{i}b" for i in range(60)))])
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.decontaminated):
+        assert stage(spark, d, SF).collect() == d.collect()
+    from folioscope.llm import op2_pii
+
+    odd = d.withColumns({"_h": F.lit(1), "_id": F.lit("i"), "a.b": F.lit(2), "_s": F.lit(3)})
+    out = op2_pii.redact(odd)
+    assert out.columns == odd.columns and out.drop("text").collect() == odd.drop("text").collect() and "[EMAIL]" in out.first()["text"]
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     d, out = spark.read.parquet(f"{SF}/documents.parquet"), []

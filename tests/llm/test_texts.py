@@ -281,3 +281,12 @@ def test_items_digest_of_nothing():
 def test_quality_short_texts(docs, n):
     r = quality.judge(docs([(1, " ".join("abc"[:n]))])).first()
     assert r["n_words"] == n and r["n_repeat_words"] == 0
+
+
+def test_items_without_ids(spark, docs):
+    """A null item_id still marks words; it has no name to be listed by."""
+    words = " ".join(f"t{i}" for i in range(12))
+    items = spark.createDataFrame([(None, words), ("b", "q1 q2 q3")], "item_id string, text string")
+    out = {r["doc_id"]: r for r in bench.decontaminate(docs([(1, f"a {words} z"), (2, "x q1 q2 q3"), (3, "nothing")]), items, slack=2).collect()}
+    assert (out[1]["n_hit"], out[1]["items"], out[1]["contaminated"]) == (12, [], True)
+    assert (out[2]["n_hit"], out[2]["items"], out[2]["near_items"]) == (3, ["b"], ["b"]) and not out[3]["contaminated"]
