@@ -16,15 +16,20 @@ __all__ = ["STAGES", "ORACLE_SQL", "run"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = op3_quality.judge(docs)
-    return judged.filter("kept").select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    return op3_quality.judge(whole).filter("kept").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Its repeated rows become one."""
-    found = op5_ngram_join.join(docs)
-    keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies: the one with the smallest doc_id (a null one last), then text's hash.
+
+    Texts without words are near nothing; of their equal rows, as of all, one stays.
+    """
+    found = op5_ngram_join.grouped(docs)
+    keep = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    keep = keep.select(F.col("first.doc_id").alias("_kept"), F.col("first.row").alias("_row")).distinct()
+    row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string").cast("binary"))
+    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept"]) & (row == keep["_row"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
