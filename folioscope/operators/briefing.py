@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,14 +139,36 @@ def _combinations(words: Column, k: int) -> Column:
             F.slice(words, i + j + 3, F.greatest(F.size(words) - i - j - 2, F.lit(0))), lambda c: name(a, b, c))))))
 
 
-def leader_cluster(items: DataFrame, threshold: float = fixed.CLUSTER_SIMILARITY) -> DataFrame:
+def _lead_in_order(rows: DataFrame) -> DataFrame:
+    """(edition, rank) of those that lead when each edition is walked once: nobody in ``leads`` (closer, better ranks) leads."""
+
+    def walk(batches):
+        current, leading = object(), set()
+        for batch in batches:
+            keep = []
+            for i, (edition, rank, leads) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                if edition != current:
+                    current, leading = edition, set()
+                if leading.isdisjoint(leads):
+                    leading.add(rank)
+                    keep.append(i)
+            yield batch.select(["edition", "rank"]).take(pa.array(keep, pa.int64()))
+
+    rows = rows.select("edition", "rank", "leads")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes[:2])
+    return rows.repartition("edition").sortWithinPartitions("edition", "rank").mapInArrow(walk, kinds)
+
+
+def leader_cluster(items: DataFrame, threshold: float = fixed.CLUSTER_SIMILARITY, *, rounds: int = 8) -> DataFrame:
     """Cluster each edition's headlines: in rank order, join the first leader that is close enough, else lead.
 
     Items need ``rank`` (1 = best) and ``title``; adds ``leader`` (the leader's rank) and ``related`` (members - 1).
-    Headlines with the same words are one unit. Then, in rounds, a unit that is the best open one under all of its
-    keys becomes a leader, and the open units close to a new leader become members. A key never pairs its units with
-    each other, only with its one new leader, so a crowd of near copies costs one row per copy and key. Finally every
-    member takes the best of the leaders it is close to.
+    Headlines with the same words are one unit. Then, in at most ``rounds`` rounds, a unit that is the best open one under
+    all of its keys becomes a leader, and the open units close to a new leader become members. A key never pairs its units
+    with each other, only with its one new leader, so a crowd of near copies costs one row per copy and key. Units that
+    wait longer (chains in which each is close to the next) get their edges once, and their leaders, the first
+    independent set of that graph, come from one walk in rank order. Finally every member takes the best of the leaders
+    it is close to.
     """
     rows = stage(items.withColumn("_w", F.array_sort(text.headline_words("title"))), "headlines")
     unit_of = rows.select("edition", "rank", F.array_join("_w", " ").alias("u"), "_w")
@@ -159,44 +182,48 @@ def leader_cluster(items: DataFrame, threshold: float = fixed.CLUSTER_SIMILARITY
         .groupBy("edition", "rank").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
         .select("edition", "rank", F.transform("o", lambda s: s["x"]).alias("w"))
     )
-    keyed = stage(ordered.withColumn("keys", blocking_keys(F.col("w"), threshold)), "units")
-    open_units = keyed.select("edition", "rank")
-    leaders = None
-    while True:
-        todo = keyed.join(open_units, ["edition", "rank"])
-        by_key = todo.select("edition", "rank", F.explode("keys").alias("key"))
+    keyed = stage(ordered, "units")
+    every_key = keyed.select("edition", "rank", F.explode(blocking_keys(F.col("w"), threshold)).alias("key"))
+    # keys travel as hashes; a key that belongs to one unit alone decides nothing
+    every_key = every_key.withColumn("key", F.xxhash64("key"))
+    met = every_key.groupBy("edition", "key").agg(F.count("*").alias("n")).filter("n > 1").select("edition", "key")
+    keys = stage(every_key.join(met, ["edition", "key"], "left_semi"), "keys")
+
+    def similar(pairs):
+        """Pairs (edition, rank, lead) whose words are close enough."""
+        other = keyed.select("edition", F.col("rank").alias("lead"), F.col("w").alias("lw"))
+        return (
+            pairs.distinct().join(other, ["edition", "lead"]).join(keyed.select("edition", "rank", "w"), ["edition", "rank"])
+            .filter(text.jaccard("w", "lw") >= threshold).select("edition", "rank", "lead")
+        )
+
+    open_units, by_key = keyed.select("edition", "rank"), keys
+    leaders = open_units.limit(0)
+    for _ in range(rounds):
         first = by_key.groupBy("edition", "key").agg(F.min("rank").alias("lead"))
-        marked = by_key.join(first, ["edition", "key"])
-        blocked = marked.filter(F.col("lead") < F.col("rank")).select("edition", "rank").distinct()
-        new = stage(open_units.join(blocked, ["edition", "rank"], "left_anti"), "leaders")
-        if new.isEmpty():
+        behind = by_key.join(first, ["edition", "key"]).filter(F.col("lead") < F.col("rank")).select("edition", "rank", "lead").distinct()
+        behind = stage(behind, "behind")
+        new = open_units.join(behind.select("edition", "rank").distinct(), ["edition", "rank"], "left_anti")
+        new = stage(new, "leaders")
+        leaders = leaders.unionByName(new)
+        near = similar(behind.join(new.withColumnRenamed("rank", "lead"), ["edition", "lead"]).select("edition", "rank", "lead"))
+        open_units = stage(open_units.join(new, ["edition", "rank"], "left_anti").join(
+            near.select("edition", "rank").distinct(), ["edition", "rank"], "left_anti"), "open")
+        if open_units.isEmpty():
             break
-        leaders = new if leaders is None else leaders.unionByName(new)
-        lead_words = keyed.join(new, ["edition", "rank"]).select("edition", F.col("rank").alias("lead"), F.col("w").alias("lw"))
-        near = (
-            marked.filter(F.col("lead") < F.col("rank")).select("edition", "rank", "lead").distinct()
-            .join(new.withColumnRenamed("rank", "lead"), ["edition", "lead"])
-            .join(lead_words, ["edition", "lead"]).join(keyed.select("edition", "rank", "w"), ["edition", "rank"])
-            .filter(text.jaccard("w", "lw") >= threshold).select("edition", "rank").distinct()
-        )
-        left = open_units.join(new, ["edition", "rank"], "left_anti").join(near, ["edition", "rank"], "left_anti")
-        open_units = stage(left, "open")
-    if leaders is None:
-        found = keyed.select("edition", "rank", F.col("rank").alias("leader"))
+        by_key = keys.join(open_units, ["edition", "rank"], "left_semi")
     else:
-        lead_keys = keyed.join(leaders, ["edition", "rank"]).select(
-            "edition", F.col("rank").alias("leader"), F.col("w").alias("lw"), F.explode("keys").alias("key"))
-        members = keyed.join(leaders, ["edition", "rank"], "left_anti")
-        pairs = (
-            members.select("edition", "rank", F.explode("keys").alias("key"))
-            .join(lead_keys.select("edition", "key", "leader"), ["edition", "key"])
-            .filter(F.col("leader") < F.col("rank")).select("edition", "rank", "leader").distinct()
-            .join(keyed.select("edition", "rank", "w"), ["edition", "rank"])
-            .join(keyed.select("edition", F.col("rank").alias("leader"), F.col("w").alias("lw")), ["edition", "leader"])
-            .filter(text.jaccard("w", "lw") >= threshold)
-        )
-        found = pairs.groupBy("edition", "rank").agg(F.min("leader").alias("leader")).unionByName(
-            leaders.select("edition", "rank", F.col("rank").alias("leader")))
+        edges = similar(by_key.join(by_key.withColumnRenamed("rank", "lead"), ["edition", "key"]).filter(
+            F.col("lead") < F.col("rank")).select("edition", "rank", "lead"))
+        lists = edges.groupBy("edition", "rank").agg(F.collect_list("lead").alias("leads"))
+        none = F.array().cast(lists.schema["leads"].dataType)
+        leaders = leaders.unionByName(stage(_lead_in_order(
+            open_units.join(lists, ["edition", "rank"], "left").withColumn("leads", F.coalesce("leads", none))), "leaders"))
+    lead_keys = keys.join(leaders, ["edition", "rank"], "left_semi").withColumnRenamed("rank", "lead")
+    members = keys.join(leaders, ["edition", "rank"], "left_anti")
+    pairs = similar(members.join(lead_keys, ["edition", "key"]).filter(F.col("lead") < F.col("rank")).select("edition", "rank", "lead"))
+    found = pairs.groupBy("edition", "rank").agg(F.min("lead").alias("leader")).unionByName(
+        leaders.select("edition", "rank", F.col("rank").alias("leader")))
     per_unit = units.select("edition", "u", "rank").join(found, ["edition", "rank"]).select("edition", "u", "leader")
     cluster = (
         unit_of.filter(F.col("u") != "").select("edition", "rank", "u").join(per_unit, ["edition", "u"])

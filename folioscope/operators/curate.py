@@ -40,12 +40,13 @@ def subtopic_caps(tree: DataFrame, counts: DataFrame, exhausted: DataFrame, *, g
 
 
 def candidates(
-    index: Index, phrased_tree: DataFrame, held: DataFrame, counts: DataFrame, *, limit: int, since=None,
-    slug_text=None,
+    index: Index, phrased_tree: DataFrame, held: DataFrame, counts: DataFrame, *, limit: int | None = None, since=None,
+    slug_text=None, scan: int | None = fixed.SCAN_LIMIT,
 ) -> DataFrame:
     """Best-rated posts matching any phrase of a subtopic, minus held ones: (topic, subtopic, url, rank).
 
-    Only the best ``scan`` rows by priority and bm25 are looked at; the bound grows with what the subtopic holds.
+    Only the best ``scan`` rows by priority and bm25 are looked at; the bound grows with what the subtopic holds. None: all
+    rows are. ``limit`` cuts each subtopic's list; None: whole lists.
     ``slug_text``: column of the index's posts that must look English (default: the last URL segment).
     """
     words = F.transform("phrases", text.words)
@@ -60,15 +61,20 @@ def candidates(
     )
     # equal priorities are ordered by plain bm25, in which every column weighs the same
     rows = match_modes(index, queries, weights=(1.0, 1.0)).filter("any").select("query_id", "post_id", F.round("bm", 6).alias("bm"))
-    scan = phrased_tree.select(F.concat_ws("/", *KEYS).alias("query_id"), *KEYS).join(counts, KEYS, "left").select(
-        "query_id", *KEYS, (F.lit(fixed.SCAN_LIMIT) + 8 * F.coalesce("n", F.lit(0))).alias("scan"))
+    bounds = phrased_tree.select(F.concat_ws("/", *KEYS).alias("query_id"), *KEYS).join(counts, KEYS, "left").select(
+        "query_id", *KEYS, (F.lit(scan or 0) + 8 * F.coalesce("n", F.lit(0))).alias("scan"))
     docs = index.docs.select("post_id", "url", "prio", (slug_text if slug_text is not None else
                              F.replace(urls.last_segment("url"), F.lit("-"), F.lit(" "))).alias("slug"))
-    rows = rows.join(docs, "post_id").join(scan, "query_id")
-    seen = top_per_key(rows, KEYS, [F.desc("prio"), F.asc("bm"), F.asc("post_id")], F.col("scan"), "place")
-    allowed = seen.filter(text.is_ascii("url") & text.is_english_slug("slug")).join(
+    rows = rows.join(docs, "post_id").join(bounds, "query_id")
+    if scan is None:
+        seen = full_rank(rows, KEYS, ["-prio", "bm", "post_id"], "place")
+    else:
+        seen = top_per_key(rows, KEYS, [F.desc("prio"), F.asc("bm"), F.asc("post_id")], F.col("scan"), "place")
+    allowed = seen.drop("scan").filter(text.is_ascii("url") & text.is_english_slug("slug")).join(
         held.select("url").distinct(), "url", "left_anti")
-    return top_per_key(allowed.drop("scan"), KEYS, [F.asc("place")], limit).select(*KEYS, "url", "prio", "rank")
+    if limit is None:
+        return full_rank(allowed, KEYS, ["place"]).select(*KEYS, "url", "prio", "rank")
+    return top_per_key(allowed, KEYS, [F.asc("place")], limit).select(*KEYS, "url", "prio", "rank")
 
 
 def tier(prio):

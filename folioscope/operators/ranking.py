@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,68 +56,86 @@ def full_rank(df: DataFrame, keys: list[str], order: list[str], rank: str = "ran
 # ---------------------------------------------------------------- diversify
 
 
-def diversify_bounded(df: DataFrame, list_col: str, rank: str, group: str, sig: str, cap: int) -> DataFrame:
-    """``diversify`` for lists whose length is bounded beforehand: one aggregation over the ranked array of each list.
+def _owner(group: str) -> Column:
+    """Owners as "@name"; an empty one is never capped, so each of its rows is an owner of its own, named by its rank "#r"."""
+    name = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    return F.when(name == "", F.concat(F.lit("#"), F.col("r").cast("string"))).otherwise(F.concat(F.lit("@"), name))
 
-    Adds ``kept`` and ``position`` (kept rows first, both in rank order).
+
+def _in_order(rows: DataFrame, cap: int) -> DataFrame:
+    """The rows (l, r) that are kept when each list is walked once in rank order; linear in the rows.
+
+    ``rows``: l, r, g, s and ``done`` (kept already: counts for its owner). Lists stream by sorted by rank; a task holds the
+    signatures and owner counts of the one list it is in.
     """
-    owner = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    row = F.struct(F.col(rank).alias("r"), owner.alias("g"), F.col(sig).alias("s"), F.struct(*df.columns).alias("row"))
-    lists = df.groupBy(list_col).agg(F.array_sort(F.collect_list(row)).alias("_all"))
-    picked = F.array(F.struct(F.col("_all")[0]["r"].alias("r"), F.col("_all")[0]["g"].alias("g"), F.col("_all")[0]["s"].alias("s")))
 
-    def free(held, x):
-        mine = F.size(F.filter(held, lambda h: (h["g"] == x["g"]) & (x["g"] != "")))
-        return ~F.exists(held, lambda h: h["s"].eqNullSafe(x["s"])) & (mine < cap)
+    def walk(batches):
+        current, seen, held = object(), set(), {}
+        for batch in batches:
+            keep = []
+            for i, (own, g, s, done) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)))):
+                if own != current:
+                    current, seen, held = own, set(), {}
+                if done or not (s in seen or (g[0] == "@" and held.get(g, 0) >= cap)):
+                    seen.add(s)
+                    held[g] = held.get(g, 0) + 1
+                    if not done:
+                        keep.append(i)
+            yield batch.select(["l", "r"]).take(pa.array(keep, pa.int64()))
+
+    rows = rows.select("l", "r", "g", "s", "done")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in ("l", "r"))
+    return rows.repartition("l").sortWithinPartitions("l", "r").mapInArrow(walk, kinds)
 
-    def more(held, x):
-        return F.when(free(held, x), F.array_append(held, F.struct(x["r"].alias("r"), x["g"].alias("g"), x["s"].alias("s")))).otherwise(held)
 
-    none = F.slice(picked, 1, 0)
-    kept = F.transform(F.aggregate("_all", none, more), lambda h: h["r"])
-    flat = lists.select(F.explode("_all").alias("x"), kept.alias("_kept")).select("x.row.*", F.array_contains("_kept", F.col("x.r")).alias("kept"))
+def diversify_bounded(df: DataFrame, list_col: str, rank: str, group: str, sig: str, cap: int) -> DataFrame:
+    """``diversify`` for lists whose length is bounded beforehand: each list is walked once, in one task.
+
+    Adds ``kept`` and ``position`` (kept rows first, both in rank order).
+    """
+    rows = df.select(F.col(list_col).alias("l"), F.col(rank).alias("r"), group, F.col(sig).alias("s"), F.lit(False).alias("done"))
+    kept = _in_order(rows.withColumn("g", _owner(group)), cap).select(F.col("l").alias(list_col), F.col("r").alias(rank), F.lit(True).alias("kept"))
     order = Window.partitionBy(list_col).orderBy(F.desc("kept"), rank)
+    flat = df.join(kept, [list_col, rank], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     return flat.withColumn("position", F.row_number().over(order).cast("long"))
 
 
 def diversify(
-    df: DataFrame, list_col: str, rank: str, group: str, sig: str, cap: int
+    df: DataFrame, list_col: str, rank: str, group: str, sig: str, cap: int, *, rounds: int = 3
 ) -> DataFrame:
     """Move repeated headlines and over-represented owners to the back of each list, without losing a row.
 
     Walking a list in rank order, a row is kept unless its signature was kept before or its owner already has ``cap``
     kept rows (an empty owner is never capped). Adds ``kept``. Lists may be of any length: only the first row of each
-    (list, owner, signature) can be kept at all, and those are decided in rounds. In a round the first open row of
-    an owner is kept if it is also the first open row of its signature; open rows of a kept signature and of a full
-    owner are moved back. Each round is three small aggregations; no list or owner is ever gathered in one task.
+    (list, owner, signature) can be kept at all. A row waits only for earlier rows of its owner and its signature, so
+    in each of ``rounds`` rounds the first open row of an owner that is also the first open row of its signature is
+    kept, and open rows of a kept signature or a full owner are settled; a round is three aggregations. Chains that
+    wait longer than that, a few rows of a list, are then walked in order, each list in one task.
     """
-    owner = F.coalesce(F.col(group).cast("string"), F.lit(""))
-    rows = df.select(F.col(list_col).alias("l"), F.col(rank).alias("r"), owner.alias("g"), F.col(sig).alias("s"))
-    # an uncapped row is an owner of its own, named by its rank
-    rows = rows.withColumn("g", F.when(F.col("g") == "", F.concat(F.lit("#"), F.col("r").cast("string")))
-                           .otherwise(F.concat(F.lit("@"), F.col("g"))))
+    rows = df.select(F.col(list_col).alias("l"), F.col(rank).alias("r"), group, F.col(sig).alias("s"))
+    rows = rows.select("l", "r", _owner(group).alias("g"), "s")
     firsts = rows.groupBy("l", "g", "s").agg(F.min("r").alias("r"))
     todo = stage(firsts, "todo")
-    kept_all = None
-    while True:
+    kept_all = todo.limit(0).select("l", "g", "s", "r")
+    for _ in range(rounds):
         first_of_sig = todo.groupBy("l", "s").agg(F.min("r").alias("r"))
         first_of_owner = todo.groupBy("l", "g").agg(F.min("r").alias("r"))
-        keep = first_of_owner.join(first_of_sig, ["l", "r"]).select("l", "g", "s", "r")
-        keep = stage(keep, "kept")
+        keep = stage(first_of_owner.join(first_of_sig, ["l", "r"]).select("l", "g", "s", "r"), "kept")
         if keep.isEmpty():
             break
-        kept_all = keep if kept_all is None else kept_all.unionByName(keep)
+        kept_all = kept_all.unionByName(keep)
         full = (
             kept_all.filter(F.startswith("g", F.lit("@"))).groupBy("l", "g").agg(F.count("*").alias("n"))
             .filter(F.col("n") >= cap).select("l", "g")
         )
         left = todo.join(keep.select("l", "s"), ["l", "s"], "left_anti").join(full, ["l", "g"], "left_anti")
         todo = stage(left, "todo")
-    flags = (
-        kept_all.select(F.col("l").alias(list_col), F.col("r").alias(rank), F.lit(True).alias("kept"))
-        if kept_all is not None
-        else df.select(list_col, rank, F.lit(True).alias("kept")).limit(0)
-    )
+    # only lists and owners that still have open rows are walked
+    before = kept_all.join(todo.select("l", "g").distinct(), ["l", "g"], "left_semi")
+    open_rows = todo.withColumn("done", F.lit(False)).unionByName(before.withColumn("done", F.lit(True)))
+    last = _in_order(open_rows, cap)
+    flags = kept_all.select("l", "r").unionByName(last).select(
+        F.col("l").alias(list_col), F.col("r").alias(rank), F.lit(True).alias("kept"))
     return df.join(flags, [list_col, rank], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 

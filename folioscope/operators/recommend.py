@@ -6,7 +6,9 @@ without sharing anything does not depend on the reader, so it is kept once per p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring, text
@@ -101,43 +103,69 @@ def post_scores(pool: DataFrame, as_of) -> DataFrame:
     return pool.select("url", base.alias("base"))
 
 
-def score_pairs(weights: DataFrame, pool: DataFrame, as_of, *, known: DataFrame | None = None, rotation: Column | None = None) -> DataFrame:
-    """Score of every (reader, post) that share something; ``known`` (reader, url) is left out.
+@dataclass
+class Vectors:
+    """What readers and posts are compared by."""
 
-    Adds label and word similarity, author, dislike, the shared labels by weight and the sum. A reader's and a post's
-    vectors meet on their keys; each key's contribution is added up per pair.
-    """
+    post_labels: DataFrame  # url, key, idf
+    post_words: DataFrame  # url, key, tf
+    label_norm: DataFrame  # url, label_norm
+    word_norm: DataFrame  # url, word_norm
+    own: DataFrame  # reader, kind (label, dislike), key, v
+    words: DataFrame  # reader, kind (word), key, v
+    authors: DataFrame  # reader, kind (author), key, v (share of the best author's weight)
+    norms: DataFrame  # reader, label_len, dislike_len, word_len
+
+
+def vectors(weights: DataFrame, pool: DataFrame) -> Vectors:
     idf = label_idf(pool)
     post_labels = pool.select("url", F.explode("labels").alias("key")).join(idf, "key")
-    label_norm = vector_norm(post_labels, ["url"], "idf", "label_norm")
     post_words = (
         pool.select("url", F.explode(F.transform(text.content_words("title"), text.stem)).alias("key"))
         .groupBy("url", "key").agg(F.count("*").cast("double").alias("tf"))
     )
-    word_norm = vector_norm(post_words, ["url"], "tf", "word_norm")
-
     own = weights.filter(F.col("kind").isin("label", "dislike")).join(idf, "key", "left").select(
-        "reader", "kind", "key", "weight", (F.col("weight") * F.coalesce("idf", F.lit(1.0))).alias("v"))
-    words = weights.filter(F.col("kind") == "word").select("reader", "kind", "key", "weight", F.col("weight").alias("v"))
+        "reader", "kind", "key", (F.col("weight") * F.coalesce("idf", F.lit(1.0))).alias("v"))
+    words = weights.filter(F.col("kind") == "word").select("reader", "kind", "key", F.col("weight").alias("v"))
+    best_author = weights.filter(F.col("kind") == "author").groupBy("reader").agg(F.max("weight").alias("top"))
+    authors = weights.filter((F.col("kind") == "author") & (F.col("weight") > 0)).join(best_author, "reader").select(
+        "reader", "kind", "key", (F.col("weight") / F.col("top")).alias("v"))
     norms = own.unionByName(words).groupBy("reader").agg(*[
         F.sqrt(F.sum(F.when(F.col("kind") == k, F.col("v") * F.col("v")))).alias(f"{k}_len") for k in ("label", "dislike", "word")
     ])
+    return Vectors(
+        post_labels, post_words, vector_norm(post_labels, ["url"], "idf", "label_norm"), vector_norm(post_words, ["url"], "tf", "word_norm"),
+        own, words, authors, norms)
+
+
+def score_pairs(
+    weights: DataFrame, pool: DataFrame, as_of, *, known: DataFrame | None = None, rotation: Column | None = None,
+    only: DataFrame | None = None, found: Vectors | None = None,
+) -> DataFrame:
+    """Score of every (reader, post) that share something; ``known`` (reader, url) is left out.
+
+    Adds label and word similarity, author, dislike, the shared labels by weight and the sum. A reader's and a post's
+    vectors meet on their keys; each key's contribution is added up per pair. ``only``: pairs (reader, url) to score; then
+    a pair meets the keys of its post, and no list of a key is read whole. ``found``: the vectors, where they are at hand.
+    """
+    v = found or vectors(weights, pool)
+    post_labels, label_norm, word_norm, norms = v.post_labels, v.label_norm, v.word_norm, v.norms
+
+    def meet(mine, theirs):
+        if only is None:
+            return mine.join(theirs, "key")
+        return only.select("reader", "url").join(theirs, "url").join(mine, ["reader", "key"])
 
     zero = F.lit(0.0)
-    shared = own.join(post_labels, "key").select(
+    shared = meet(v.own, post_labels).select(
         "reader", "url", "kind", (F.col("v") * F.col("idf")).alias("dot"),
         F.when((F.col("kind") == "label") & ~F.col("key").isin(fixed.GENERIC_LABELS),
                F.struct((-F.round("v", 6)).alias("o"), "key")).alias("shared"),
     )
-    common = words.join(post_words, "key").select(
+    common = meet(v.words, v.post_words).select(
         "reader", "url", "kind", (F.col("v") * F.col("tf")).alias("dot"), F.lit(None).cast("struct<o:double,key:string>").alias("shared"))
-    best_author = weights.filter(F.col("kind") == "author").groupBy("reader").agg(F.max("weight").alias("top"))
-    read = (
-        weights.filter((F.col("kind") == "author") & (F.col("weight") > 0)).join(best_author, "reader")
-        .join(pool.select("url", F.col("author").alias("key")), "key")
-        .select("reader", "url", "kind", (F.col("weight") / F.col("top")).alias("dot"),
-                F.lit(None).cast("struct<o:double,key:string>").alias("shared"))
-    )
+    read = meet(v.authors, pool.select("url", F.col("author").alias("key"))).select(
+        "reader", "url", "kind", F.col("v").alias("dot"), F.lit(None).cast("struct<o:double,key:string>").alias("shared"))
     pairs = shared.unionByName(common).unionByName(read)
     if known is not None:
         pairs = pairs.join(known.select("reader", "url").distinct(), ["reader", "url"], "left_anti")
@@ -173,6 +201,72 @@ def score_pairs(weights: DataFrame, pool: DataFrame, as_of, *, known: DataFrame
     )
 
 
+LEVELS = 32
+
+
+def best_pairs(
+    weights: DataFrame, pool: DataFrame, as_of, k: int = 60, *, known: DataFrame | None = None, strong: int = 6,
+) -> DataFrame:
+    """The ``k`` best posts of each reader, exactly those that ``score_pairs`` puts first (by score, then URL), with their
+    rank; built without meeting every post that shares something.
+
+    Each key (label, word, author) has a list of posts with their impact, the share of a similarity that the key can give.
+    1. For the ``strong`` keys that can give a reader most, the k posts of most impact are scored. The k-th best of these
+       is a score that the result can't fall below.
+    2. The reader's keys are taken from the most common one on, as long as all of them together, with the best a post has
+       by itself, stay below that score. A post that shares only such keys isn't among the best, so their lists, the long
+       ones, aren't read.
+    3. Of the other lists only the levels of impact are read (``LEVELS`` in each) from which a post may still reach the
+       score when all other keys give their most.
+    4. What is left is scored exactly.
+    """
+    v = vectors(weights, pool)
+    w = fixed.RECOMMEND_WEIGHTS
+    base = stage(post_scores(pool, as_of), "base")
+    most_base = base.agg(F.coalesce(F.max("base"), F.lit(0.0))).first()[0]
+    # the lists: impact of a key in a post, between 0 and 1
+    label = v.post_labels.join(v.label_norm, "url").select("url", "key", (F.col("idf") / F.col("label_norm")).alias("impact"))
+    word = v.post_words.join(v.word_norm, "url").select("url", "key", (F.col("tf") / F.col("word_norm")).alias("impact"))
+    author = pool.select("url", F.col("author").alias("key"), F.lit(1.0).alias("impact")).filter("key IS NOT NULL")
+    lists = label.withColumn("kind", F.lit("label")).unionByName(word.withColumn("kind", F.lit("word"))).unionByName(author.withColumn("kind", F.lit("author")))
+    lists = lists.withColumn("level", F.least(F.lit(LEVELS), F.floor(F.col("impact") * LEVELS)).cast("int"))
+    lists = stage(lists.join(base, "url"), "lists")
+    sizes = stage(lists.groupBy("kind", "key").agg(F.count("*").alias("df"), F.max("impact").alias("most")), "sizes")
+    # what a reader's key gives for an impact of 1; dislikes only take away, but what they share is a pair too
+    scale = F.when(F.col("kind") == "label", w["labels"] / F.col("label_len")).when(F.col("kind") == "word", w["words"] / F.col("word_len"))
+    scale = scale.when(F.col("kind") == "author", w["author"]).otherwise(F.lit(0.0))
+    mine = v.own.unionByName(v.words).unionByName(v.authors).join(v.norms, "reader", "left").select(
+        "reader", F.when(F.col("kind") == "dislike", "label").otherwise(F.col("kind")).alias("kind"), "key",
+        F.greatest(F.lit(0.0), F.coalesce(F.col("v") * scale, F.lit(0.0))).alias("gives"))
+    mine = mine.groupBy("reader", "kind", "key").agg(F.sum("gives").alias("gives")).join(sizes, ["kind", "key"])
+    mine = stage(mine.withColumn("bound", F.col("gives") * F.col("most")), "keys")
+    seen = known.select("reader", "url").distinct() if known is not None else None
+
+    def scored(pairs):
+        pairs = pairs.select("reader", "url").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["reader", "url"], "left_anti")
+        return score_pairs(weights, pool, as_of, only=stage(pairs, "candidates"), found=v)
+
+    champions = top_per_key(lists, ["kind", "key"], [F.desc("impact"), F.desc("base"), F.asc("url")], k)
+    first = top_per_key(mine, ["reader"], [F.desc("bound"), F.asc("df"), F.asc("kind"), F.asc("key")], strong).select("reader", "kind", "key")
+    sample = top_per_key(scored(first.join(champions.drop("rank"), ["kind", "key"])).select("reader", "url", "score"), ["reader"], [F.desc("score"), F.asc("url")], k)
+    # scores are rounded to four places
+    floor = sample.filter(F.col("rank") == k).select("reader", (F.col("score") - 0.0001).alias("floor"))
+    common = Window.partitionBy("reader").orderBy(F.desc("df"), "kind", "key").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("reader")
+    keys = mine.join(floor, "reader", "left").withColumn("upto", F.sum("bound").over(common)).withColumn("total", F.sum("bound").over(whole))
+    keys = keys.filter(F.col("floor").isNull() | (F.col("upto") + most_base >= F.col("floor") - 1e-9))
+    rest = F.col("total") - F.col("bound")
+    need = F.col("floor") - rest - most_base - 1e-9
+    from_level = F.when(need.isNull() | (need <= 0), 0).otherwise(F.floor(F.least(F.lit(1.0), need / F.nullif(F.col("gives"), F.lit(0.0))) * LEVELS)).cast("int")
+    keys = keys.select("reader", "kind", "key", "gives", "floor", rest.alias("rest"), F.coalesce(from_level, F.lit(LEVELS)).alias("from_level"))
+    keys = keys.withColumn("level", F.explode(F.sequence(F.col("from_level"), F.lit(LEVELS))))
+    may = keys.join(lists, ["kind", "key", "level"]).filter(
+        F.col("floor").isNull() | (F.col("gives") * F.col("impact") + F.col("rest") + F.col("base") >= F.col("floor") - 1e-9))
+    return top_per_key(scored(may), ["reader"], [F.desc("score"), F.asc("url")], k)
+
+
 def hourly_rotation(as_of) -> Column:
     """A value in [0, 1) that changes with the hour, the same for everyone who asks within it."""
     hour = F.date_trunc("hour", F.lit(as_of).cast("timestamp")).cast("string")

@@ -410,7 +410,7 @@ def score(index: Index, queries: DataFrame, candidates: DataFrame, as_of, prior:
     missing = F.filter(distinct, lambda t: F.greatest(level(t, "title_level"), level(t, "author_level")) == 0)
     return rows.select(
         "query_id", "post_id", "url", "author", "published", "mode", "scanned", "bm",
-        F.round(total, 4).alias("score"), F.round("_cover", 3).alias("cover"), missing.alias("missing"),
+        F.round(total, 4).alias("score"), F.round(F.round("_cover", 9), 3).alias("cover"), missing.alias("missing"),
         (F.round("taste", 3) >= fixed.TASTE_SHOWN).alias("yours"),
     )
 

@@ -22,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def title_of(c):
-    head = F.regexp_extract(c, r"^\s*((?:\S+\s+){0,9}\S+)", 1)
-    return F.regexp_replace(head, r"\s+", " ")
+    """The first line that is not blank, whole."""
+    return F.trim(F.regexp_replace(F.regexp_extract(c, r"^\s*([^\n]*)", 1), r"\s+", " "))
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,16 +99,16 @@ def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structured queries out of the benchmark passages."""
+    """Structured queries out of the benchmark passages: all words of each; every fifth passage is a phrase, too."""
     b = table(spark, sf_dir, "benchmark")
     i = F.col("item_id")
     no_list = F.array().cast("array<array<string>>")
     b = b.withColumn("w", text.words("text"))
     return b.select(
         i.alias("query_id"),
-        F.slice(F.filter(F.array_distinct("w"), lambda x: ~x.isin(fixed.STOPWORDS)), 1, 4).alias("terms"),
-        F.slice(F.filter(F.array_distinct("w"), lambda x: x.isin(fixed.STOPWORDS)), 1, 3).alias("soft"),
-        F.when(i % 5 == 0, F.array(F.slice("w", 1, 2))).otherwise(no_list).alias("phrases"),
+        F.filter(F.array_distinct("w"), lambda x: ~x.isin(fixed.STOPWORDS)).alias("terms"),
+        F.filter(F.array_distinct("w"), lambda x: x.isin(fixed.STOPWORDS)).alias("soft"),
+        F.when((i % 5 == 0) & (F.size("w") > 1), F.array("w")).otherwise(no_list).alias("phrases"),
         F.when(i % 7 == 0, F.slice("w", -1, 1)).otherwise(F.array().cast("array<string>")).alias("exclude"),
         F.when(i % 11 == 0, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("author"),
         F.when(i % 6 == 0, F.date_sub(as_of_day(), 150)).alias("since"),
@@ -155,11 +155,11 @@ def topic_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reader notes on the labelled documents: up to three lines of the text as highlights, latest line first."""
+    """Reader notes on the labelled documents: all lines of the text as highlights, latest line first."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     i = F.col("doc_id")
     url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/d/"), i.cast("string"))
-    lines = F.slice(F.split("text", "\n"), 1, 3)
+    lines = F.split("text", "\n")
     return d.select(
         urls.article_id(url).alias("article_id"), "doc_id",
         F.when(i % 3 == 0, title_of(F.col("text"))).otherwise(F.lit("  ")).alias("notes"),
@@ -179,13 +179,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Saved-library searches out of the benchmark: ASCII words, some with a phrase and an excluded word."""
+    """Saved-library searches out of the benchmark: all ASCII words, some with all runs of words as phrases, some with an excluded word."""
     ascii_words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    runs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+(?: [a-z0-9]+)+"), F.lit(0))
     i = F.col("item_id")
     none = F.array().cast("array<string>")
     return table(spark, sf_dir, "benchmark").withColumn("w", ascii_words).select(
         i.alias("query_id"),
-        F.slice("w", 3, 3).alias("plain"),
-        F.when(i % 4 == 0, F.array(F.array_join(F.slice("w", 1, 2), " "))).otherwise(none).alias("phrases"),
-        F.when(i % 3 == 0, F.slice("w", 9, 1)).otherwise(none).alias("minus"),
+        F.col("w").alias("plain"),
+        F.when(i % 4 == 0, runs).otherwise(none).alias("phrases"),
+        F.when(i % 3 == 0, F.slice("w", -1, 1)).otherwise(none).alias("minus"),
     )

@@ -22,15 +22,17 @@ tk AS (SELECT tk0.*, stem FROM tk0 JOIN stems USING (token))""")
 MATCH = f""",
 u1 AS (SELECT query_id, unnest(terms) AS w, generate_subscripts(terms, 1) - 1 AS unit, len(terms) AS nt FROM queries),
 units AS (SELECT query_id, unit, {q.stem('w')} AS stem, unit = nt - 1 AS is_last FROM u1),
-uph AS (SELECT query_id, {q.stem('phrases[1][1]')} AS s1, {q.stem('phrases[1][2]')} AS s2 FROM queries WHERE len(phrases) > 0),
+uph AS (SELECT query_id, unnest(phrases[1]) AS w, generate_subscripts(phrases[1], 1) - 1 AS idx, len(phrases[1]) AS n FROM queries WHERE len(phrases) > 0),
+uph2 AS (SELECT query_id, idx, n, {q.stem('w')} AS stem FROM uph),
+runs AS (SELECT query_id, post_id, day, doc_len, f, pos - idx AS st FROM uph2 JOIN tk USING (stem)
+         GROUP BY query_id, n, post_id, day, doc_len, f, pos - idx HAVING count(DISTINCT idx) = n),
 m AS (
   SELECT query_id, unit, post_id, day, doc_len, sum(CASE f WHEN 't' THEN 10.0 ELSE 2.0 END) AS wf FROM units JOIN tk USING (stem) GROUP BY ALL
   UNION ALL
   SELECT query_id, -1, post_id, day, doc_len, sum(CASE f WHEN 't' THEN 10.0 ELSE 2.0 END)
   FROM (SELECT u.query_id, s.stem FROM units u JOIN (SELECT DISTINCT stem FROM stems) s ON starts_with(s.stem, u.stem) WHERE u.is_last) JOIN tk USING (stem) GROUP BY ALL
   UNION ALL
-  SELECT query_id, 100000, a.post_id, a.day, a.doc_len, sum(CASE a.f WHEN 't' THEN 10.0 ELSE 2.0 END)
-  FROM uph JOIN tk a ON a.stem = s1 JOIN tk b ON b.post_id = a.post_id AND b.f = a.f AND b.pos = a.pos + 1 AND b.stem = s2 GROUP BY ALL
+  SELECT query_id, 100000, post_id, day, doc_len, sum(CASE f WHEN 't' THEN 10.0 ELSE 2.0 END) FROM runs GROUP BY ALL
   UNION ALL
   SELECT query_id, -2, post_id, day, doc_len, 2.0 FROM queries q JOIN tk ON tk.f = 'a' AND tk.token = q.author),
 idf AS (SELECT query_id, unit, greatest(1e-6, ln(((SELECT count(*) FROM posts) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM m GROUP BY ALL),
@@ -113,8 +115,8 @@ def staged_index(spark, d) -> search.Index:
 
 
 @query("query_log_normalisation", q.with_(q.QUERIES) + f"""
-, raw AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN [t for t in w[1:6] if t IN {q.STOP}] ELSE w[1:6] END AS plain,
-   CASE item_id % 4 WHEN 0 THEN [w[1:1]] WHEN 1 THEN [w[1:2], w[3:3]] ELSE [] END AS phrases
+, raw AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN [t for t in w if t IN {q.STOP}] ELSE w END AS plain,
+   CASE item_id % 4 WHEN 0 THEN [w[1:1]] WHEN 1 THEN [w, w[-1:]] ELSE [] END AS phrases
    FROM (SELECT item_id, {q.words('text')} AS w FROM benchmark)),
 c AS (SELECT query_id, list_concat([t for t in plain if t NOT IN {q.STOP}], flatten([p for p in phrases if len(p) = 1])) AS terms,
    [t for t in plain if t IN {q.STOP}] AS small, [p for p in phrases if len(p) > 1] AS long FROM raw)
@@ -125,8 +127,8 @@ def _(spark, d):
     i = F.col("item_id")
     raw = b.table(spark, d, "benchmark").withColumn("w", w).select(
         i.alias("query_id"),
-        F.when(i % 3 == 0, F.filter(F.slice("w", 1, 6), lambda x: x.isin(fixed.STOPWORDS))).otherwise(F.slice("w", 1, 6)).alias("plain"),
-        F.when(i % 4 == 0, F.array(F.slice("w", 1, 1))).when(i % 4 == 1, F.array(F.slice("w", 1, 2), F.slice("w", 3, 1)))
+        F.when(i % 3 == 0, F.filter("w", lambda x: x.isin(fixed.STOPWORDS))).otherwise(F.col("w")).alias("plain"),
+        F.when(i % 4 == 0, F.array(F.slice("w", 1, 1))).when(i % 4 == 1, F.array(F.col("w"), F.slice("w", -1, 1)))
         .otherwise(F.array().cast("array<array<string>>")).alias("phrases"),
         F.array().cast("array<string>").alias("exclude"),
         F.lit(None).cast("string").alias("author"), F.lit(None).cast("date").alias("since"), F.lit(None).cast("date").alias("before"),
@@ -197,7 +199,7 @@ def _(spark, d):
     return hits.withColumn("title_at", F.col("title_at").cast("bigint"))
 
 
-@query("rank_results", TOK + MATCH + LADDER + HITS + RANK + """SELECT query_id, post_id, mode, rank, score, round(cover, 3) AS cover FROM ranked""")
+@query("rank_results", TOK + MATCH + LADDER + HITS + RANK + """SELECT query_id, post_id, mode, rank, score, round(round(cover, 9), 3) AS cover FROM ranked""")
 def _(spark, d):
     ix, qs = staged_index(spark, d), b.queries(spark, d)
     ranked = search.rank(ix, qs, search.retrieve(ix, qs), b.AS_OF)

@@ -110,9 +110,9 @@ def _(spark, d):
 
 
 FEED = q.with_(q.ARTICLES) + f""",
-fq AS (SELECT query_id, words, [x[2] for x in list_sort([[lpad(CAST(list_position(ts, t) AS VARCHAR), 9, '0'), t] for t in list_distinct(ts)])][1:6] AS tags FROM (
+fq AS (SELECT query_id, words, [x[2] for x in list_sort([[lpad(CAST(list_position(ts, t) AS VARCHAR), 9, '0'), t] for t in list_distinct(ts)])] AS tags FROM (
   SELECT query_id, words, list_concat(list_concat([array_to_string(words, '-')], [words[i] || '-' || words[i + 1] for i in range(1, len(words))]), words) AS ts
-  FROM (SELECT item_id AS query_id, [w for w in regexp_extract_all(lower(text), '[a-z0-9]+')[1:5] if w NOT IN {q.inlist(fixed.FEED_STOPWORDS)}] AS words FROM benchmark) WHERE len(words) > 0)),
+  FROM (SELECT item_id AS query_id, [w for w in regexp_extract_all(lower(text), '[a-z0-9]+') if w NOT IN {q.inlist(fixed.FEED_STOPWORDS)}] AS words FROM benchmark) WHERE len(words) > 0)),
 ft AS (SELECT query_id, words, unnest(tags) AS tag FROM fq),
 fi AS (SELECT url, unnest(tags) AS tag, title, snippet, topic, published FROM articles),
 fs AS (SELECT DISTINCT query_id, url, published, len([w for w in words if contains(lower(concat_ws(' ', title, snippet, topic)), w)]) AS score FROM ft JOIN fi USING (tag)),
@@ -121,7 +121,7 @@ feed AS (SELECT * FROM fs WHERE score > 0)"""
 
 def feed_queries(spark, d):
     w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    return b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(w, 1, 5), " ").alias("text"))
+    return b.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(w, " ").alias("text"))
 
 
 def feed_rows(spark, d):
@@ -132,7 +132,7 @@ def feed_rows(spark, d):
 
 @query("feed_search", FEED + "SELECT query_id, url, score FROM feed")
 def _(spark, d):
-    return feeds.feed_search(feed_queries(spark, d), feed_rows(spark, d)).select("query_id", "url", F.col("score").cast("bigint").alias("score"))
+    return feeds.feed_search(feed_queries(spark, d), feed_rows(spark, d), None).select("query_id", "url", F.col("score").cast("bigint").alias("score"))
 
 
 @query("feed_topup", FEED + """,
@@ -142,7 +142,7 @@ ex AS (SELECT f.query_id, f.url, row_number() OVER (PARTITION BY f.query_id ORDE
   FROM feed f LEFT JOIN nn USING (query_id) ANTI JOIN hit ON hit.query_id = f.query_id AND hit.url = f.url WHERE coalesce(n, 0) < 20)
 SELECT query_id, url, 'index' AS provider FROM hit UNION ALL SELECT query_id, url, 'feeds' FROM ex WHERE r <= 20""")
 def _(spark, d):
-    found = feeds.feed_search(feed_queries(spark, d), feed_rows(spark, d))
+    found = feeds.feed_search(feed_queries(spark, d), feed_rows(spark, d), None)
     return feeds.feed_topup(found.filter("score >= 3").select("query_id", "url"), found)
 
 

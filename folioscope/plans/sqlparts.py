@@ -58,7 +58,7 @@ def clean(x: str) -> str:
 
 
 def title_of(x: str) -> str:
-    return rf"regexp_replace(regexp_extract({x}, '^\s*((?:\S+\s+){{0,9}}\S+)', 1), '\s+', ' ', 'g')"
+    return rf"trim(regexp_replace(regexp_extract({x}, '^\s*([^\n]*)', 1), '\s+', ' ', 'g'))"
 
 
 def fresh(day: str, half_life: float) -> str:
@@ -125,9 +125,9 @@ _FIRST = "[x[2] for x in list_sort([ [ lpad(CAST(list_position(w, t) AS VARCHAR)
 QUERIES = f"""
 queries AS (
   SELECT item_id AS query_id,
-         [t for t in ws if t NOT IN {STOP}][1:4] AS terms,
-         [t for t in ws if t IN {STOP}][1:3] AS soft,
-         CASE WHEN item_id % 5 = 0 THEN [w[1:2]] ELSE [] END AS phrases,
+         [t for t in ws if t NOT IN {STOP}] AS terms,
+         [t for t in ws if t IN {STOP}] AS soft,
+         CASE WHEN item_id % 5 = 0 AND len(w) > 1 THEN [w] ELSE [] END AS phrases,
          CASE WHEN item_id % 7 = 0 THEN w[-1:] ELSE [] END AS exclude,
          CASE WHEN item_id % 11 = 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR) END AS author,
          CASE WHEN item_id % 6 = 0 THEN CAST({DAY} - 150 AS DATE) END AS since,
@@ -165,16 +165,16 @@ notes AS (
     CASE WHEN quality = 1 AND d.doc_id % 2 = 0 THEN {title_of('d.text')} END AS summary,
     CASE WHEN d.doc_id % 4 <> 1 THEN
       [{{'start': 40 - 10 * k, 'quote': string_split(d.text, chr(10))[k], 'note': CASE WHEN k = 2 THEN ' Check this ' END}}
-       for k in range(1, least(3, len(string_split(d.text, chr(10)))) + 1)] END AS highlights,
+       for k in range(1, len(string_split(d.text, chr(10))) + 1)] END AS highlights,
     {AS_OF} - CAST(d.doc_id AS INTEGER) * INTERVAL 1 HOUR AS edited
   FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 LIBQ = """
 libq AS (
-  SELECT item_id AS query_id, w[3:5] AS plain,
-    CASE WHEN item_id % 4 = 0 THEN [array_to_string(w[1:2], ' ')] ELSE [] END AS phrases,
-    CASE WHEN item_id % 3 = 0 THEN w[9:9] ELSE [] END AS minus
-  FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark))"""
+  SELECT item_id AS query_id, w AS plain, CASE WHEN item_id % 4 = 0 THEN p ELSE [] END AS phrases,
+    CASE WHEN item_id % 3 = 0 THEN w[-1:] ELSE [] END AS minus
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w,
+          regexp_extract_all(lower(text), '[a-z0-9]+(?: [a-z0-9]+)+') AS p FROM benchmark))"""
 
 
 def walk(cap: int) -> str:

@@ -132,13 +132,13 @@ def _(spark, d):
 
 BROAD = """broad AS (SELECT topic, tag FROM (SELECT topic, tag, row_number() OVER (PARTITION BY topic ORDER BY n DESC, tag) AS r
   FROM (SELECT topic, tag, count(*) AS n FROM (SELECT topic, unnest(tags) AS tag FROM articles) GROUP BY ALL)) WHERE r <= 3)"""
-HOME = BROAD + """,
+HOME = BROAD + r""",
 fit AS (
   SELECT a.url, t.topic, t.subtopic, t.ord FROM (SELECT url, unnest(tags) AS tag FROM articles) a
   JOIN (SELECT topic, subtopic, ord, unnest(tags) AS tag FROM tree) t USING (tag)
   UNION ALL
   SELECT a.url, t.topic, t.subtopic, t.ord FROM (SELECT DISTINCT url, title, topic FROM (SELECT url, title, unnest(tags) AS tag FROM articles) JOIN broad USING (tag)) a
-  JOIN (SELECT topic, subtopic, ord, unnest(tags) AS phrase FROM tree) t ON t.topic = a.topic AND regexp_matches(lower(a.title), '(^|[^a-z0-9_])' || t.phrase || '([^a-z0-9_]|$)')),
+  JOIN (SELECT topic, subtopic, ord, unnest(tags) AS phrase FROM tree) t ON t.topic = a.topic AND regexp_matches(lower(a.title), '(^|[^\p{L}\p{N}_])' || t.phrase || '([^\p{L}\p{N}_]|$)')),
 home AS (SELECT url, topic, subtopic FROM fit QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1)"""
 
 
@@ -309,19 +309,20 @@ def _(spark, d):
         "reader", "url", F.array_join("because_words", " ").alias("because_words"))
 
 
-#: What is explained: the sixty best of each reader, the length of a page.
+#: The sixty best of each reader, the length of a page.
 PICKED = PAIRS + ", pick AS MATERIALIZED (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY reader ORDER BY score DESC, url) <= 60)"
 
 
-@query("explain_pick", PICKED + WHY.replace("FROM final", "FROM pick") + """
-, ex AS (SELECT reader, key, title FROM (SELECT reader, unnest(labels) AS key, title, weight, doc_id FROM wt)
-         QUALIFY row_number() OVER (PARTITION BY reader, key ORDER BY round(weight, 9) DESC, doc_id) = 1),
-lk AS (SELECT reader, url, arg_min(ex.title, o) AS liked FROM (SELECT reader, url, unnest(shared) AS key, generate_subscripts(shared, 1) AS o FROM pick) JOIN ex USING (reader, key) GROUP BY ALL)
-SELECT f.reader, f.url, array_to_string(tags_shared[1:3], ' ') AS because, liked AS "like", coalesce(array_to_string(words, ' '), '') AS because_words,
-  author_share > 0 AS same_author FROM pick f LEFT JOIN lk ON lk.reader = f.reader AND lk.url = f.url LEFT JOIN why ON why.reader = f.reader AND why.url = f.url""")
+@query("best_picks", PICKED + " SELECT reader, url, score FROM pick")
 def _(spark, d):
-    picks = ranking.top_per_key(scored(spark, d), ["reader"], [F.desc("score"), F.asc("url")], 60)
-    rows = recommend.explain(picks, profile(spark, d, staged=True))
+    return recommend.best_pairs(profile(spark, d, staged=True).weights, pool(spark, d), b.AS_OF, 60, known=known(spark, d)).select("reader", "url", "score")
+
+
+@query("explain_pick")
+def _(spark, d):
+    """The page that each reader sees, explained; places for something new share nothing and have no explanation."""
+    page = recommend.shape(scored(spark, d), pool(spark, d), profile(spark, d, staged=True).readers, b.AS_OF, limit=60, known=known(spark, d))
+    rows = recommend.explain(scored(spark, d).join(page.select("reader", "url"), ["reader", "url"], "left_semi"), profile(spark, d, staged=True))
     return rows.select("reader", "url", F.array_join("because", " ").alias("because"), "like",
                        F.array_join("because_words", " ").alias("because_words"), "same_author")
 

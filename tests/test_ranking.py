@@ -74,6 +74,37 @@ def test_leader_cluster_of_long_word_lists(spark):
     assert got == models.cluster(rows, 0.55)
 
 
+def test_long_chains_need_few_rounds(spark, monkeypatch):
+    """A chain in which each headline is close to the next alone: rounds are bounded, the rest is walked once."""
+    chain = [" ".join(f"w{i + j:03d}" for j in range(8)) for i in range(0, 80, 2)]  # neighbours share six of ten words
+    rows = [(0, i, t) for i, t in enumerate(chain, 1)] + [(1, i, t) for i, t in enumerate(reversed(chain), 1)] + [(2, 1, "alone here"), (3, 1, "")]
+    df = spark.createDataFrame(rows, "edition int, rank int, title string")
+    stages, real = [], briefing.stage
+    monkeypatch.setattr(briefing, "stage", lambda d, name="stage": (stages.append(name), real(d, name))[1])
+    got = {(r.edition, r["rank"]): r.leader for r in briefing.leader_cluster(df, rounds=3).collect()}
+    assert stages.count("open") == 3
+    for e, titles in ((0, chain), (1, chain[::-1])):
+        want = models.cluster([set(t.split()) for t in titles], 0.55)
+        assert len(set(want.values())) == 20 and {r: got[(e, r)] for r in want} == want
+    assert got[(2, 1)] == 1 and got[(3, 1)] == 1
+
+
+def test_diversify_walks_what_waits_long(spark):
+    """One owner after another blocks the next signature: a chain longer than the rounds."""
+    rnd = random.Random(6)
+    rows = []
+    for lst in range(3):
+        for i in range(60):
+            rows += [(lst, 2 * i + 1, f"o{i}", f"s{i}"), (lst, 2 * i + 2, f"o{i}", f"s{i + 1}")]
+    rows += [(7, i, rnd.choice(["a", "b", "", None]), rnd.choice("xyzuvw")) for i in range(200)]
+    df = spark.createDataFrame(rows, "lst int, rank int, grp string, sig string")
+    for fn in (ranking.diversify, ranking.diversify_bounded):
+        got = {(r.lst, r["rank"]) for r in fn(df, "lst", "rank", "grp", "sig", 1).filter("kept").collect()}
+        for lst in (0, 7):
+            own = sorted((r, g or "", s) for x, r, g, s in rows if x == lst)
+            assert models.is_diverse(own, {r for x, r in got if x == lst}, 1)
+
+
 def test_diverse_pick_matches_the_walk(spark):
     rnd = random.Random(11)
     items = []

@@ -108,6 +108,10 @@ def test_scores_and_pages_match_brute_force(spark):
                     assert abs(got[(r, p["url"])] - p["score"]) < 2e-4
                 else:
                     assert p["affinity"] == 0
+        for k in (1, 4, 20):
+            best = recommend.best_pairs(weights, pool, NOW, k, known=known, strong=2)
+            want_best = recommend.top_per_key(scored, ["reader"], [F.desc("score"), F.asc("url")], k)
+            assert {(x.reader, x.url, x.score, x["rank"]) for x in best.collect()} == {(x.reader, x.url, x.score, x["rank"]) for x in want_best.collect()}
         limit = 28
         page = {}
         for x in recommend.shape(scored, pool, who, NOW, limit=limit, known=known).orderBy("reader", "slot").collect():
@@ -116,6 +120,35 @@ def test_scores_and_pages_match_brute_force(spark):
             assert page.get(r, []) == shaped(rows, limit), (seed, r)
 
 
+def test_best_pairs_leave_long_lists_alone(spark, monkeypatch):
+    """Common keys can't lift a post into the best few: most pairs that share something are never built."""
+    rnd = random.Random(9)
+    posts = []
+    for i in range(3000):
+        rare = f"rare{rnd.randrange(300)}"
+        posts.append((f"u{i:04d}", f"{rare} common {rnd.choice(['usual', 'plain'])}", f"a{i % 40}", TODAY - dt.timedelta(days=rnd.randint(0, 40)),
+                      rnd.randint(0, 50), 0.5, True, [rare, "everywhere"], None, None))
+    pool = spark.createDataFrame(posts, "url string, title string, author string, published date, claps bigint, prio double, cached boolean, labels array<string>, home_topic string, home_subtopic string")
+    rows = [(r, kind, key, w) for r in range(20) for kind, key, w in (
+        [("label", f"rare{(r * 7 + j) % 300}", 2.0) for j in range(4)] + [("word", f"rare{(r * 7 + j) % 300}", 2.0) for j in range(4)]
+        + [("label", "everywhere", 0.3), ("word", "common", 0.3), ("author", f"a{r}", 1.0)])]
+    weights = spark.createDataFrame(rows, "reader int, kind string, key string, weight double")
+    sizes, real = [], recommend.stage
+
+    def counted(df, name="stage"):
+        out = real(df, name)
+        if name == "candidates":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(recommend, "stage", counted)
+    got = recommend.best_pairs(weights, pool, NOW, 10).select("reader", "url", "score", "rank").collect()
+    every = recommend.score_pairs(weights, pool, NOW)
+    assert every.count() == 20 * 3000
+    want = recommend.top_per_key(every, ["reader"], [F.desc("score"), F.asc("url")], 10).select("reader", "url", "score", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(sizes) < 20 * 3000 / 10
+
+
 def test_cold_reader_gets_the_tree(spark):
     engaged = spark.createDataFrame([(1, 7, "u", "Rust rules", "Ada", "x", "s", ["rust"], 1.5)],
                                     "reader int, doc_id int, url string, title string, author string, topic string, subtopic string, tags array<string>, weight double")
