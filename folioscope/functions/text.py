@@ -1,36 +1,48 @@
-"""Text expressions. All are built-in column expressions unless the name ends in ``_udf``."""
+"""Text expressions. All are built-in column expressions."""
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import fixed
 
 
-def fold_tables() -> tuple[str, str]:
-    """(from, to) strings for ``translate``: accented Latin letters to their base letter, combining marks dropped.
+def _plain(ch: str) -> str:
+    """A character's compatibility decomposition without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
 
-    Built from the Unicode decomposition of every Latin letter up to U+024F plus the Vietnamese block.
-    """
-    src, dst = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+
+def fold_tables(ranges) -> tuple[str, str, dict[str, str]]:
+    """Folding of lower-case characters, from Unicode's decompositions: (from, to) strings for ``translate`` with what becomes
+    one character or, at the end of ``from``, none; and a table of what becomes several."""
+    src, dst, gone, several = [], [], [], {}
+    for code in (c for r in ranges for c in r):
         ch = chr(code)
-        if ch != ch.lower():
+        if 0xD800 <= code <= 0xDFFF or ch != ch.lower():
+            continue
+        base = _plain(ch)
+        if base == ch:
             continue
-        base = [c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)]
-        if len(base) == 1 and base[0] != ch and base[0].isalpha():
+        if not base:
+            gone.append(ch)
+        elif len(base) == 1:
             src.append(ch)
-            dst.append(base[0])
-    marks = [chr(c) for c in range(0x300, 0x370)]
-    return "".join(src + marks), "".join(dst)
-
-
-FOLD_FROM, FOLD_TO = fold_tables()
+            dst.append(base)
+        else:
+            several[ch] = base
+    return "".join(src + gone), "".join(dst), several
+
+
+HANGUL = range(0xAC00, 0xD7A4)  # syllables: folded by arithmetic
+FOLD_FROM, FOLD_TO, FOLD_LONG = fold_tables([range(0x80, HANGUL[0]), range(HANGUL[-1] + 1, 0x20000), range(0x2F800, 0x2FA20)])
+#: What of it is accented Latin or a mark: enough for Latin scripts.
+LATIN_FROM, LATIN_TO = (lambda kept: ("".join(a for a, _ in kept) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in kept)))(
+    [(a, b) for a, b in zip(FOLD_FROM, FOLD_TO) if (0xC0 <= ord(a) < 0x250 or 0x1E00 <= ord(a) < 0x1F00) and b.isalpha()])
+LONG_PATTERN = "[" + "".join(FOLD_LONG) + chr(HANGUL[0]) + "-" + chr(HANGUL[-1]) + "]"
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 
@@ -43,31 +55,45 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def in_list(c: Column, values) -> Column:
-    return c.isin(list(values))
+def _by_first(table: dict[str, str]) -> Column:
+    """A constant map of maps, by first character: two short lookups instead of a long one."""
+    nested: dict[str, dict[str, str]] = {}
+    for key, value in table.items():
+        nested.setdefault(key[0], {})[key] = value
+    return F.from_json(F.lit(json.dumps(nested)), "map<string,map<string,string>>")
 
 
-def fold(c) -> Column:
-    return F.translate(F.lower(F.coalesce(_c(c), F.lit(""))), FOLD_FROM, FOLD_TO)
+def _entity(names: Column, key: Column) -> Column:
+    return F.try_element_at(F.try_element_at(names, F.left(key, F.lit(1))), key)
 
 
-def words(c) -> Column:
-    """Lowercase, accent-free letter/digit runs, as an array."""
-    return F.regexp_extract_all(fold(c), F.lit(WORD_PATTERN), F.lit(0))
+def _point(number: Column) -> Column:
+    """The character with this code."""
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+
+def fold(c) -> Column:
+    """Lower case without accents, for any script: compatibility decomposition, marks dropped."""
+    table = _by_first(FOLD_LONG)
 
+    def jamo(n, first, size, each):
+        return _point(first + F.floor(n % size / each).cast("int"))
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def words_udf(texts: pd.Series) -> pd.Series:
-    """``words`` with the whole of Unicode decomposition, for scripts outside the Latin tables."""
-    import re
+    def one(ch):
+        n = F.ascii(ch) - HANGUL[0]
+        tail = F.when(n % 28 > 0, _point(0x11A7 + n % 28)).otherwise(F.lit(""))
+        syllable = F.concat(_point(0x1100 + F.floor(n / 588).cast("int")), jamo(n, 0x1161, 588, 28), tail)
+        return F.when(n.between(0, len(HANGUL) - 1), syllable).otherwise(F.coalesce(_entity(table, ch), ch))
 
-    token = re.compile(r"[^\W_]+")
+    def rest(t):
+        return F.when(t.rlike(LONG_PATTERN), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), one), "")).otherwise(t)
 
-    def one(text):
-        plain = unicodedata.normalize("NFKD", (text or "").lower())
-        return token.findall("".join(c for c in plain if not unicodedata.combining(c)))
+    return F.transform(F.array(F.translate(F.lower(F.coalesce(_c(c), F.lit(""))), FOLD_FROM, FOLD_TO)), rest)[0]
 
-    return texts.map(one)
+
+def words(c) -> Column:
+    """Lowercase, accent-free letter/digit runs, as an array."""
+    return F.regexp_extract_all(fold(c), F.lit(WORD_PATTERN), F.lit(0))
 
 
 STEM_PATTERN = "^(.{%d,}?)(%s)$" % (fixed.MIN_STEM, "|".join(fixed.SUFFIXES))
@@ -171,71 +197,59 @@ def strip_tags(c, by: str = " ") -> Column:
     return F.regexp_replace(_c(c), "<[^>]+>", by)
 
 
-# Named entities that occur in practice; the pandas UDF below knows the full table.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
-]
+#: A character reference: decimal, hexadecimal, or a name with or without its semicolon.
+REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+
+
+def _character(number: Column) -> Column:
+    """The text of a numeric reference: numbers that are no character become U+FFFD, control characters vanish."""
+    low = F.array(*[F.lit(bytes([n]).decode("cp1252", "replace")) for n in range(0x80, 0xA0)])
+    none = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    gone = number.between(1, 8) | number.between(14, 31) | (number == 11) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    points = _point(F.when(none | gone, F.lit(0xFFFD)).otherwise(number))
+    windows = F.when(number.isin(0x81, 0x8D, 0x8F, 0x90, 0x9D), points).otherwise(F.get(low, (number - 0x80).cast("int")))
+    return F.when(number.between(0x80, 0x9F), windows).when(gone & ~none, F.lit("")).otherwise(points)
 
 
 def unescape(c) -> Column:
-    """One round of decoding: every numeric entity, and the named ones above (``&amp;`` last, so nothing decodes twice).
+    """One round of decoding: every numeric reference and every name of the HTML standard.
 
-    Numbers that are no character (0, surrogates, above U+10FFFF) become U+FFFD.
+    A name without its semicolon is taken where the standard knows it so; else its longest beginning that is such a name.
     """
-    text = _c(c)
-    found = r"&#(?:[xX][0-9A-Fa-f]{1,8}|[0-9]{1,10});"
-
-    def decoded(e):
-        body = F.regexp_extract(e, "&#(.*);", 1)
-        number = F.when(body.rlike("^[xX]"), F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).cast("bigint")
-        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-        points = F.unhex(F.lpad(F.hex(F.when(valid, number).when(e.isNotNull(), F.lit(0xFFFD))), 8, "0"))
-        return F.decode(points, "UTF-32")
-
-    def numbers(t):
-        marks = F.regexp_extract_all(t, F.lit(found), F.lit(0))
-        joined = F.array_join(F.transform(F.split(t, found, -1), lambda p, i: F.concat(p, F.coalesce(decoded(F.get(marks, i)), F.lit("")))), "")
-        return F.when(t.contains("&#"), joined).otherwise(t)
-
-    out = F.transform(F.array(text), numbers)[0]  # the text is named once: rounds of decoding nest
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
-
-
-@F.pandas_udf(T.StringType())
-def clean_udf(texts: pd.Series) -> pd.Series:
-    """Decode every HTML entity until stable (at most three rounds) and squeeze white space."""
-    import html
-    import re
-
-    def one(text):
-        if not text:
-            return ""
-        for _ in range(3):
-            decoded = html.unescape(text)
-            if decoded == text:
-                break
-            text = decoded
-        return re.sub(r"\s+", " ", text).strip()
-
-    return texts.map(one)
-
-
-def clean(c, full: bool = False) -> Column:
-    """Decoded, squeezed text. ``full=False`` stays in built-ins (common entities, three rounds)."""
-    if full:
-        return clean_udf(_c(c))
+    from html.entities import html5
+
+    names = _by_first(html5)
+    longest = max(len(n) for n in html5 if not n.endswith(";"))
+
+    def decoded(mark):
+        body = F.rtrim(F.substring(mark, 3, 40), F.lit(";"))
+        digits = F.ltrim(F.when(body.rlike("^[xX]"), F.substring(body, 2, 40)).otherwise(body), F.lit("0"))
+        many = F.length(digits) > 9
+        number = F.when(digits == "", F.lit(0)).when(many, F.lit(0x110000)).when(body.rlike("^[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        name = F.substring(mark, 2, 40)
+        sizes = F.filter(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda n: n < F.length(name))
+        part = F.get(F.filter(sizes, lambda n: _entity(names, F.left(name, n)).isNotNull()), F.lit(0))
+        begun = F.concat(_entity(names, F.left(name, part)), F.substring(name, part + 1, F.lit(40)))
+        return F.when(mark.startswith("&#"), _character(number)).otherwise(F.coalesce(_entity(names, name), begun, mark))
+
+    def round_(t):
+        marks = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        joined = F.array_join(F.transform(F.split(t, REFERENCE, -1), lambda p, i: F.concat(p, F.coalesce(decoded(F.get(marks, i)), F.lit("")))), "")
+        return F.when(t.contains("&"), joined).otherwise(t)
+
+    return F.transform(F.array(_c(c)), round_)[0]  # the text is named once: rounds of decoding nest
+
+
+def clean(c) -> Column:
+    """Decoded (three rounds at most) and squeezed text."""
     text = F.coalesce(_c(c), F.lit(""))
     for _ in range(3):
         text = unescape(text)
-    return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\x1C-\x1F\x85\p{Z}]+", " "))
 
 
-def strip_jats(c, full: bool = False) -> Column:
-    return clean(strip_tags(F.coalesce(_c(c), F.lit(""))), full)
+def strip_jats(c) -> Column:
+    return clean(strip_tags(F.coalesce(_c(c), F.lit(""))))
 
 
 def display_count(c) -> Column:

@@ -175,15 +175,16 @@ def access_settle(articles: DataFrame, fetched: DataFrame, as_of) -> DataFrame:
     return rows.filter(~F.coalesce(doomed, F.lit(False))).drop("_seen")
 
 
-def trending_suggestions(post_meta: DataFrame, articles: DataFrame, phrased_tree: DataFrame, broad: DataFrame, as_of, *, limit: int = 300) -> DataFrame:
-    """Read posts outside the library with a home, by trend."""
+def trending_suggestions(post_meta: DataFrame, articles: DataFrame, phrased_tree: DataFrame, broad: DataFrame, as_of, *, limit: int | None = 300) -> DataFrame:
+    """Read posts outside the library with a home, by trend; ``limit=None``: all of them."""
     from .library import eligible
 
     rows = eligible(post_meta, articles)
     home = assign_home(rows, phrased_tree, broad)
     trend = F.round(scoring.trend_score("claps", "published", as_of), 2)
     rows = rows.drop("topic", "subtopic").join(home, "url").withColumn("trend", trend)
-    return rows.orderBy(F.desc("trend"), F.asc("url")).limit(limit)
+    rows = rows.orderBy(F.desc("trend"), F.asc("url"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def shortage_report(caps: DataFrame, plan: DataFrame) -> DataFrame:

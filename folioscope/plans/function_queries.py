@@ -18,10 +18,10 @@ def _(spark, d):
     return docs.select(F.explode(text.words("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query("words_full_unicode")
+@query("words_full_unicode", f"SELECT token, count(*) AS n FROM (SELECT unnest({DOCW}) AS token FROM documents) GROUP BY token")
 def _(spark, d):
     docs = b.table(spark, d, "documents")
-    return docs.select(F.explode(text.words_udf("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return docs.select(F.explode(text.words("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("stem", f"""SELECT token, {q.stem('token')} AS stem
@@ -293,14 +293,17 @@ def _(spark, d):
     return docs.select("doc_id", urls.normalize_doi(raw).alias("doi"))
 
 
-@query("clean_markup", f"SELECT page_id, {q.clean(chr(39).join(['regexp_replace(html, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))} AS plain FROM pages")
+PLAIN = f"SELECT page_id, {q.clean(chr(39).join(['regexp_replace(html, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))} AS plain FROM pages"
+
+
+@query("clean_markup", PLAIN)
 def _(spark, d):
     return b.table(spark, d, "pages").select("page_id", text.strip_jats("html").alias("plain"))
 
 
-@query("clean_markup_full_entities")
+@query("clean_markup_full_entities", PLAIN)
 def _(spark, d):
-    return b.table(spark, d, "pages").select("page_id", text.strip_jats("html", full=True).alias("plain"))
+    return b.table(spark, d, "pages").select("page_id", text.strip_jats("html").alias("plain"))
 
 
 def redirect_urls(spark, d):

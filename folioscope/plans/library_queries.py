@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import library as lib
+from ..operators.ranking import in_order
 from . import bindings as b
 from . import sqlparts as q
 from .registry import query
@@ -19,10 +21,15 @@ def stored():
     return [F.desc("added"), F.asc("doc_id")]
 
 
-@query("library_first_page", A + f"""SELECT {CARD} FROM articles WHERE topic = 'en' AND locked = false
+def on_page():
+    """Place on a page, which has a hundred rows at most."""
+    return F.row_number().over(Window.orderBy(*stored())).cast("bigint")
+
+
+@query("library_first_page", A + f"""SELECT {CARD}, row_number() OVER (ORDER BY added DESC, doc_id) AS place FROM articles WHERE topic = 'en' AND locked = false
 ORDER BY added DESC, doc_id LIMIT 60""")
 def _(spark, d):
-    return lib.first_page(b.articles(spark, d), stored(), limit=60, topic="en", access="free").select(*CARDS)
+    return lib.first_page(b.articles(spark, d), stored(), limit=60, topic="en", access="free").withColumn("place", on_page()).select(*CARDS, "place")
 
 
 @query("access_filter", A + "SELECT doc_id, id, title, topic, subtopic, locked FROM articles WHERE locked = true")
@@ -30,10 +37,12 @@ def _(spark, d):
     return lib.access_filter(b.articles(spark, d), "locked").select(*CARDS)
 
 
-@query("library_page", A + f"""SELECT {CARD}, (SELECT count(*) FROM articles WHERE topic = 'en') AS total
-FROM articles WHERE topic = 'en' ORDER BY added DESC, doc_id LIMIT 60 OFFSET 120""")
+@query("library_page", A + f"""SELECT {CARD}, total, place - 120 AS place FROM (
+  SELECT *, row_number() OVER (ORDER BY added DESC, doc_id) AS place, count(*) OVER () AS total FROM articles WHERE topic = 'en')
+WHERE place > 120 AND place <= 180""")
 def _(spark, d):
-    return lib.page(b.articles(spark, d), stored(), offset=120, limit=60, topic="en").select(*CARDS, "total")
+    rows = lib.page(b.articles(spark, d), stored(), offset=120, limit=60, topic="en")
+    return rows.withColumn("place", on_page()).select(*CARDS, "total", "place")
 
 
 COUNTS = """count(*) AS total, count(*) FILTER (locked = false) AS free, count(*) FILTER (locked = true) AS locked,
@@ -97,16 +106,16 @@ def _(spark, d):
     return lib.purge(b.articles(spark, d)).select("id", "url")
 
 
-@query("access_todo", A + f"""SELECT id, added, locked_checked FROM articles WHERE locked IS NULL
+@query("access_todo", A + f"""SELECT id, added, locked_checked, row_number() OVER (ORDER BY added, id) AS place FROM articles WHERE locked IS NULL
 AND (locked_checked IS NULL OR locked_checked <> {q.DAY})""")
 def _(spark, d):
-    return lib.access_todo(b.articles(spark, d), b.AS_OF).select("id", "added", "locked_checked")
+    return in_order(lib.access_todo(b.articles(spark, d), b.AS_OF).select("id", "added", "locked_checked"))
 
 
-@query("access_todo_batch", A + f"""SELECT id, added, locked_checked FROM articles WHERE locked IS NULL
+@query("access_todo_batch", A + f"""SELECT id, added, locked_checked, row_number() OVER (ORDER BY added, id) AS place FROM articles WHERE locked IS NULL
 AND (locked_checked IS NULL OR locked_checked < {q.DAY} - 7)""")
 def _(spark, d):
-    return lib.access_todo(b.articles(spark, d), b.AS_OF, max_age_days=7).select("id", "added", "locked_checked")
+    return in_order(lib.access_todo(b.articles(spark, d), b.AS_OF, max_age_days=7).select("id", "added", "locked_checked"))
 
 
 DISMISSED = """dismissed AS (SELECT DISTINCT a.url FROM engagement e JOIN articles a USING (doc_id) WHERE e.kind = 'error')"""
@@ -214,9 +223,10 @@ def _(spark, d):
 
 
 @query("discover_merge_order", q.with_(q.NEWS) + """
-SELECT item_id, url, title, published FROM news QUALIFY row_number() OVER (PARTITION BY url ORDER BY item_id) = 1""")
+SELECT *, row_number() OVER (ORDER BY published DESC NULLS LAST, item_id) AS place FROM (
+  SELECT item_id, url, title, published FROM news QUALIFY row_number() OVER (PARTITION BY url ORDER BY item_id) = 1)""")
 def _(spark, d):
-    return lib.discover_merge(b.news_items(spark, d), "item_id").select("item_id", "url", "title", "published")
+    return in_order(lib.discover_merge(b.news_items(spark, d), "item_id").select("item_id", "url", "title", "published"))
 
 
 @query("tree_merge", A + f"""
@@ -239,11 +249,11 @@ def _(spark, d):
     return b.notes(spark, d).select("article_id", lib.notes_count().alias("notes_count"))
 
 
-@query("notes_to_articles", NB + f"""SELECT article_id, title, edited, {NCOUNT} AS notes_count
+@query("notes_to_articles", NB + f"""SELECT article_id, title, edited, {NCOUNT} AS notes_count, row_number() OVER (ORDER BY edited DESC, article_id) AS place
 FROM notes JOIN (SELECT id, title FROM articles WHERE source IS NOT NULL) ON id = article_id WHERE {NCOUNT} > 0""")
 def _(spark, d):
     live = b.articles(spark, d).filter("source is not null")
-    return lib.notebook(live, b.notes(spark, d)).select("article_id", "title", "edited", "notes_count")
+    return in_order(lib.notebook(live, b.notes(spark, d)).select("article_id", "title", "edited", "notes_count"))
 
 
 @query("notebook_filter", NB + f"""SELECT article_id, edited FROM notes JOIN articles ON id = article_id

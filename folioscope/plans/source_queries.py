@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import reconcile
+from ..operators.ranking import in_order
 from ..sources import feeds, pages, papers, sitemaps, store
 from . import bindings as b
 from . import sqlparts as q
@@ -49,7 +50,7 @@ def _(spark, d):
 @query("sitemap_pending", """
 WITH days AS (SELECT DISTINCT CAST(DATE '2024-02-05' - CAST(doc_id AS INTEGER) AS DATE) AS day FROM documents),
 led AS (SELECT DISTINCT CAST(DATE '2024-02-05' - CAST(doc_id AS INTEGER) AS DATE) AS day FROM labels)
-SELECT days.day, 'https://x.example.org/sitemap/posts/posts-' || CAST(days.day AS VARCHAR) || '.xml' AS url, 'new' AS lastmod
+SELECT days.day, 'https://x.example.org/sitemap/posts/posts-' || CAST(days.day AS VARCHAR) || '.xml' AS url, 'new' AS lastmod, row_number() OVER (ORDER BY days.day DESC) AS place
 FROM days LEFT JOIN led USING (day) WHERE days.day BETWEEN DATE '2024-01-31' - 365 AND DATE '2024-01-31' AND (led.day IS NULL OR days.day >= DATE '2024-01-28')""")
 def _(spark, d):
     def day(t):
@@ -59,7 +60,7 @@ def _(spark, d):
     xml = F.concat(F.lit("<sitemap><loc>https://x.example.org/sitemap/posts/posts-"), F.col("day").cast("string"),
                    F.lit(".xml</loc>\n<lastmod>new</lastmod></sitemap>"))
     ledger = b.table(spark, d, "labels").select(day("doc_id").alias("day"), F.lit("old").alias("lastmod")).distinct()
-    return sitemaps.sitemap_pending(sitemaps.sitemap_listing(days.select(xml.alias("text"))), ledger, "2024-01-31")
+    return in_order(sitemaps.sitemap_pending(sitemaps.sitemap_listing(days.select(xml.alias("text"))), ledger, "2024-01-31"))
 
 
 # ---------------------------------------------------------------- feeds
@@ -268,10 +269,11 @@ def _(spark, d):
     return papers.paper_search(w, rows=None).select("query_id", "place", "id", "doi", "title")
 
 
-@query("papers_order", q.with_(q.ARTICLES) + "SELECT id, coalesce(CAST(locked_checked AS VARCHAR), CAST(published AS VARCHAR), '') AS shown FROM articles")
+@query("papers_order", q.with_(q.ARTICLES) + """SELECT *, row_number() OVER (ORDER BY shown DESC, id) AS place FROM (
+  SELECT id, coalesce(CAST(locked_checked AS VARCHAR), CAST(published AS VARCHAR), '') AS shown FROM articles)""")
 def _(spark, d):
     a = b.articles(spark, d).withColumn("saved_at", F.col("locked_checked"))
-    return papers.papers_order(a).select("id", F.coalesce(F.col("saved_at").cast("string"), F.col("published").cast("string"), F.lit("")).alias("shown"))
+    return in_order(papers.papers_order(a).select("id", F.coalesce(F.col("saved_at").cast("string"), F.col("published").cast("string"), F.lit("")).alias("shown")))
 
 
 @query("shelf_projection", q.with_(q.ARTICLES) + "SELECT id, title, published FROM articles")

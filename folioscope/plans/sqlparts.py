@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from ..functions.text import ENTITIES, FOLD_FROM, FOLD_TO, STEM_PATTERN
+from ..functions.text import LATIN_FROM, LATIN_TO, STEM_PATTERN
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 DAY = "DATE '2024-01-31'"
@@ -23,7 +23,7 @@ GENERIC = inlist(fixed.GENERIC_LABELS)
 
 def words(x: str) -> str:
     return (
-        f"regexp_extract_all(translate(lower(coalesce({x}, '')), '{FOLD_FROM}', '{FOLD_TO}'), "
+        f"regexp_extract_all(translate(lower(coalesce({x}, '')), '{LATIN_FROM}', '{LATIN_TO}'), "
         r"'[\p{L}\p{N}]+')"
     )
 
@@ -48,6 +48,14 @@ def headline_words(x: str) -> str:
     )
 
 
+#: The references that the given pages hold; ``&amp;`` last, so that nothing is decoded twice in a round.
+ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+    ("&nbsp;", " "), ("&copy;", "©"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
+]
+
+
 def clean(x: str) -> str:
     out = f"coalesce({x}, '')"
     for _ in range(3):

@@ -29,10 +29,10 @@ def _date(column: str) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(padded, "-"))
 
 
-def paper_records(works: DataFrame, *, full_entities: bool = False) -> DataFrame:
+def paper_records(works: DataFrame) -> DataFrame:
     """One record per work with a DOI: cleaned texts, people, first usable date of four."""
     def clean(c):
-        return text.clean(c, full_entities)
+        return text.clean(c)
 
     published = F.coalesce(*[_date(c) for c in ("issued", "published", "published-print", "published-online")])
     # names are decoded with the common entities; the whole record may opt in to the full table
@@ -57,7 +57,7 @@ def paper_records(works: DataFrame, *, full_entities: bool = False) -> DataFrame
     )
 
 
-def paper_search(works: DataFrame, *, rows: int | None = 50, place: str = "place", **options) -> DataFrame:
+def paper_search(works: DataFrame, *, rows: int | None = 50, place: str = "place") -> DataFrame:
     """Records of the first works of every query's answer (``query_id``, place), one per id; ``rows=None``: of all its works."""
     from ..operators.ranking import top_per_key
 
@@ -66,7 +66,7 @@ def paper_search(works: DataFrame, *, rows: int | None = 50, place: str = "place
         first = top_per_key(works, ["query_id"], [F.asc(place)], max(1, int(rows)), "_r").drop("_r")
     keyed = first.select("query_id", place, F.lower("DOI").alias("_doi")).filter(F.coalesce("_doi", F.lit("")) != "")
     best = first_per_key(keyed, ["query_id", "_doi"], [F.asc(place)])
-    return best.join(first_per_key(paper_records(first, **options).withColumn("_doi", F.lower("doi")), ["_doi"], [F.asc("title")]), "_doi").drop("_doi")
+    return best.join(first_per_key(paper_records(first).withColumn("_doi", F.lower("doi")), ["_doi"], [F.asc("title")]), "_doi").drop("_doi")
 
 
 def papers_order(papers: DataFrame) -> DataFrame:
