@@ -12,9 +12,9 @@ digest of the set); classes are the nodes of the join.
    the earliest postings of their shingles (those with the fewest rarer shingles before) the one that allows most overlap. Verified links form components; then those
    members that are in another component than the leader of a shingle meet all others outside their component. No link between
    components is lost, and members of one component never meet again.
-5. Each remaining pair is verified once: a suffix filter (shingles per hash range bound the overlap from above), then the
-   exact intersection. Shingles of the classes that have pairs are made again from the text; they are found by bits of
-   fixed size.
+5. Each remaining pair is verified once: a suffix filter (shingles per hash range, 64 small counts kept with each class, bound
+   the overlap from above), then the exact intersection. Shingles of the classes that still have pairs are made again from
+   the text; they are found by bits of fixed size.
 
 Components come from alternating large-star and small-star steps, written to the shared folder at each step.
 
@@ -55,12 +55,22 @@ def shingles(known: common.Hashes, text: bytes | None, size: int = WORDS) -> np.
     return np.unique(out)
 
 
+EDGES = (np.arange(1, BANDS, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
+
+
+def bands_of(own: np.ndarray) -> bytes | None:
+    """Shingles in each of BANDS hash ranges; none for a set so large that a count wouldn't fit."""
+    if len(own) > 65_535:
+        return None
+    return np.diff(np.concatenate([[0], np.searchsorted(own, EDGES), [len(own)]])).astype("<u2").tobytes()
+
+
 def node_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
 
 
 def describe(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, row, n, node) per row, and per task the counts of shingle cells: part, chunk, cells (null for documents).
+    """(doc_id, row, n, node, bands) per row, and per task the counts of shingle cells: part, chunk, cells (null for documents).
 
     A task's counts stop at 255: one byte for each cell.
     """
@@ -76,32 +86,32 @@ def describe(docs: DataFrame, size: int = WORDS) -> DataFrame:
             cells[at] = np.minimum(255, cells[at] + n)
 
         for batch in batches:
-            texts, n, node = batch.column(2), [], []
+            texts, n, node, bands = batch.column(2), [], [], []
             for i in range(batch.num_rows):
                 own = shingles(known, texts[i].as_py(), size)
-                n.append(len(own)), node.append(node_of(own) if len(own) else None)
+                n.append(len(own)), node.append(node_of(own) if len(own) else None), bands.append(bands_of(own) if len(own) else None)
                 held.append(own)
                 many += len(own)
                 if many > 500_000:
                     count()
                     held, many = [], 0
             rows = batch.num_rows
-            yield _described(batch.column(0), batch.column(1), n, node, [None] * rows, [None] * rows, [None] * rows)
+            yield _described(batch.column(0), batch.column(1), n, node, bands, [None] * rows, [None] * rows, [None] * rows)
         if held:
             count()
         part = TaskContext.get().partitionId()
         if cells.any():
             for c in range(CELLS // CHUNK):
-                yield _described(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [None], [None], [part], [c], [cells[c * CHUNK : (c + 1) * CHUNK].tobytes()])
+                yield _described(pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), [None], [None], [None], [part], [c], [cells[c * CHUNK : (c + 1) * CHUNK].tobytes()])
 
     rows = common.doc_rows(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, n long, node long, part int, chunk int, cells binary")
+    return rows.mapInArrow(run, "doc_id long, row long, n long, node long, bands binary, part int, chunk int, cells binary")
 
 
-def _described(doc_id, row, n, node, part, chunk, cells) -> pa.RecordBatch:
+def _described(doc_id, row, n, node, bands, part, chunk, cells) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [doc_id, row, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(part, pa.int32()), pa.array(chunk, pa.int32()), pa.array(cells, pa.binary())],
-        names=["doc_id", "row", "n", "node", "part", "chunk", "cells"])
+        [doc_id, row, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bands, pa.binary()), pa.array(part, pa.int32()), pa.array(chunk, pa.int32()), pa.array(cells, pa.binary())],
+        names=["doc_id", "row", "n", "node", "bands", "part", "chunk", "cells"])
 
 
 def add_cells(parts: DataFrame) -> np.ndarray:
@@ -179,10 +189,22 @@ def fits(a: str, b: str, percent: int) -> Column:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int, size: int = WORDS) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar; ``reps``: node, rep (a document of it)."""
-    pairs = common.staged(pairs.distinct(), "pairs")
+    """The pairs (a, b) of nodes whose sets are similar; ``reps``: node, rep (a document of it), bands."""
+    counted = lambda side: reps.select(F.col("node").alias(side), F.col("bands").alias(f"bands_{side}"))
+    banded = pairs.distinct().join(counted("a"), "a").join(counted("b"), "b").select("a", "b", "bands_a", "bands_b")
+
+    def may(batches):
+        for batch in batches:
+            xs, ys = batch.column(2), batch.column(3)
+            both = np.asarray(xs.is_valid()) & np.asarray(ys.is_valid())
+            keep, at = ~both, np.flatnonzero(both)
+            x, y = (np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), dtype="<u2").reshape(len(at), BANDS).astype(np.int64) for c in (xs, ys))
+            keep[at] = (100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (x.sum(axis=1) + y.sum(axis=1))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    pairs = common.staged(banded.mapInArrow(may, "a long, b long"), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = common.staged(nodes.join(reps, "node"), "wanted")
+    wanted = common.staged(nodes.join(reps.select("node", "rep"), "node"), "wanted")
     bits = common.crc_bits(wanted.select(F.col("rep").cast("string").alias("rep")), "rep")
 
     def run(batches):
@@ -208,7 +230,6 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int, siz
     sets = common.staged(made.select("node", "own"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b")
-    edges = (np.arange(1, BANDS, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
 
     def test(batches):
         for batch in batches:
@@ -216,10 +237,6 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int, siz
             xs, ys = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 x, y = np.frombuffer(xs[i].as_buffer(), dtype=np.uint64), np.frombuffer(ys[i].as_buffer(), dtype=np.uint64)
-                need = -(-percent * (len(x) + len(y)) // (100 + percent))
-                hx, hy = (np.diff(np.concatenate([[0], np.searchsorted(z, edges), [len(z)]])) for z in (x, y))
-                if np.minimum(hx, hy).sum() < need:
-                    continue
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * same >= percent * (len(x) + len(y) - same):
                     keep.append(i)
@@ -268,7 +285,7 @@ def grouped(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     """
     seen = common.staged(describe(docs, size), "shingled")
     rows = seen.filter("chunk IS NULL").select("doc_id", "row", "n", "node")
-    reps = common.staged(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = common.staged(seen.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     shared = docs.sparkSession.sparkContext.broadcast(levels_of(add_cells(seen)))
     posted = postings(docs, shared, percent, size)
     # keep shingles that two classes post; the leader is the earliest posting of the shingle
