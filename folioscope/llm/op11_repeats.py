@@ -446,13 +446,15 @@ def repeats(docs: DataFrame, size: int = 100, hot: int = HOT) -> DataFrame:
     sums = marks.filter(look).agg(
         F.sum(F.when(~F.col("hot"), F.col("n") + size)), F.sum(F.col("hot").cast("long"))).first()
     ranges = marks.filter(~look).select("doc_id", "row", "start", "n")
-    if sums[0]:
-        strings = bodies(rows, marks.filter(look & ~F.col("hot")), size, -(-sums[0] // BUCKET))
-        kinds = "bucket int, shard int, bwt binary, doc binary, null binary, row binary, start binary, n binary"
-        ranges = ranges.unionByName(merged(strings.groupBy("bucket", "shard").applyInArrow(shard, kinds), size))
+    strings = bodies(rows, marks.filter(look), size, max(1, -(-(sums[0] or 0) // BUCKET)))
     if sums[1]:
-        windows = common.staged(bodies(rows, marks.filter(look & F.col("hot")), size, 1), "windows").select("doc_id", "row", "start", "n", "window")
+        strings = common.staged(strings, "strings")  # two readers
+        windows = strings.filter("body IS NULL").select("doc_id", "row", "start", "n", "window")
         place = F.struct("doc_id", "row", "start")
         first = windows.groupBy("window").agg(F.min(place).alias("first"))
         ranges = ranges.unionByName(windows.join(first, "window").filter(place != F.col("first")).select("doc_id", "row", "start", "n"))
+        strings = strings.filter("body IS NOT NULL")
+    if sums[0]:
+        kinds = "bucket int, shard int, bwt binary, doc binary, null binary, row binary, start binary, n binary"
+        ranges = ranges.unionByName(merged(strings.groupBy("bucket", "shard").applyInArrow(shard, kinds), size))
     return removed(rows, ranges, size)
