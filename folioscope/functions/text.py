@@ -42,7 +42,22 @@ FOLD_FROM, FOLD_TO, FOLD_LONG = fold_tables([range(0x80, HANGUL[0]), range(HANGU
 #: What of it is accented Latin or a mark: enough for Latin scripts.
 LATIN_FROM, LATIN_TO = (lambda kept: ("".join(a for a, _ in kept) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in kept)))(
     [(a, b) for a, b in zip(FOLD_FROM, FOLD_TO) if (0xC0 <= ord(a) < 0x250 or 0x1E00 <= ord(a) < 0x1F00) and b.isalpha()])
-LONG_PATTERN = "[" + "".join(FOLD_LONG) + chr(HANGUL[0]) + "-" + chr(HANGUL[-1]) + "]"
+
+
+def char_class(codes) -> str:
+    """A pattern's character class for these code points, as ranges."""
+    spans: list[list[int]] = []
+    for code in sorted(codes):
+        if spans and code == spans[-1][1] + 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+#: What folds to several characters, and a short class around it that most texts of Latin scripts don't match.
+LONG_PATTERN = char_class([*map(ord, FOLD_LONG), *HANGUL])
+LONG_NEAR = char_class([*(ord(c) for c in FOLD_LONG if ord(c) < 0x587), *range(0x587, 0x110000)])
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 
@@ -72,6 +87,12 @@ def _point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
+def _replaced(text: Column, pattern: str, body) -> Column:
+    """``text`` with each match of ``pattern`` replaced by ``body(match)``."""
+    pieces, marks = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(p, F.coalesce(body(m), F.lit("")))), "")
+
+
 def fold(c) -> Column:
     """Lower case without accents, for any script: compatibility decomposition, marks dropped."""
     table = _by_first(FOLD_LONG)
@@ -86,7 +107,7 @@ def fold(c) -> Column:
         return F.when(n.between(0, len(HANGUL) - 1), syllable).otherwise(F.coalesce(_entity(table, ch), ch))
 
     def rest(t):
-        return F.when(t.rlike(LONG_PATTERN), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), one), "")).otherwise(t)
+        return F.when(t.rlike(LONG_NEAR), _replaced(t, LONG_PATTERN, one)).otherwise(t)
 
     return F.transform(F.array(F.translate(F.lower(F.coalesce(_c(c), F.lit(""))), FOLD_FROM, FOLD_TO)), rest)[0]
 
@@ -233,9 +254,7 @@ def unescape(c) -> Column:
         return F.when(mark.startswith("&#"), _character(number)).otherwise(F.coalesce(_entity(names, name), begun, mark))
 
     def round_(t):
-        marks = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
-        joined = F.array_join(F.transform(F.split(t, REFERENCE, -1), lambda p, i: F.concat(p, F.coalesce(decoded(F.get(marks, i)), F.lit("")))), "")
-        return F.when(t.contains("&"), joined).otherwise(t)
+        return F.when(t.contains("&"), _replaced(t, REFERENCE, decoded)).otherwise(t)
 
     return F.transform(F.array(_c(c)), round_)[0]  # the text is named once: rounds of decoding nest
 
