@@ -22,9 +22,19 @@ AUTHOR_UNIT, OPEN_UNIT = -2, -1
 class Index:
     postings: DataFrame  # post_id, token, stem, tf_title, tf_author, title_pos, author_pos, doc_len, day
     docs: DataFrame      # post_id, url, title, author, day, prio, title_len, doc_len
+    tokens: DataFrame | None = None  # token, stem, where stored
+    stems: DataFrame | None = None   # stem, df (posts that hold it), where stored
 
     def staged(self) -> "Index":
-        return Index(stage(self.postings, "postings"), stage(self.docs, "docs"))
+        """All four tables written, so that no batch of queries makes the vocabulary anew."""
+        kept = Index(stage(self.postings, "postings"), stage(self.docs, "docs"))
+        return Index(kept.postings, kept.docs, stage(kept.vocabulary(), "tokens"), stage(term_stats(kept.postings), "stems"))
+
+    def vocabulary(self) -> DataFrame:
+        return self.tokens if self.tokens is not None else self.postings.select("token", "stem").distinct()
+
+    def stem_df(self) -> DataFrame:
+        return self.stems if self.stems is not None else term_stats(self.postings)
 
 
 def normalise_queries(raw: DataFrame) -> DataFrame:
@@ -115,10 +125,10 @@ def query_units(queries: DataFrame) -> DataFrame:
     return term.unionByName(phrase).unionByName(author).withColumn("stem", text.stem("word"))
 
 
-def open_stems(postings: DataFrame, units: DataFrame) -> DataFrame:
+def open_stems(index: Index, units: DataFrame) -> DataFrame:
     """Stems of the vocabulary that begin with a query's last term, found by equality on the stems' beginnings."""
     last = units.filter("is_last").select("query_id", F.col("stem").alias("head"))
-    vocabulary = postings.select("stem").distinct()
+    vocabulary = index.stem_df().select("stem")
     heads = vocabulary.select(
         "stem", F.explode(F.transform(F.sequence(F.lit(1), F.length("stem")), lambda n: F.left(F.col("stem"), n)))
         .alias("head"),
@@ -136,7 +146,7 @@ def unit_matches(index: Index, queries: DataFrame, *, with_open: bool = True, we
     single = units.filter((F.col("n_idx") == 1) & (F.col("field") == "any")).select("query_id", "unit", "stem")
     if with_open:
         single = single.unionByName(
-            open_stems(index.postings, units).select("query_id", F.lit(OPEN_UNIT).alias("unit"), "stem")
+            open_stems(index, units).select("query_id", F.lit(OPEN_UNIT).alias("unit"), "stem")
         )
     slim = index.postings.select("post_id", "day", "doc_len", "stem", "tf_title", "tf_author")
     one = (
@@ -147,7 +157,11 @@ def unit_matches(index: Index, queries: DataFrame, *, with_open: bool = True, we
     # words that must stand next to each other: phrases, and the author filter inside the author column
     many = units.filter((F.col("n_idx") > 1) | (F.col("field") == "author")).select(
         "query_id", "unit", "idx", "n_idx", "stem", "field")
-    placed = index.postings.join(many, "stem").groupBy("query_id", "post_id", "unit", "day", "doc_len", "n_idx", "field").agg(
+    # a post must hold the rarest of them; only such posts are asked for the others
+    rarest = many.join(index.stem_df(), "stem").groupBy("query_id", "unit").agg(F.min_by("stem", F.struct("df", "idx")).alias("stem"))
+    posts = slim.select("post_id", "stem").join(rarest, "stem").select("query_id", "unit", "post_id").distinct()
+    asked = posts.join(many, ["query_id", "unit"])
+    placed = index.postings.join(asked, ["post_id", "stem"]).groupBy("query_id", "post_id", "unit", "day", "doc_len", "n_idx", "field").agg(
         F.collect_list(F.struct("idx", F.col("title_pos").alias("t"), F.col("author_pos").alias("a"))).alias("parts"),
         F.count_distinct("idx").alias("found"),
     ).filter(F.col("found") == F.col("n_idx"))
@@ -293,9 +307,9 @@ def near_prefixes(word: Column) -> Column:
     )
 
 
-def token_levels(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def token_levels(index: Index, terms: DataFrame) -> DataFrame:
     """(term, token, level) for the tokens of the index that match a query term; equality joins on the vocabulary."""
-    vocabulary = postings.select("token", "stem").distinct()
+    vocabulary = index.vocabulary()
     t = terms.select("term").distinct().withColumn("stem", text.stem("term"))
     same_stem = vocabulary.join(t, "stem").select("term", "token")
     longer = vocabulary.select("token", F.explode(near_prefixes(F.col("token"))).alias("term")).join(t, "term").select("term", "token")
@@ -309,7 +323,7 @@ def term_hits(index: Index, queries: DataFrame, candidates: DataFrame) -> DataFr
     terms = queries.select(
         "query_id", F.explode(F.array_distinct(F.concat("terms", F.flatten("phrases"), "soft"))).alias("term")
     )
-    wanted = terms.join(token_levels(index.postings, terms), "term")
+    wanted = terms.join(token_levels(index, terms), "term")
     pairs = candidates.select("query_id", "post_id")
     found = index.postings.select("post_id", "token", "title_pos", "author_pos").join(wanted, "token").join(
         pairs, ["query_id", "post_id"])
