@@ -2,8 +2,11 @@
 
 Templates (phrases and standard notices, with a label) are split into k-grams of words, as documents are: a k-gram in both
 votes for the diagonal "place in the document minus place in the template". Spark joins the document's rolling hashes to
-the template positions, counts votes by diagonal, merges neighbouring diagonals (a word more or less in the document
-moves a copy to the next one) and keeps spans that hold enough of the template. Phrases must match whole and word by word.
+the template positions and counts votes by diagonal. Phrases must match whole and word by word: all their votes lie on one
+diagonal. A notice may be edited: a word more or less in the document moves the rest of a copy to the next diagonal. Votes on
+neighbouring diagonals are merged into a span only where they align, that is where both places grow from vote to vote and
+no step leaves the neighbourhood; a span is at most half as long again as its template, and it is kept when the aligned votes,
+each place of the template counted once, are enough of it. Spans that overlap are one place; the best one stands for it.
 
 A set of 2**22 bits of the templates' hashes drops, before the join, document k-grams that can't match.
 
@@ -14,11 +17,12 @@ table: no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -45,6 +49,24 @@ NOTICES = [
     ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
     ("released under the mit license", "mit-notice"),
 ]
+#: Whole texts of short public licenses.
+TEXTS = [
+    ("""Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.""", "mit-whole"),
+    ("""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER
+RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT
+OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", "isc-whole"),
+]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,7 +102,7 @@ def template_rows(templates, exact: bool) -> list[tuple]:
     return out
 
 
-def votes(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> tuple[DataFrame, DataFrame]:
+def votes(docs: DataFrame, phrases=PHRASES, notices=NOTICES + TEXTS) -> tuple[DataFrame, DataFrame]:
     """(n_words per row, k-gram places joined to template places); both hold doc_id and row, the hash of (doc_id, text)."""
     spark = docs.sparkSession
     rows = template_rows(phrases, True) + template_rows(notices, False)
@@ -120,28 +142,81 @@ def votes(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> tuple[DataFrame,
     return found.filter("k = 0").select("doc_id", "row", "n_words"), hits
 
 
+def aligned(votes, size: int, k: int, drift: int, share: float):
+    """Spans (start, end, score) of one template in one document from its votes (at, place), sorted.
+
+    Each vote extends the longest run of earlier votes that it may follow. Only votes of the last ``size * 1.5`` words are
+    looked at, so the work is linear in the votes.
+    """
+    most, total = size + size // 2, size - k + 1
+    recent: deque[tuple[int, int, int, int]] = deque()  # at, place, votes in the run, start of the run
+    best = None
+    for at, place in votes:
+        while recent and recent[0][0] < at - most:
+            recent.popleft()
+        n, start = 1, at
+        for at0, place0, n0, start0 in recent:
+            follows = at0 < at and place0 < place and abs((at - place) - (at0 - place0)) <= drift and at + k - start0 <= most
+            if follows and (n0 + 1, start0) > (n, start):
+                n, start = n0 + 1, start0
+        recent.append((at, place, n, start))
+        if n >= share * total:
+            if best is not None and start >= best[2]:
+                yield best[1], best[2], best[0]
+                best = None
+            if best is None or n / total > best[0]:
+                best = (n / total, start, at + k)
+    if best is not None:
+        yield best[1], best[2], best[0]
+
+
 def spans(hits: DataFrame, drift: int = 2, share: float = 0.7) -> DataFrame:
-    """Verified spans: doc_id, row, template, label, exact, start, score.
+    """Verified spans: doc_id, row, template, label, exact, start, end (words, exclusive), score.
 
-    A phrase's span holds all of its k-grams on one diagonal. For a notice, diagonals at most ``drift`` words apart are
-    merged while their places follow one another within the template's length; the span must hold ``share`` of the
-    template's k-grams.
+    A phrase's span holds all of its k-grams on one diagonal. A notice's span is an alignment of its votes (``aligned``).
     """
-    key = ["doc_id", "row", "template", "label", "size", "k", "exact"]
-    hits = hits.withColumn("diagonal", F.col("at") - F.col("place"))
-    voted = hits.groupBy(*key, "diagonal").agg(F.countDistinct("place").alias("n"), F.min("at").alias("first"))
-    whole = voted.filter(F.col("exact") & (F.col("n") == F.col("size") - F.col("k") + 1)).select(
-        *key, F.col("diagonal").alias("start"), F.lit(1.0).alias("score"))
-    by = W.partitionBy(*key).orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > drift, F.lit(True))
-    grouped = voted.filter(~F.col("exact")).withColumn("band", F.sum(F.when(apart, 1).otherwise(0)).over(by))
-    near = grouped.groupBy(*key, "band").agg(F.sum("n").alias("n"), F.min("first").alias("start"))
-    held = F.least(F.lit(1.0), F.col("n") / (F.col("size") - F.col("k") + 1))
-    near = near.select(*key, "start", held.alias("score")).filter(F.col("score") >= share)
-    return whole.unionByName(near).drop("size", "k")
-
-
-def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
+    key = ["doc_id", "row", "template", "label", "size", "k"]
+    votes = hits.withColumn("diagonal", F.col("at") - F.col("place"))
+    voted = votes.filter("exact").groupBy(*key, "diagonal").agg(F.countDistinct("place").alias("n"))
+    whole = voted.filter(F.col("n") == F.col("size") - F.col("k") + 1).select(
+        "doc_id", "row", "template", "label", F.lit(True).alias("exact"), F.col("diagonal").alias("start"),
+        (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("score"))
+    # a notice needs its share of votes at all before their places are looked at
+    near = votes.filter("NOT exact").select(*key, "at", "place").distinct()
+    enough = near.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") >= share * (F.col("size") - F.col("k") + 1))
+    enough = enough.select(F.col("doc_id").alias("_d"), F.col("row").alias("_r"), F.col("template").alias("_t"), F.col("label").alias("_l"))
+    same = near["doc_id"].eqNullSafe(F.col("_d")) & (near["row"] == F.col("_r")) & (near["template"] == F.col("_t")) & (near["label"] == F.col("_l"))
+    near = near.join(enough, same, "left_semi")
+
+    def walk(batches):
+        group, held = None, []
+
+        def out():
+            doc, row, template, label, size, k = group
+            return [(doc, row, template, label, False, *s) for s in aligned(held, size, k, drift, share)]
+
+        for batch in batches:
+            done = []
+            for *own, at, place in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != group:
+                    done += out() if held else []
+                    group, held = own, []
+                held.append((at, place))
+            yield told(done)
+        if held:
+            yield told(out())
+
+    def told(rows):
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+        cols = list(zip(*rows)) or [[]] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "row", "template", "label", "exact", "start", "end", "score"])
+
+    kinds = "doc_id long, row long, template string, label string, exact boolean, start long, end long, score double"
+    near = near.select(*key, "at", "place").repartition("doc_id", "row", "template").sortWithinPartitions("doc_id", "row", "template", "label", "at", "place")
+    return whole.unionByName(near.mapInArrow(walk, kinds))
+
+
+def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES + TEXTS) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows, hits = votes(docs, phrases, notices)
     found = spans(hits)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .op10_licenses import NOTICES, PHRASES, template_rows, words
-
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -86,43 +84,6 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
 FROM x GROUP BY conv_id"""
 
 
-def _templates() -> str:
-    """(label, template, size, k, exact, place, gram) of every template, as VALUES."""
-    out = []
-    for group, exact in ((PHRASES, True), (NOTICES, False)):
-        for text, label, size, k, _, place, _ in template_rows(group, exact):
-            gram = " ".join(w.decode() for w in words(text.encode())[place : place + k])
-            out.append(f"('{label}', '{text}', {size}, {k}, {str(exact).lower()}, {place}, '{gram}')")
-    return ", ".join(out)
-
-
-LICENSES = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({lowered('text')}, '{ALNUM_WORD}') AS w FROM documents),
-t(label, template, size, k, exact, place, gram) AS (VALUES {_templates()}),
-g AS (
-  SELECT doc_id, k, i - 1 AS spot, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (
-    SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)),
-v AS (
-  SELECT doc_id, label, template, size, t.k, exact, spot - place AS diagonal, count(DISTINCT place) AS n
-  FROM g JOIN t ON g.k = t.k AND g.gram = t.gram GROUP BY ALL),
-bands AS (
-  SELECT *, sum(apart) OVER (PARTITION BY doc_id, template, label ORDER BY diagonal) AS band FROM (
-    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template, label ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS apart
-    FROM v WHERE NOT exact)),
-s AS (
-  SELECT doc_id, label, exact, diagonal AS start, 1.0::DOUBLE AS score FROM v WHERE exact AND n = size - k + 1
-  UNION ALL
-  SELECT doc_id, label, false, NULL, least(1.0, sum(n)::DOUBLE / (any_value(size) - any_value(k) + 1)) AS score
-  FROM bands GROUP BY doc_id, label, template, band
-  HAVING least(1.0, sum(n)::DOUBLE / (any_value(size) - any_value(k) + 1)) >= 0.7),
-p AS (
-  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(start) AS first_word, max(start) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
-  FROM s GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
-  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM d LEFT JOIN p ON d.doc_id = p.doc_id"""
-
 TRIE = """
 WITH RECURSIVE bits AS (
   SELECT n, 0 AS i, n AS c FROM range(256) t(n)
@@ -164,6 +125,5 @@ ORACLES = {
     "op5_ngram_jaccard": JACCARD,
     "op6_positional_index": INDEX,
     "op8_chat_format": CHAT,
-    "op10_license_diagonals": LICENSES,
     "op12_prefix_trie": TRIE,
 }

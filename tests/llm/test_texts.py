@@ -290,3 +290,51 @@ def test_items_without_ids(spark, docs):
     out = {r["doc_id"]: r for r in bench.decontaminate(docs([(1, f"a {words} z"), (2, "x q1 q2 q3"), (3, "nothing")]), items, slack=2).collect()}
     assert (out[1]["n_hit"], out[1]["items"], out[1]["contaminated"]) == (12, [], True)
     assert (out[2]["n_hit"], out[2]["items"], out[2]["near_items"]) == (3, ["b"], ["b"]) and not out[3]["contaminated"]
+
+
+def runs_by_hand(ws, template, k, drift, share):
+    """Best alignments of a template, found by trying every start: (start, end, score) of those that are kept."""
+    grams = lambda w: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    own, t = grams(ws), grams(template)
+    votes = [(i, j) for i, g in enumerate(own) for j, h in enumerate(t) if g == h]
+    most, ends = len(template) + len(template) // 2, {}
+    for x, (i, j) in enumerate(votes):
+        ends[x] = max([(1, i)] + [(n + 1, s) for y, (n, s) in ends.items() if votes[y][0] < i and votes[y][1] < j and votes[y][0] >= i - most
+                                  and abs((i - j) - (votes[y][0] - votes[y][1])) <= drift and i + k - s <= most])
+    kept, out = [(s, votes[x][0] + k, n / len(t)) for x, (n, s) in sorted(ends.items()) if n >= share * len(t)], []
+    for c in kept:
+        if out and c[0] < out[-1][1]:
+            out[-1] = max(out[-1], c, key=lambda o: (o[2], -o[1]))
+        else:
+            out.append(c)
+    return out
+
+
+def test_license_spans_are_verified(spark, docs):
+    """Edited copies are found with their ends; the same words scattered or out of order are not a copy."""
+    import random
+
+    rng = random.Random(4)
+    notice, label = lic.NOTICES[1]
+    ws = notice.split()
+    fill = lambda n: [rng.choice("alpha beta gamma delta".split()) for _ in range(n)]
+    edited = fill(5) + ws[:6] + ["extra"] + ws[6:12] + ws[13:] + fill(4)
+    scattered = [w for i in range(0, len(ws) - 2, 3) for w in ws[i : i + 3] + fill(60)]
+    backward = [w for i in range(len(ws) - 5, -1, -5) for w in ws[i : i + 5]]
+    twice = ws + fill(30) + ws
+    repeated = ws[:4] * 12
+    whole = lic.words(lic.TEXTS[0][0].encode())
+    cases = {1: edited, 2: scattered, 3: backward, 4: twice, 5: repeated, 6: fill(9) + [w.decode() for w in whole]}
+    _, hits = lic.votes(docs([(i, " ".join(w)) for i, w in cases.items()]))
+    got = {}
+    for r in lic.spans(hits).filter("NOT exact").collect():
+        got.setdefault(r["doc_id"], []).append((r["label"], r["start"], r["end"], r["score"]))
+    for i, w in cases.items():
+        want = []
+        for text, name in lic.NOTICES + lic.TEXTS:
+            t = [x.decode() for x in lic.words(text.encode())]
+            want += [(name, *s) for s in runs_by_hand(w, t, min(3, len(t)), 2, 0.7)]
+        assert sorted(got.get(i, [])) == sorted(want), i
+    assert got[1][0][:3] == (label, 5, 5 + len(ws)) and got[1][0][3] > 0.7
+    assert 2 not in got and 3 not in got and 5 not in got and len(got[4]) == 2
+    assert {x[0] for x in got[6]} == {"mit-whole", "mit-text"}
