@@ -338,3 +338,13 @@ def test_license_spans_are_verified(spark, docs):
     assert got[1][0][:3] == (label, 5, 5 + len(ws)) and got[1][0][3] > 0.7
     assert 2 not in got and 3 not in got and 5 not in got and len(got[4]) == 2
     assert {x[0] for x in got[6]} == {"mit-whole", "mit-text"}
+
+
+def test_rules_are_ordered_by_cost(spark, docs):
+    """Of two rules that reject the same documents the cheaper one comes first, however long a job takes."""
+    d = docs([(i, " ".join(f"word{i}x{j}" for j in range(150)) + (" END" if i % 2 else "")) for i in range(60)])
+    cheap = quality.Rule("cheap", lambda c: c("n_words") == 151)
+    dear = quality.Rule("dear", lambda c: F.regexp_count(F.regexp_replace(c("text"), r"(w)(o)(r)(d)", "$4$3$2$1"), F.lit(r"(?i)[a-z]+\\s*end\\b")) + F.regexp_count(c("text"), F.lit("END$")) > 0)
+    for rules in ([dear, cheap], [cheap, dear]):
+        ordered = quality.order_rules(d, rules)
+        assert [r.name for r, _, _ in ordered] == ["cheap", "dear"] and all(abs(share - 0.5) < 1e-9 for _, share, _ in ordered)
