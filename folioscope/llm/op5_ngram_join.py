@@ -210,26 +210,37 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int, siz
     def run(batches):
         import zlib
 
-        known = common.Hashes(xxhash.xxh3_64_intdigest)
+        from pyspark import TaskContext
+
+        known, seen, last = common.Hashes(xxhash.xxh3_64_intdigest), set(), TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             crcs = np.array([zlib.crc32(b"" if x is None else str(x).encode()) for x in batch.column(0).to_pylist()], dtype=np.int64)
             texts = batch.column(1)
             for i in np.flatnonzero(common.has_bit(bits, crcs) | np.asarray(batch.column(0).is_null())).tolist():
                 own = shingles(known, texts[i].as_py(), size)
-                if len(own):
-                    out.append((batch.column(0)[i].as_py(), node_of(own), own.tobytes()))
+                node = node_of(own) if len(own) else None
+                if node is None or node in seen:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(node)
+                last += 1
+                out.append((node, last, own.tobytes()))
                 if len(out) == 200:
                     yield _sets(out)
                     out = []
             if out:
                 yield _sets(out)
 
-    made = common.doc_rows(docs).mapInArrow(run, "rep long, node long, own binary")
-    made = made.join(wanted, (made["node"] == wanted["node"]) & made["rep"].eqNullSafe(wanted["rep"]), "left_semi").dropDuplicates(["node"])
-    sets = common.staged(made.select("node", "own"), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b")
+    # one of a node's sets is used, by its number: sets are dealt once for both sides, and a crowd around one node can be split
+    sets = common.staged(common.doc_rows(docs).mapInArrow(run, "node long, nr long, own binary"), "sets")
+    used = sets.groupBy("node").agg(F.min("nr").alias("nr"))
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(used.select(F.col("node").alias(side), F.col("nr").alias(f"nr_{side}")), side)
+    for side in ("a", "b"):
+        both = both.join(sets.select(F.col("node").alias(side), F.col("nr").alias(f"nr_{side}"), F.col("own").alias(f"own_{side}")), [side, f"nr_{side}"])
+    both = both.select("a", "b", "own_a", "own_b")
 
     def test(batches):
         for batch in batches:
@@ -247,7 +258,7 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, percent: int, siz
 
 def _sets(out) -> pa.RecordBatch:
     a, b, c = zip(*out)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["rep", "node", "own"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["node", "nr", "own"])
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 from .tokens import encoder
 
 SIZE = 4096
@@ -128,6 +128,7 @@ def pack(rows: DataFrame, size: int = SIZE, part_rows: int = PART_ROWS) -> DataF
     numbered = numbered.select(*rows.columns, (F.col("_base") + F.col("_nth")).cast("long").alias("_number"))
 
     def place(batches):
+        tokens.release()
         for batch in batches:
             length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
             number = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 from .tokens import dtype_for, encoder
 
 SHARD_BYTES = 24 << 20  # of text
@@ -82,6 +82,7 @@ def read(manifest: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     kind = dtype_for(tokenizer)
 
     def load(batches):
+        tokens.release()
         system, path, mapped = _files(folder)
 
         def array(name, dtype):
