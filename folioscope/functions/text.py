@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -70,16 +69,15 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _by_first(table: dict[str, str]) -> Column:
-    """A constant map of maps, by first character: two short lookups instead of a long one."""
-    nested: dict[str, dict[str, str]] = {}
-    for key, value in table.items():
-        nested.setdefault(key[0], {})[key] = value
-    return F.from_json(F.lit(json.dumps(nested)), "map<string,map<string,string>>")
+def _table(pairs: dict[str, str]) -> Column:
+    """A constant table as one string, which the planner copies and compares cheaply however often it is named."""
+    return F.lit("\x01" + "".join(f"{key}\x02{value}\x01" for key, value in pairs.items()))
 
 
-def _entity(names: Column, key: Column) -> Column:
-    return F.try_element_at(F.try_element_at(names, F.left(key, F.lit(1))), key)
+def _found(table: Column, key: Column) -> Column:
+    """The value of a key in ``_table``, else null."""
+    at = F.position(F.concat(F.lit("\x01"), key, F.lit("\x02")), table)
+    return F.when(at > 0, F.substring_index(F.substring(table, at + F.length(key) + 2, F.lit(24)), "\x01", 1))
 
 
 def _point(number: Column) -> Column:
@@ -95,7 +93,7 @@ def _replaced(text: Column, pattern: str, body) -> Column:
 
 def fold(c) -> Column:
     """Lower case without accents, for any script: compatibility decomposition, marks dropped."""
-    table = _by_first(FOLD_LONG)
+    table = _table(FOLD_LONG)
 
     def jamo(n, first, size, each):
         return _point(first + F.floor(n % size / each).cast("int"))
@@ -104,7 +102,7 @@ def fold(c) -> Column:
         n = F.ascii(ch) - HANGUL[0]
         tail = F.when(n % 28 > 0, _point(0x11A7 + n % 28)).otherwise(F.lit(""))
         syllable = F.concat(_point(0x1100 + F.floor(n / 588).cast("int")), jamo(n, 0x1161, 588, 28), tail)
-        return F.when(n.between(0, len(HANGUL) - 1), syllable).otherwise(F.coalesce(_entity(table, ch), ch))
+        return F.when(n.between(0, len(HANGUL) - 1), syllable).otherwise(F.coalesce(_found(table, ch), ch))
 
     def rest(t):
         return F.when(t.rlike(LONG_NEAR), _replaced(t, LONG_PATTERN, one)).otherwise(t)
@@ -232,6 +230,14 @@ def _character(number: Column) -> Column:
     return F.when(number.between(0x80, 0x9F), windows).when(gone & ~none, F.lit("")).otherwise(points)
 
 
+def named_once(df: DataFrame, keep: list[str], **values: Column) -> DataFrame:
+    """``df`` with columns that later filters and columns refer to without being put in their place again and again.
+
+    Decoding is a long expression; the optimizer would write it out wherever its column is named.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def unescape(c) -> Column:
     """One round of decoding: every numeric reference and every name of the HTML standard.
 
@@ -239,7 +245,7 @@ def unescape(c) -> Column:
     """
     from html.entities import html5
 
-    names = _by_first(html5)
+    names = _table(html5)
     longest = max(len(n) for n in html5 if not n.endswith(";"))
 
     def decoded(mark):
@@ -249,9 +255,9 @@ def unescape(c) -> Column:
         number = F.when(digits == "", F.lit(0)).when(many, F.lit(0x110000)).when(body.rlike("^[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
         name = F.substring(mark, 2, 40)
         sizes = F.filter(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda n: n < F.length(name))
-        part = F.get(F.filter(sizes, lambda n: _entity(names, F.left(name, n)).isNotNull()), F.lit(0))
-        begun = F.concat(_entity(names, F.left(name, part)), F.substring(name, part + 1, F.lit(40)))
-        return F.when(mark.startswith("&#"), _character(number)).otherwise(F.coalesce(_entity(names, name), begun, mark))
+        part = F.get(F.filter(sizes, lambda n: _found(names, F.left(name, n)).isNotNull()), F.lit(0))
+        begun = F.concat(_found(names, F.left(name, part)), F.substring(name, part + 1, F.lit(40)))
+        return F.when(mark.startswith("&#"), _character(number)).otherwise(F.coalesce(_found(names, name), begun, mark))
 
     def round_(t):
         return F.when(t.contains("&"), _replaced(t, REFERENCE, decoded)).otherwise(t)
@@ -261,9 +267,8 @@ def unescape(c) -> Column:
 
 def clean(c) -> Column:
     """Decoded (three rounds at most) and squeezed text."""
-    text = F.coalesce(_c(c), F.lit(""))
-    for _ in range(3):
-        text = unescape(text)
+    rounds = F.array(*[F.lit(n) for n in range(3)])  # the long expression is written once
+    text = F.aggregate(rounds, F.coalesce(_c(c), F.lit("")), lambda t, _: unescape(t))
     return F.trim(F.regexp_replace(text, r"[\s\x1C-\x1F\x85\p{Z}]+", " "))
 
 

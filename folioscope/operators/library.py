@@ -367,7 +367,7 @@ def library_search(queries: DataFrame, articles: DataFrame, *, limit: int = 20)
         2.5 * F.col("n_any") / F.col("n") + 1.2 * F.col("n_title") / F.col("n") + 0.6 * ordered
         + 0.5 * F.col("title_phrases") + 0.3 * F.coalesce(F.col("fetched"), F.lit(False)).cast("int")
     )
-    scored = plain_rows.unionByName(with_phrases).select("query_id", "id", "added", F.round(score, 4).alias("score"))
+    scored = plain_rows.unionByName(with_phrases).select("query_id", "id", "added", F.round(F.round(score, 9), 4).alias("score"))
     scored = stage(scored, "library-hits")
     totals = scored.groupBy("query_id").agg(F.count("*").alias("total"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("added"), F.asc("id"))

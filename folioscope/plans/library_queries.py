@@ -288,9 +288,9 @@ k AS (SELECT *, [x for x in words if contains(t, x)] AS tw, [x for x in words if
         [p for p in phrases if contains(t, p)] AS tp FROM m
       WHERE len([x for x in minus if contains(t, x) OR contains(r, x)]) = 0
         AND len([p for p in phrases if NOT contains(t, p) AND NOT contains(r, p)]) = 0),
-s AS (SELECT query_id, id, added, round(2.5 * len(aw) / len(words) + 1.2 * len(tw) / len(words)
+s AS (SELECT query_id, id, added, round(round(2.5 * len(aw) / len(words) + 1.2 * len(tw) / len(words)
         + 0.6 * CASE WHEN len(o) > 1 THEN len(o) / (list_max(o) - list_min(o) + 1.0) ELSE 0 END
-        + 0.5 * len(tp) + 0.3 * CAST(fetched AS INTEGER), 4) AS score FROM k WHERE len(aw) > 0)
+        + 0.5 * len(tp) + 0.3 * CAST(fetched AS INTEGER), 9), 4) AS score FROM k WHERE len(aw) > 0)
 SELECT query_id, rank, id, score, total FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, added DESC, id) AS rank,
          count(*) OVER (PARTITION BY query_id) AS total FROM s) WHERE rank <= 20"""

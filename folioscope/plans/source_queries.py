@@ -94,20 +94,27 @@ def _(spark, d):
 
 
 def news_feeds(spark, d):
+    """Landed feeds of many items: the documents of one language, five hundred numbers at a time, in order."""
     n = b.news_items(spark, d)
     item = F.concat(
-        F.lit("<rss><channel><item><title>"), escaped(F.concat_ws(" - ", "title", "publisher")), F.lit("</title><link>"), "url", F.lit("</link><source url='x'>"),
-        "publisher", F.lit("</source><pubDate>"), F.date_format("published", "dd MMM yyyy HH:mm"), F.lit(" +0000</pubDate></item></channel></rss>"))
-    return n.select("edition", "category", "query", item.alias("text"), "item_id")
+        F.lit("<item><title>"), escaped(F.concat_ws(" - ", "title", "publisher")), F.lit("</title><link>"), "url", F.lit("</link><source url='x'>"),
+        "publisher", F.lit("</source><pubDate>"), F.date_format("published", "dd MMM yyyy HH:mm"), F.lit(" +0000</pubDate></item>"))
+    part = F.floor(F.col("item_id") / 500)
+    lists = n.groupBy("edition", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("item_id", item.alias("item")))).alias("items"))
+    text = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("items", lambda x: x["item"]), "\n"), F.lit("</channel></rss>"))
+    return lists.select("edition", F.concat(F.lit("g"), (F.col("part") % 5).cast("string")).alias("category"), F.concat_ws(" ", "edition", F.lit("the und")).alias("query"), text.alias("text"))
 
 
 @query("news_feed_parse", q.with_(q.NEWS) + f"""
-SELECT edition, url, trim(title) AS title, publisher, published, category, round(4 * exp(-((epoch_us({q.AS_OF}) - epoch_us(published)) / 3600e6) / 36)
-   + 2 * len(list_intersect({q.headline_words('title')}, {q.headline_words('query')})) / greatest(1, len({q.headline_words('query')})) + 1, 4) AS score FROM news
+SELECT edition, url, trim(title) AS title, publisher, published, 'g' || CAST(item_id // 500 % 5 AS VARCHAR) AS category, position,
+  round(4 * exp(-((epoch_us({q.AS_OF}) - epoch_us(published)) / 3600e6) / 36)
+   + 2 * len(list_intersect({q.headline_words('title')}, {q.headline_words("edition || ' the und'")})) / greatest(1, len({q.headline_words("edition || ' the und'")}))
+   + 1 / (1 + position / 5.0), 4) AS score
+FROM (SELECT * REPLACE (row_number() OVER (PARTITION BY edition, item_id // 500 ORDER BY item_id) - 1 AS position) FROM news)
 WHERE published BETWEEN {q.AS_OF} - INTERVAL 3 DAY AND {q.AS_OF} AND trim(title) <> ''""")
 def _(spark, d):
-    rows = feeds.news_feed_items(news_feeds(spark, d), "2024-01-28 00:00:00", b.AS_OF)
-    return rows.select("edition", "url", "title", "publisher", "published", "category", F.round("score", 4).alias("score"))
+    rows = feeds.news_feed_items(news_feeds(spark, d), "2024-01-28 00:00:00", b.AS_OF, first=None, title_length=None)
+    return rows.select("edition", "url", "title", "publisher", "published", "category", F.col("position").cast("bigint").alias("position"), F.round("score", 4).alias("score"))
 
 
 FEED = q.with_(q.ARTICLES) + f""",

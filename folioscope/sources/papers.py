@@ -35,10 +35,9 @@ def paper_records(works: DataFrame) -> DataFrame:
         return text.clean(c)
 
     published = F.coalesce(*[_date(c) for c in ("issued", "published", "published-print", "published-online")])
-    # names are decoded with the common entities; the whole record may opt in to the full table
     people = F.filter(
-        F.transform(F.col("author"), lambda p: F.when(F.coalesce(p["name"], F.lit("")) != "", text.clean(p["name"])).otherwise(
-            text.clean(F.concat_ws(" ", F.nullif(p["given"], F.lit("")), F.nullif(p["family"], F.lit("")))))),
+        F.transform(F.col("author"), lambda p: clean(F.when(F.coalesce(p["name"], F.lit("")) != "", p["name"]).otherwise(
+            F.concat_ws(" ", F.nullif(p["given"], F.lit("")), F.nullif(p["family"], F.lit("")))))),
         lambda n: n != "",
     )
     none = F.array().cast("array<string>")
@@ -46,7 +45,7 @@ def paper_records(works: DataFrame) -> DataFrame:
     doi = F.lower("DOI")
     return works.filter(F.coalesce("DOI", F.lit("")) != "").select(
         urls.paper_id("DOI").alias("id"), F.col("DOI").alias("doi"),
-        F.when(title == "", F.lit("Untitled")).otherwise(title).alias("title"), F.coalesce(people, none).alias("authors"),
+        F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled")).alias("title"), F.coalesce(people, none).alias("authors"),
         clean(text.strip_tags(F.coalesce("abstract", F.lit("")))).alias("abstract"),
         clean(F.coalesce(F.get("container-title", F.lit(0)), F.lit(""))).alias("venue"), clean(F.coalesce("publisher", F.lit(""))).alias("publisher"),
         F.replace(F.coalesce("type", F.lit("")), F.lit("-"), F.lit(" ")).alias("type"),
