@@ -76,6 +76,14 @@ def encoder(path: str) -> Encoder:
 
 
 def release() -> None:
-    """Give back the words that this worker remembers; tasks of other operators call it when they begin."""
+    """Give back the words that this worker remembers, and freed memory to the system; tasks of other operators call it when
+    they begin, as a worker outlives its tasks."""
+    import ctypes
+    import gc
+
     for known in _ENCODERS.values():
         known.known, known.old = {}, {}
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
+    if trim is not None:
+        trim(0)
