@@ -133,12 +133,14 @@ def _(spark, d):
 BROAD = """broad AS (SELECT topic, tag FROM (SELECT topic, tag, row_number() OVER (PARTITION BY topic ORDER BY n DESC, tag) AS r
   FROM (SELECT topic, tag, count(*) AS n FROM (SELECT topic, unnest(tags) AS tag FROM articles) GROUP BY ALL)) WHERE r <= 3)"""
 HOME = BROAD + r""",
-fit AS (
+fit AS MATERIALIZED (
   SELECT a.url, t.topic, t.subtopic, t.ord FROM (SELECT url, unnest(tags) AS tag FROM articles) a
   JOIN (SELECT topic, subtopic, ord, unnest(tags) AS tag FROM tree) t USING (tag)
   UNION ALL
-  SELECT a.url, t.topic, t.subtopic, t.ord FROM (SELECT DISTINCT url, title, topic FROM (SELECT url, title, unnest(tags) AS tag FROM articles) JOIN broad USING (tag)) a
-  JOIN (SELECT topic, subtopic, ord, unnest(tags) AS phrase FROM tree) t ON t.topic = a.topic AND regexp_matches(lower(a.title), '(^|[^\p{L}\p{N}_])' || t.phrase || '([^\p{L}\p{N}_]|$)')),
+  SELECT a.url, t.topic, t.subtopic, t.ord FROM (
+    SELECT DISTINCT url, topic, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) AS phrase
+    FROM (SELECT url, title, b.topic FROM (SELECT url, title, unnest(tags) AS tag FROM articles) JOIN broad b USING (tag))) a
+  JOIN (SELECT topic, subtopic, ord, unnest(tags) AS phrase FROM tree) t ON t.topic = a.topic AND t.phrase = a.phrase),
 home AS (SELECT url, topic, subtopic FROM fit QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1)"""
 
 
@@ -255,6 +257,10 @@ scored AS (SELECT s.reader, s.url, p.title, cached, ht, coalesce(s.l / (nl.n * l
 final AS (SELECT *, round(label_sim + 0.7 * word_sim + 0.25 * author_share + base - 0.8 * dislike, 4) AS score FROM scored)"""
 
 
+#: The same without the lists of shared labels, for statements that don't ask for them.
+SCORES = PAIRS.replace("list(shared ORDER BY round(v, 6) DESC, shared) FILTER (shared IS NOT NULL) AS shared", "CAST(NULL AS VARCHAR[]) AS shared")
+
+
 def known(spark, d):
     engaged, dis = parts(spark, d)
     return engaged.select("reader", "url").union(dis.select("reader", "url")).distinct()
@@ -273,12 +279,12 @@ def scored(spark, d, *, fresh: bool = False):
     return _SCORED[key]
 
 
-@query("label_overlap_join", PAIRS + "SELECT reader, url, round(label_sim, 4) AS label_sim FROM scored WHERE label_sim > 0")
+@query("label_overlap_join", SCORES + "SELECT reader, url, round(label_sim, 4) AS label_sim FROM scored WHERE label_sim > 0")
 def _(spark, d):
     return scored(spark, d).filter("label_sim > 0").select("reader", "url", F.round("label_sim", 4).alias("label_sim"))
 
 
-@query("score_candidates", PAIRS + """SELECT reader, url, cached, round(word_sim, 4) AS word_sim, round(author_share, 4) AS author_share,
+@query("score_candidates", SCORES + """SELECT reader, url, cached, round(word_sim, 4) AS word_sim, round(author_share, 4) AS author_share,
 round(dislike, 4) AS dislike, score FROM final""")
 def _(spark, d):
     return scored(spark, d, fresh=True).select(
@@ -310,7 +316,7 @@ def _(spark, d):
 
 
 #: The sixty best of each reader, the length of a page.
-PICKED = PAIRS + ", pick AS MATERIALIZED (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY reader ORDER BY score DESC, url) <= 60)"
+PICKED = SCORES + ", pick AS MATERIALIZED (SELECT * FROM final QUALIFY row_number() OVER (PARTITION BY reader ORDER BY score DESC, url) <= 60)"
 
 
 @query("best_picks", PICKED + " SELECT reader, url, score FROM pick")
