@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, urls
+from ..session import stage
 from .library import first_per_key
 from .ranking import fair_share, full_rank
 from .topics import ngrams, phrase_lengths
@@ -47,8 +48,9 @@ def build_rules(tree: DataFrame, related: DataFrame | None = None, expanded: Dat
 def match_titles(posts: DataFrame, rules: DataFrame) -> DataFrame:
     """(post_id, tier, topic, subtopic) of titles with at least four words: best tier, then longest phrase, then rank.
 
-    Titles become word runs and meet the rules by equality; only matches are grouped, by post.
+    Titles become word runs and meet the rules by equality, where they are; only matches are grouped, by post.
     """
+    rules = stage(rules, "rules")
     lengths = phrase_lengths(rules, F.split("phrase", " "))
     titled = posts.filter(F.size(F.split(F.trim("title"), r"\s+")) >= 4)
     grams = titled.select("post_id", F.explode(ngrams(_tokens(F.col("title")), lengths)).alias("phrase"))

@@ -88,10 +88,11 @@ def classified(spark, d):
  (SELECT DISTINCT post_id, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT post_id, w, n, unnest(range(1, len(w) + 2 - n)) AS i FROM
     (SELECT post_id, regexp_extract_all(lower(title), '[a-z0-9]+') AS w, unnest((SELECT list(DISTINCT n) FROM rules)) AS n FROM lk))) l JOIN rules r USING (phrase)""")
 def _(spark, d):
-    lengths = classify.phrase_lengths(rules(spark, d), F.split("phrase", " "))
+    found = stage(rules(spark, d), "rules")
+    lengths = classify.phrase_lengths(found, F.split("phrase", " "))
     grams = links(spark, d).select(
         "post_id", F.explode(classify.ngrams(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0)), lengths)).alias("phrase"))
-    return grams.join(rules(spark, d), "phrase").select("post_id", "tier", "phrase", F.col("rank").cast("bigint").alias("rank"))
+    return grams.join(found, "phrase").select("post_id", "tier", "phrase", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("classify_titles", RULES + POSTS + "SELECT post_id, level, topic, subtopic FROM cl")
@@ -108,7 +109,7 @@ filled AS (SELECT post_id, level, topic, subtopic, prio, day, url, title, id FRO
 
 
 def filled(spark, d):
-    rows = classified(spark, d)
+    rows = stage(classified(spark, d), "classified")
     n = rows.agg(F.count("topic"), F.count_if(F.col("topic").isNull())).first()
     return classify.catch_all_fill(rows, n[0] + n[1] // 2)
 
