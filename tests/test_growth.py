@@ -47,3 +47,44 @@ def test_runs_of_a_long_title_take_time_by_their_number(spark):
     assert time.time() - began < 20
     short = spark.createDataFrame([("a b c",), ("a",), ("",)], "title string").select(topics.ngrams(text.words("title"), [1, 2]).alias("g"))
     assert [r.g for r in short.collect()] == [["a", "b", "c", "a b", "b c"], ["a"], []]
+
+
+def test_posts_of_a_stem_are_counted_without_moving_them(spark):
+    rows = [(1, "run runs running", "runs"), (2, "running", "x"), (4, "run", "x"), (4, "runs far", "x"), (None, "run lone", "y"), (5, "", None)]
+    df = search.term_stats(search.build_index(posts(spark, rows)).postings)
+    assert {r.stem: r.df for r in df.collect()} == {"run": 3, "x": 2, "far": 1, "lone": 0, "y": 0}
+    stored = search.Index(*(search.stage(t) for t in (lambda i: (i.postings, i.docs))(search.build_index(posts(spark, rows)))))
+    plan = search.term_stats(stored.postings)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(stem" in plan and "post_id" not in plan
+
+
+def test_stems_within_arrays_are_the_same(spark):
+    words = ["", "a", "run", "running", "stopped", "falling", "parties", "tried", "class", "bus", "this", "cats", "making", "nations", "größe"]
+    df = spark.createDataFrame([(words,)], "w array<string>")
+    got = df.select(F.transform("w", text.stem_within).alias("a"), F.transform("w", text.stem).alias("b")).first()
+    assert got.a == got.b
+
+
+def test_matches_are_dealt_by_the_number_of_posts(spark, monkeypatch):
+    monkeypatch.setattr(search, "POSTS_PER_TASK", 5)
+    index = search.build_index(posts(spark, [(i, f"red fox number {i}", "ann") for i in range(40)])).staged()
+    queries = spark.createDataFrame(
+        [(1, ["red"], [], [["red", "fox"]], [], None, None, None)],
+        "query_id long, terms array<string>, soft array<string>, phrases array<array<string>>, exclude array<string>, author string, since date, before date")
+    rows = search.match_modes(index, queries)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.split("\n") if "hashpartitioning(post_id" in line and "REPARTITION" in line]
+    assert len(dealt) >= 3 and all(", 8)" in line for line in dealt) and "hashpartitioning(query_id" not in plan
+    assert rows.count() == 40
+
+
+def test_signatures_are_made_before_titles_travel(spark):
+    index = search.build_index(posts(spark, [(1, "red fox", "a"), (2, " The ", "b"), (3, "the", "c"), (4, "foxes red", "d")])).staged()
+    shown = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "post_id long")
+    signed = search.headline_signatures(index, shown)
+    got = {r.post_id: r.sig for r in signed.collect()}
+    assert got[1] == got[4] and got[2] == got[3] and got[1] != got[2]
+    plan = signed._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = [i for i, line in enumerate(plan) if "md5" in line and "title" in line]
+    below = next(line for line in plan[made[0] + 1:] if "Join" in line or "Relation" in line)
+    assert "Relation" in below
