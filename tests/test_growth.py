@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
-from folioscope.operators import search, topics
+from folioscope.operators import search, taste, topics
 
 
 
@@ -88,3 +88,17 @@ def test_signatures_are_made_before_titles_travel(spark):
     made = [i for i, line in enumerate(plan) if "md5" in line and "title" in line]
     below = next(line for line in plan[made[0] + 1:] if "Join" in line or "Relation" in line)
     assert "Relation" in below
+
+
+def test_examples_find_an_article_before_its_title(spark):
+    cols = "reader long, doc_id long, title string, author string, topic string, subtopic string, tags array<string>, weight double"
+    engaged = spark.createDataFrame([
+        (1, 7, "First title", "a", "t", "s", ["fox"], 1.0), (1, 3, "Second title", "a", "t", "s", ["fox", "owl"], 1.0),
+        (1, 9, "Third title", "a", "t", "s", ["owl"], 2.0), (2, 7, "First title", "a", "t", "s", ["fox"], 0.5)], cols)
+    none = spark.createDataFrame([], "reader long, url string, title string, tags array<string>")
+    tree = spark.createDataFrame([("t", "s", ["fox"])], "topic string, subtopic string, tags array<string>")
+    p = taste.profile(engaged, none, tree)
+    assert {(r.reader, r.key): r.title for r in p.examples.collect()} == {
+        (1, "fox"): "Second title", (1, "owl"): "Third title", (1, "t/s"): "Third title", (2, "fox"): "First title", (2, "t/s"): "First title"}
+    plan = p.examples._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan
