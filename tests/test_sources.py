@@ -174,3 +174,12 @@ def test_paper_search_without_limit(spark, tmp_path):
     works = spark.createDataFrame([("q", i, f"10.1/{i}") for i in range(130)], "query_id string, place long, DOI string")
     works = works.select("*", F.from_json(F.lit("{}"), papers.WORK_SCHEMA.replace("DOI string, ", "")).alias("w")).select("query_id", "place", "DOI", "w.*")
     assert [papers.paper_search(works, rows=n).count() for n in (1, 120, None)] == [1, 120, 130]
+
+
+def test_tokens_of_few_pages_are_held_at_once(spark):
+    html = "<p>" + "<b>x</b> " * 20 + "</p>"
+    df = spark.createDataFrame([(i if i else None, html if i % 5 else None) for i in range(300)], "page_id long, html string").coalesce(1)
+    rows = pages.page_tokens(df)
+    got = {r.page_id: (r.n, r.least, r.most) for r in rows.groupBy("page_id").agg(F.count("*").alias("n"), F.min("n").alias("least"), F.max("n").alias("most")).collect()}
+    assert len(got) == 240 and set(got.values()) == {(82, 0, 81)}
+    assert pages.PAGES_AT_ONCE <= 64 and "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
