@@ -134,3 +134,12 @@ def test_rules_of_any_length(spark):
     tree = spark.createDataFrame([("x", "s", ["one-two-three-four-five-six-seven"])], "topic string, subtopic string, tags array<string>")
     posts = spark.createDataFrame([(1, "zero one two three four five six seven eight"), (2, "one two three four five six")], "post_id int, title string")
     assert [r.post_id for r in classify.match_titles(posts, classify.build_rules(tree)).collect()] == [1]
+
+
+def test_stems_are_compared_only_for_words_that_begin_alike(spark):
+    words = ["", "a", "an", "as", "run", "running", "runs", "rune", "stop", "stopped", "parties", "party", "tried", "try", "class", "classes", "bus", "buses", "größe", "größer"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    same = df.select((text.stem("a") == text.stem("b")).alias("s"), text.match_level("a", "b").alias("l"), (F.col("a") == F.col("b")).alias("e")).collect()
+    assert all(r.l == 2 if r.e else r.l == 1 if r.s else r.l in (0, 1) for r in same) and sum(r.s and not r.e for r in same) > 10
+    plan = df.select(text.match_level("a", "b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "(substring(a#" in plan and plan.index("(substring(a#") < plan.index("regexp_extract")
