@@ -3,8 +3,8 @@
 A first pass counts, over all documents, the terms that test items use. Each window of a test item (ten consecutive words;
 a shorter item is one window) is then looked up by its rarest term. A second pass stores positional postings (document,
 term, positions) of the test items' terms for every document that holds a rarest term next to its neighbour in the window
-(with ``slack``: as near to it as that allows). Spark joins postings and items on
-those terms; for each window the position lists, moved by their places in the window, are intersected from the rarest
+(with ``slack``: as near to it as that allows), and the two words that it found so. Spark joins documents and items on
+those two words; for each window the position lists, moved by their places in the window, are intersected from the rarest
 term on, which leaves the starts of exact matches. With ``slack`` the same lists are matched within a few words instead,
 which finds windows that were edited.
 
@@ -78,20 +78,21 @@ def _merge(held):
     return np.stack([values, np.bincount(at, weights=n, minlength=len(values)).astype(np.int64)])
 
 
-def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray, anchors: np.ndarray | None = None, slack: int = 0) -> DataFrame:
-    """Positional postings: doc_id, row, n_words and, where the document holds a driver, (term, positions).
+def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray, anchors: np.ndarray, slack: int = 0) -> DataFrame:
+    """Positional postings: doc_id, row, n_words and, where the document holds an anchor, (term, positions); anchors are
+    terms without positions.
 
-    ``anchors``: bits of drivers with a neighbour ("a b"); then a driver counts only where "b" stands one place after
-    "a", give or take ``slack`` places (a place at or before "a" included).
+    ``anchors``: bits of drivers with a neighbour ("a b"); one is found where "b" stands one place after "a", give or take
+    ``slack`` places (a place at or before "a" included). The driver of a window of one word is its anchor.
     """
-    def anchored(ws, h) -> bool:
+    def anchored(ws, h) -> list[bytes]:
         at = np.flatnonzero(common.has_bit(drivers, h)).tolist()
-        if anchors is None or not at:
-            return bool(at)
+        if not at:
+            return []
         apart = range(1 - slack, 2 + slack)
         n = len(ws)
-        pairs = {ws[a] + b" " + ws[a + d] for p in at for d in apart for a in (p, p - d) if 0 <= a < n and 0 <= a + d < n} | {ws[p] for p in at}
-        return bool(common.has_bit(anchors, np.fromiter(map(zlib.crc32, pairs), np.int64, len(pairs))).any())
+        pairs = list({ws[a] + b" " + ws[a + d] for p in at for d in apart for a in (p, p - d) if 0 <= a < n and 0 <= a + d < n} | {ws[p] for p in at})
+        return [pairs[i] for i in np.flatnonzero(common.has_bit(anchors, np.fromiter(map(zlib.crc32, pairs), np.int64, len(pairs)))).tolist()]
 
     def post(batches):
         tokens.release()
@@ -103,7 +104,10 @@ def index(docs: DataFrame, vocabulary: np.ndarray, drivers: np.ndarray, anchors:
                 ws = (texts[i].as_py() or b"").translate(common.ALNUM).split()
                 doc.append(i), n.append(len(ws)), term.append(None), places.append(None)
                 h = known.of(ws, np.int64)
-                if anchored(ws, h):
+                found = anchored(ws, h)
+                if found:
+                    for w in found:
+                        doc.append(i), n.append(None), term.append(w.decode("utf-8", "replace")), places.append(None)
                     own: dict[bytes, list[int]] = {}
                     for p in np.flatnonzero(common.has_bit(vocabulary, h)).tolist():
                         own.setdefault(ws[p], []).append(p)
@@ -137,11 +141,18 @@ def item_words(items: DataFrame, counts: DataFrame) -> DataFrame:
     return out.select("item_id", F.transform("w", lambda x: F.struct(x["n"].alias("n"), x["term"].alias("term"))).alias("words"))
 
 
+def anchor() -> Column:
+    """A window's rarest term with the term after it, or before it where it is the last ("a b"); a window of one word: that."""
+    return F.array_join(F.slice("words", F.greatest(F.least(F.col("terms")[0]["off"], F.col("size") - 2), F.lit(0)) + 1, F.lit(2)), " ")
+
+
 def matches(postings: DataFrame, ordered: DataFrame, words: DataFrame, size: int = WINDOW, slack: int | None = None) -> DataFrame:
     """doc_id, row, item_id, starts array<struct<start, size>> (exact) and near (windows found within ``slack`` words)."""
-    drivers = ordered.select("item_id", F.col("terms")[0]["term"].alias("term")).distinct()
-    posted = postings.filter("term IS NOT NULL").select("doc_id", "row", "term", "positions")
-    pairs = posted.select("doc_id", "row", "term").join(drivers, "term").select("doc_id", "row", "item_id").distinct()
+    # a window's rarest term stands next to its neighbour wherever the window does
+    wanted = ordered.select("item_id", anchor().alias("term")).distinct()
+    met = postings.filter("term IS NOT NULL AND positions IS NULL").select("doc_id", "row", "term")
+    pairs = met.join(wanted, "term").select("doc_id", "row", "item_id").distinct()
+    posted = postings.filter("positions IS NOT NULL").select("doc_id", "row", "term", "positions")
     pairs = pairs.join(words, "item_id").withColumnRenamed("doc_id", "_d").withColumnRenamed("row", "_r")
     lists = posted.distinct().groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("lists"))
     both = pairs.join(lists, pairs["_d"].eqNullSafe(lists["doc_id"]) & (pairs["_r"] == lists["row"])).drop("_d", "_r")
@@ -202,6 +213,5 @@ def prepared(docs: DataFrame, items: DataFrame, size: int = WINDOW, slack: int =
     words = common.staged(item_words(items, counts), "items")
     first = F.col("terms")[0]
     drivers = common.crc_bits(ordered.select(first["term"].alias("term")).distinct(), "term")
-    pair = F.slice("words", F.greatest(F.least(first["off"], F.col("size") - 2), F.lit(0)) + 1, F.lit(2))
-    anchors = common.crc_bits(ordered.select(F.array_join(pair, " ").alias("pair")).distinct(), "pair")
+    anchors = common.crc_bits(ordered.select(anchor().alias("pair")).distinct(), "pair")
     return ordered, words, common.staged(index(docs, vocabulary, drivers, anchors, slack), "postings")

@@ -240,6 +240,15 @@ def test_decontaminate_near(docs, spark):
     assert out[2]["near_items"] == ["1"] and out[3]["near_items"] == [] and out[4]["near_items"] == []
 
 
+def test_items_meet_documents_that_hold_an_anchor_of_theirs(docs, spark):
+    """A rarest term alone, or next to another item's word, is no reason to match an item's windows."""
+    table = spark.createDataFrame([("a", "red fox runs"), ("b", "blue owl sleeps"), ("c", "alone")], "item_id string, text string")
+    rows = docs([(1, "red fox runs and blue"), (2, "owl blue sleeps red fox runs"), (3, "alone blue fox"), (None, "blue owl sleeps"), (4, "sleeps owl red runs blue")])
+    ordered, kept, postings = bench.prepared(rows, table)
+    met = {(r["doc_id"], r["item_id"]): [x["start"] for x in r["starts"]] for r in bench.matches(postings, ordered, kept).collect()}
+    assert met == {(1, "a"): [0], (2, "a"): [3], (3, "c"): [0], (None, "b"): [0]}
+
+
 def near_by_brute_force(text, item, slack, counts, k=10):
     at = {}
     for i, w in enumerate(words(text)):
