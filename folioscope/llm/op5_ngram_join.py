@@ -10,7 +10,9 @@ digest of the set); classes are the nodes of the join.
    point allow the needed overlap (positional filter).
 4. Large groups of near copies would give a pair for each two members. Members therefore first meet one leader: of
    the earliest postings of their shingles (those with the fewest rarer shingles before) the one that allows most overlap. Verified links form components; then those
-   members that are in another component than the leader of a shingle meet all others outside their component. No link between
+   members that are in another component than the leader of a shingle meet all others outside their component. Near copies share
+   many shingles and should meet once: a posting keeps the node's BEFORE shingles before it, and two postings whose nodes share
+   one of these don't meet. A pair's first shared shingle has none before it, so no link between
    components is lost, and members of one component never meet again.
 5. Each remaining pair is verified once: a suffix filter (shingles per hash range, 64 small counts kept with each class, bound
    the overlap from above), then the exact intersection. Shingles of the classes that still have pairs are made again from
@@ -40,6 +42,7 @@ CELLS = 1 << 24
 CHUNK = 1 << 18
 FAN_IN = 32
 BANDS = 64
+BEFORE = 16
 
 
 def shingles(known: common.Hashes, text: bytes | None, size: int = WORDS) -> np.ndarray:
@@ -284,6 +287,21 @@ def components(links: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
 
 
+def apart(posted: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): members in another component than their shingle's leader with all others outside their component."""
+    placed = posted.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lead = W.partitionBy("shingle").orderBy("pos", "n", "node").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = placed.select("shingle", "n", "pos", "node", "comp", F.first("comp").over(lead).alias("lead_comp"))
+    torn = F.max(F.col("comp") != F.col("lead_comp")).over(W.partitionBy("shingle"))
+    placed = placed.withColumn("torn", torn).filter("torn").drop("torn")
+    before = W.partitionBy("node").orderBy("pos").rowsBetween(-BEFORE, -1)
+    placed = common.staged(placed.withColumn("before", F.collect_list("shingle").over(before)), "placed")
+    out = placed.filter("comp <> lead_comp").select("shingle", F.struct("n", "pos", "node", "comp", "before").alias("x"))
+    all_ = placed.select("shingle", F.struct("n", "pos", "node", "comp", "before").alias("y"))
+    met = out.join(all_, "shingle").filter((F.col("x.comp") != F.col("y.comp")) & fits("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def join(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     return grouped(docs, percent, size).select("doc_id", "n_shingles", "component_id")
@@ -312,15 +330,7 @@ def grouped(docs: DataFrame, percent: int = 80, size: int = WORDS) -> DataFrame:
     star = common.staged(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct(), "star")
     links = verify(docs, star, reps, percent, size)
     comp = common.staged(components(links), "components")
-    # members in another component than their leader meet all others of the shingle outside their component
-    placed = posted.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lead = W.partitionBy("shingle").orderBy("pos", "n", "node").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = common.staged(placed.select("shingle", "n", "pos", "node", "comp", F.first("comp").over(lead).alias("lead_comp")), "placed")
-    out = placed.filter("comp <> lead_comp").select("shingle", F.struct("n", "pos", "node", "comp").alias("x"))
-    all_ = placed.select("shingle", F.struct("n", "pos", "node", "comp").alias("y"))
-    rest = out.join(all_, "shingle").filter((F.col("x.comp") != F.col("y.comp")) & fits("x", "y", percent))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
+    rest = apart(posted, comp, percent).distinct().join(star, ["a", "b"], "left_anti")
     links = links.unionByName(verify(docs, rest, reps, percent, size))
     comp = common.staged(components(links), "components")
     named = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

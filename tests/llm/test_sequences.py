@@ -62,6 +62,21 @@ def test_join_equals_brute_force(spark, docs):
     same(near.join(docs(rows)).collect(), brute_components(rows))
 
 
+def test_near_copies_meet_at_their_first_shared_shingle(spark):
+    """Two nodes that share many shingles make about one row, and none of a pair's links is lost."""
+    rnd = random.Random(7)
+    order = list(range(1000, 1040))
+    own = {node: [s for s in order if rnd.random() < 0.9] for node in range(30)}
+    own |= {100: order[:1] + list(range(20)), 101: list(range(40, 60)) + order[-1:], 102: list(range(60, 80)) + order[-1:]}
+    posted = [(s, 400, k, node) for node, ss in own.items() for k, s in enumerate(ss)]
+    posted = spark.createDataFrame(posted, "shingle long, n long, pos long, node long")
+    comp = spark.createDataFrame([(node, 0) for node in range(15)], "node long, comp long")
+    rows = [(r["a"], r["b"]) for r in near.apart(posted, comp, 80).collect()]
+    of = {node: 0 if node < 15 else node for node in own}
+    want = {(a, b) for a in own for b in own if a < b and of[a] != of[b] and set(own[a]) & set(own[b])}
+    assert set(rows) == want and (101, 102) in want and len(rows) <= 2.5 * len(want)
+
+
 def test_join_odd_rows(odd, docs):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = near.join(odd).collect()
