@@ -11,6 +11,8 @@ import os
 
 import numpy as np
 
+STRUNG = 100  # words
+
 
 def dtype_for(path: str) -> str:
     """The smallest unsigned type that holds every id of the tokenizer."""
@@ -37,6 +39,21 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """As ``_encode``, for words: a line of STRUNG words is one call's work, and where its ids begin tells whose they are."""
+        out, size = [], np.dtype(self.dtype).itemsize
+        plain = [w.decode("utf-8", "replace") for w in words]
+        parts = [plain[i : i + STRUNG] for i in range(0, len(plain), STRUNG)]
+        for part, found in zip(parts, self.tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype=self.dtype).tobytes()
+            begin = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found))
+            following = np.cumsum(np.fromiter(map(len, part), dtype=np.int64, count=len(part)) + 1)
+            start = 0
+            for end in (np.searchsorted(begin, following) * size).tolist():
+                out.append(ids[start:end])
+                start = end
+        return out
+
     def _by_word(self, texts: list[list[bytes]]) -> list[bytes]:
         if len(self.known) > self.most // 2:
             self.old, self.known = self.known, {}
@@ -45,7 +62,7 @@ class Encoder:
         new = {ws[i] for ws, g in zip(texts, gaps) for i in g}
         self.known.update((w, self.old[w]) for w in new if w in self.old)
         new = [w for w in new if w not in self.old]
-        self.known.update(zip(new, self._encode(new)))
+        self.known.update(zip(new, self._encode_words(new)))
         for ws, f, g in zip(texts, found, gaps):
             for i in g:
                 f[i] = self.known[ws[i]]

@@ -13,6 +13,7 @@ from folioscope.llm import common
 from folioscope.llm import op5_ngram_join as near
 from folioscope.llm import op7_packing as packing
 from folioscope.llm import op9_token_files as files
+from folioscope.llm import tokens
 from folioscope.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -177,6 +178,27 @@ def test_files_round_trip(spark, docs, odd):
     assert files.read(files.write(docs([]), empty, tokenizer_path()), empty, tokenizer_path()).collect() == []
 
 
+def test_new_words_share_calls():
+    """A call for each new word costs more than its work: words are strung together and their ids told apart again."""
+    enc = tokens.Encoder(tokenizer_path())
+    odd = [b"", b"a\x01b", b"\xff\xfe bad \xc3", b"<|endoftext|>x", "don't é \u0301 e\u0301 İstanbul ﬁn 日本語 a\u00a0b".encode(), b"  lead\x0b tail\n", b"\x1ca\x85"]
+    texts = [*odd, *(" ".join(f"w{i}x{j}," for j in range(40)).encode() for i in range(20))]
+    lines, real = [], enc.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            def call(texts, **more):
+                lines.extend(texts)
+                return getattr(real, name)(texts, **more)
+
+            return call
+
+    enc.tokenizer = Counted()
+    got = [x.tolist() for x in enc.ids(texts, 1)]
+    assert got == [[*real.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 1] for t in texts]
+    assert len(lines) < 20
+
+
 def test_near_copies_without_ids(spark, docs):
     """Null ids link like others; of a group that shares an id, or has none, one row stays."""
     base = [f"w{i}" for i in range(60)]
