@@ -175,3 +175,31 @@ def test_search_prefers_the_readers_words(spark):
         prior = spark.createDataFrame([("q", stem, 2.0)], "query_id string, word string, weight double")
         rows = search.search(q, ix, NOW, prior=prior).orderBy("position").collect()
         assert rows[0].post_id == first and rows[0].yours
+
+
+def test_readers_meet_posts_by_blocks(spark, monkeypatch):
+    """Pairs are scored where the block is and never shuffled; the same as pair by pair, whatever the number of blocks and lanes."""
+    posts, readers = fixture(3)
+    pool = spark.createDataFrame(
+        [(p["url"], p["title"], p["author"], p["published"], p["claps"], p["prio"], p["cached"], p["labels"], *(p["home"] or (None, None))) for p in posts],
+        "url string, title string, author string, published date, claps bigint, prio double, cached boolean, labels array<string>, home_topic string, home_subtopic string")
+    weights = spark.createDataFrame([(r, k, key, w) for r, me in readers.items() for k in ("label", "word", "author", "dislike") for key, w in me[k].items()],
+                                    "reader int, kind string, key string, weight double")
+    known = spark.createDataFrame([(r, u) for r, me in readers.items() for u in me["known"]], "reader int, url string")
+    monkeypatch.setattr(recommend.blocks, "POSTS", 20)
+    monkeypatch.setattr(recommend.blocks, "PAIRS", 30)
+    met = recommend.score_pairs(weights, pool, NOW, known=known, columns=[*recommend.COLUMNS, "n_tags", "because_words"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    got = {(x.reader, x.url): x for x in met.collect()}
+    every = weights.select("reader").distinct().crossJoin(pool.select("url"))
+    single = recommend.score_pairs(weights, pool, NOW, known=known, only=every)
+    want = {(x.reader, x.url): x for x in single.collect()}
+    assert got.keys() == want.keys() and len(want) > 100
+    for at, x in want.items():
+        y = got[at]
+        assert all(x[c] == y[c] for c in ("title", "author", "cached", "home_topic", "home_subtopic", "shared", "tags_shared")) and y.n_tags == len(x.tags_shared)
+        assert all(abs(x[c] - y[c]) < 2e-4 for c in ("base", "label_sim", "word_sim", "author_share", "dislike", "score", "affinity"))
+    bare = single.filter(F.size("tags_shared") == 0).select("reader", "url", "title")
+    why = {(x.reader, x.url): x.because_words for x in recommend.why_words(bare, weights, ["reader", "url"]).collect()}
+    assert why and why == {at: x.because_words for at, x in got.items() if x.because_words}
