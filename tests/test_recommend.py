@@ -203,3 +203,37 @@ def test_readers_meet_posts_by_blocks(spark, monkeypatch):
     bare = single.filter(F.size("tags_shared") == 0).select("reader", "url", "title")
     why = {(x.reader, x.url): x.because_words for x in recommend.why_words(bare, weights, ["reader", "url"]).collect()}
     assert why and why == {at: x.because_words for at, x in got.items() if x.because_words}
+
+
+def test_pages_are_made_from_few_pairs(spark, monkeypatch):
+    """The pages of ``page_pairs`` are those of all pairs, also where lists are cut too early at first; pairs are few."""
+    rnd = random.Random(4)
+    names = [f"w{a}{b}" for a in "bcdfg" for b in "klmnp"]
+    posts = []
+    for i in range(500):
+        cached = rnd.random() < 0.6
+        home = rnd.choice([(None, None), ("x", "s1"), ("x", "s2")]) if cached else rnd.choice([(None, None), ("x", "s1"), ("x", "s3")])
+        labels = rnd.sample(["t1", "t2", "t3", "ai"], rnd.randint(0, 3)) if cached else []
+        posts.append((f"u{i:03d}", " ".join(rnd.choice(names[:rnd.choice([3, 25])]) for _ in range(rnd.randint(1, 3))), rnd.choice(["A", "B", "C", "D", None if i % 9 == 0 else "E"]),
+                      TODAY - dt.timedelta(days=rnd.randint(0, 3)), rnd.randint(0, 9) if cached else None, 0.5, cached, labels + (["/".join(home)] if home[0] else []), *home))
+    pool = spark.createDataFrame(posts, "url string, title string, author string, published date, claps bigint, prio double, cached boolean, labels array<string>, home_topic string, home_subtopic string")
+    rows = [(r, kind, key, float(rnd.randint(1, 3))) for r in range(6) for kind, keys, n in (("label", ["t1", "t2", "x/s1"], r % 3), ("word", names, 3 + 2 * r), ("author", "AB", 1), ("dislike", ["t3"], r % 2))
+            for key in rnd.sample(keys, n)]
+    weights = spark.createDataFrame(rows, "reader int, kind string, key string, weight double")
+    known = spark.createDataFrame([(r, f"u{i:03d}") for r in range(6) for i in rnd.sample(range(500), 40)], "reader int, url string")
+    who = spark.createDataFrame([(r,) for r in range(8)], "reader int")
+    monkeypatch.setattr(recommend.blocks, "POSTS", 250)
+    monkeypatch.setattr(recommend.blocks, "READERS", 3)
+    scored = recommend.score_pairs(weights, pool, NOW, known=known)
+    depths, real = [], recommend._met
+    monkeypatch.setattr(recommend, "DEPTH", 1)
+    monkeypatch.setattr(recommend, "_met", lambda *a, **k: depths.append(k["page"][1]) or real(*a, **k))
+    few = recommend.page_pairs(weights, pool, who, NOW, limit=28, known=known)
+    assert len(depths) > 1
+    monkeypatch.setattr(recommend, "_met", real)
+    scored = recommend.score_pairs(weights, pool, NOW, known=known)
+    got, want = (
+        sorted(map(tuple, recommend.shape(rows, pool, who, NOW, limit=28, known=known).select("reader", "slot", "url", "kind", "score").collect()))
+        for rows in (few, scored))
+    assert got == want and len({r[0] for r in want}) == 8
+    assert few.count() < scored.count()
